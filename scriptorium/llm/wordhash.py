@@ -21,6 +21,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RAND = np.random.default_rng(7_041_776).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RAND_LOWER = _RAND[_LOWER]
+#: Character classes of word shapes: letters fold to a or A (bytes over 127 to a), digits to 0.
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[97:123] = _CLASS[128:] = 97
+_CLASS[65:91] = 65
+_CLASS[48:58] = 48
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -84,14 +89,15 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]
         at = end
 
 
-def hash_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(column: pa.Array, lower: bool = True, shapes: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words in order, and word offsets per document (n + 1).
 
-    ``lower`` folds A-Z only.
+    ``lower`` folds A-Z only.  ``shapes`` adds a third array: hashes of the words'
+    shapes, which are their character classes with runs collapsed (``Aa,`` for ``Word,``).
     """
     data, offsets = text_buffer(column)
     table = _RAND_LOWER if lower else _RAND
-    hashes, starts = [], []
+    hashes, starts, forms = [], [], []
     for at, end in _segments(data, offsets):
         b = data[at:end]
         inside = ~_SPACE[b]
@@ -109,10 +115,20 @@ def hash_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
         value = value[begin[0] :] * _power_table(int(last.max()))[local]
         hashes.append(np.add.reduceat(value, begin - begin[0]))
         starts.append(begin + at)
+        if shapes:
+            kind = _CLASS[b]
+            kept = first.copy()
+            kept[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+            place = np.flatnonzero(kept)
+            own = np.cumsum(kept)[begin] - 1  # of each word's first kept byte
+            size = np.diff(np.append(own, len(place)))
+            local = np.arange(len(place)) - np.repeat(own, size)
+            forms.append(np.add.reduceat(_RAND[kind[place]] * _power_table(int(size.max()))[local], own))
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)) + (np.zeros(0, np.uint64),) * shapes
     words, position = mix64(np.concatenate(hashes)), np.concatenate(starts)
-    return words, np.searchsorted(position, offsets).astype(np.int64)
+    out = words, np.searchsorted(position, offsets).astype(np.int64)
+    return (*out, mix64(np.concatenate(forms) + np.uint64(1))) if shapes else out
 
 
 def windows(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
