@@ -19,10 +19,12 @@ gives the same rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ SENTENCE_PENALTY = 4
 STRIDE_PENALTY = 48
 STRIDE = 64
 BLOCK_TOKENS = 1 << 18
+#: Fixed value: how the byte-level pre-tokeniser splits.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the unit cache of a worker; it is emptied when full.
 CACHE_UNITS = 400_000
 
@@ -45,9 +49,31 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 
+def _byte_of_letter() -> dict[str, int]:
+    """Byte-level vocabularies write a printable byte as its own character, the others as those from 256 on, in order."""
+    plain = {b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+_coders: dict[str, UnitTokenizer] = {}
+
+
+def coder_of(path: str) -> UnitTokenizer:
+    """One for each worker process and vocabulary."""
+    if path not in _coders:
+        _coders[path] = UnitTokenizer(path)
+    return _coders[path]
+
+
 class UnitTokenizer:
     """Token ids of whole texts, with each distinct blank-led unit encoded once.
 
+    The vocabulary file is that of a byte-level BPE for ``tokenizers``; its ids
+    come from the same merges run by ``tiktoken``, which is several times faster
+    (a test holds both against each other).  Control strings in a text are
+    ordinary text.
+
     The byte-level pre-tokeniser never joins a blank that has a non-blank after
     it with what stands before, so a text may be cut before each such blank.
     A text with a blank before other white space, or a last blank, is encoded whole.
@@ -56,45 +82,64 @@ class UnitTokenizer:
     _unsafe = re.compile(r" \s| \Z")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            ends[i] = token[-1:] in ".!?Ċ"  # Ċ: the vocabulary's sign for a line feed
-        self.sentence_end = ends
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"] for t in model.get("added_tokens", ())}
+        byte_of = _byte_of_letter()
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        # a byte-level vocabulary is numbered in the order of its merges, so ids are ranks
+        self.coder = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.sentence_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.sentence_end[[i for token, i in ranks.items() if token[-1:] in (b".", b"!", b"?", b"\n")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.led: dict[str, int] = {}  # units after a blank, without it
+        self.first: dict[str, int] = {}  # units that start a text
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return list(map(self.coder.encode_ordinary, texts))
+
+    def _learn(self, index: dict[str, int], units: set[str], blank: str) -> None:
+        fresh = [u for u in units if u not in index]
+        if not fresh:
+            return
+        encoded = self._encode([blank + u for u in fresh])
+        known = len(self.ends) - 1
+        index.update(zip(fresh, range(known, known + len(fresh))))
+        flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
+        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        if ends[-1] > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * int(ends[-1]))
+        self.ids[self.ends[-1] : ends[-1]] = flat
+        self.ends = np.append(self.ends, ends)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > CACHE_UNITS:
+        if len(self.led) + len(self.first) > CACHE_UNITS:
             self._clear()
         parts = [None if self._unsafe.search(t) else t.split(" ") for t in texts]
-        new = set()
-        index = self.index
-        for p in parts:
-            if p is not None:
-                new.update(p[1:])
-        fresh = [" " + u for u in new if " " + u not in index]
-        fresh += [p[0] for p in parts if p is not None and p[0] not in index]
-        fresh = list(dict.fromkeys(fresh))
-        for u, e in zip(fresh, self._encode(fresh)):
-            index[u] = len(self.ids)
-            self.ids.append(e)
+        safe = [p for p in parts if p is not None]
+        heads = [p[0] for p in safe]
+        for p in safe:
+            del p[0]
+        self._learn(self.first, set(heads), "")
+        self._learn(self.led, set().union(*safe), " ")
+        first, led = self.first, self.led
         out: list[np.ndarray] = []
+        rest = iter(heads)
         for t, p in zip(texts, parts):
             if p is None:
-                out.append(self._encode([t])[0])
-            else:
-                ids = self.ids
-                out.append(np.concatenate([ids[index[p[0]]], *[ids[index[" " + u]] for u in p[1:]]]))
+                out.append(np.array(self._encode([t])[0], np.uint32))
+                continue
+            unit = np.fromiter(chain((first[next(rest)],), map(led.__getitem__, p)), np.int64, len(p) + 1)
+            begin = self.ends[unit]
+            size = self.ends[unit + 1] - begin
+            total = np.cumsum(size)
+            out.append(self.ids[np.arange(total[-1]) + np.repeat(begin - total + size, size)])
         return out
 
 
@@ -204,7 +249,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     bounded_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = UnitTokenizer(tokenizer_path)
+        coder = coder_of(tokenizer_path)
         packer = Packer(coder.sentence_end, TaskContext.get().partitionId() << 36)
         batch_of = lambda rows: pa.RecordBatch.from_pydict(rows, schema=_ARROW)
         for batch in slices(batches):
