@@ -24,10 +24,10 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -43,7 +43,7 @@ BLOCK_TOKENS = 1 << 18
 #: Fixed value: how the byte-level pre-tokeniser splits.
 PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the unit cache of a worker; it is emptied when full.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -93,53 +93,63 @@ class UnitTokenizer:
         self.coder = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
         self.sentence_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.sentence_end[[i for token, i in ranks.items() if token[-1:] in (b".", b"!", b"?", b"\n")]] = True
+        self.id_bytes = np.zeros(len(self.sentence_end), np.int64)
+        self.id_bytes[list(ranks.values())] = [len(token) for token in ranks]
         self._clear()
 
     def _clear(self) -> None:
         self.led: dict[str, int] = {}  # units after a blank, without it
         self.first: dict[str, int] = {}  # units that start a text
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return list(map(self.coder.encode_ordinary, texts))
-
-    def _learn(self, index: dict[str, int], units: set[str], blank: str) -> None:
-        fresh = [u for u in units if u not in index]
-        if not fresh:
-            return
-        encoded = self._encode([blank + u for u in fresh])
-        known = len(self.ends) - 1
-        index.update(zip(fresh, range(known, known + len(fresh))))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
-        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
-        if ends[-1] > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * int(ends[-1]))
-        self.ids[self.ends[-1] : ends[-1]] = flat
-        self.ends = np.append(self.ends, ends)
+        self.ends = np.zeros(1, np.int64)  # unit k has the ids from ends[k] to ends[k + 1]
+
+    def _keep(self, index: dict[str, int], units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        known, used = len(self.ends) - 1, int(self.ends[-1])
+        index.update(zip(units, range(known, known + len(units))))
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+        self.ids[used : used + len(ids)] = ids
+        self.ends = np.append(self.ends, used + ends)
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode new blank-led units in one text; the ids' byte lengths tell where each ends."""
+        fresh = [u for u in units if u not in self.led]
+        if fresh:
+            ids = np.array(self.coder.encode_ordinary(" " + " ".join(fresh)), np.uint32)
+            bytes_to = np.cumsum([len(u.encode()) + 1 for u in fresh])
+            self._keep(self.led, fresh, ids, np.searchsorted(np.cumsum(self.id_bytes[ids]), bytes_to) + 1)
+
+    def _first(self, unit: str) -> int:
+        if unit not in self.first:
+            ids = np.array(self.coder.encode_ordinary(unit), np.uint32)
+            self._keep(self.first, [unit], ids, np.array([len(ids)]))
+        return self.first[unit]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.led) + len(self.first) > CACHE_UNITS:
             self._clear()
-        parts = [None if self._unsafe.search(t) else t.split(" ") for t in texts]
-        safe = [p for p in parts if p is not None]
-        heads = [p[0] for p in safe]
-        for p in safe:
-            del p[0]
-        self._learn(self.first, set(heads), "")
-        self._learn(self.led, set().union(*safe), " ")
-        first, led = self.first, self.led
-        out: list[np.ndarray] = []
-        rest = iter(heads)
-        for t, p in zip(texts, parts):
-            if p is None:
-                out.append(np.array(self._encode([t])[0], np.uint32))
-                continue
-            unit = np.fromiter(chain((first[next(rest)],), map(led.__getitem__, p)), np.int64, len(p) + 1)
-            begin = self.ends[unit]
-            size = self.ends[unit + 1] - begin
-            total = np.cumsum(size)
-            out.append(self.ids[np.arange(total[-1]) + np.repeat(begin - total + size, size)])
+        unsafe = [k for k, t in enumerate(texts) if self._unsafe.search(t)]
+        skip = set(unsafe)
+        lists = pc.split_pattern(pa.array(["" if k in skip else t for k, t in enumerate(texts)], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        place, begins = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        led = np.ones(len(place), bool)
+        led[begins[:-1]] = False
+        used = np.unique(place[led])
+        units = coded.dictionary.take(pa.array(used)).to_pylist()
+        self._learn(units)
+        unit_of = np.full(len(coded.dictionary), -1, np.int64)
+        unit_of[used] = [self.led[u] for u in units]
+        unit = unit_of[place]
+        heads = coded.dictionary.take(pa.array(place[begins[:-1]])).to_pylist()
+        unit[begins[:-1]] = [self._first(h) for h in heads]
+        begin = self.ends[unit]
+        size = self.ends[unit + 1] - begin
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
+        out = np.split(ids, total[begins[1:-1]])
+        for k in unsafe:
+            out[k] = np.array(self.coder.encode_ordinary(texts[k]), np.uint32)
         return out
 
 
