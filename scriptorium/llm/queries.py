@@ -43,6 +43,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), labels).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_texts
+
+    d = score_texts(read_table(spark, sf_dir, "documents"), _fold(5) != 1)
+    return d.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import predict, train
 
