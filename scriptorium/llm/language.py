@@ -174,3 +174,31 @@ def predict(documents: DataFrame, model: PpmModel) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+#: A document whose language is less certain than this is rejected.
+MIN_SCORE = 0.5
+
+
+def keep_identified(documents: DataFrame, model: PpmModel) -> DataFrame:
+    """The rows of documents whose language the model tells with ``MIN_SCORE``; same columns.
+
+    Null text, text without a letter and doubtful text go.  A model without
+    languages can't reject: every row with a letter stays.
+    """
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        index = model.index()
+        for batch in slices(batches):
+            text = batch.column("text")
+            keep = np.array([t is not None and _LETTER.search(t) is not None for t in text.to_pylist()], bool)
+            if model.languages:
+                bits = model.bits(text, index)
+                keep &= 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) >= MIN_SCORE
+            yield batch.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)

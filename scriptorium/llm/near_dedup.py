@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, materialise
@@ -218,3 +218,18 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     out = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each near-duplicate component: the one of smallest doc_id; same columns.
+
+    Of rows with the same doc_id the one of smallest text stays.
+    """
+    found = materialise(near_duplicates(documents, size, percent), "components")
+    out = documents.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    several = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not several.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy("text")
+        one = out.join(several, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+        out = out.join(several, "doc_id", "left_anti").unionByName(one)
+    return out.select(documents.columns)
