@@ -29,6 +29,7 @@ BUCKETS, DIMENSIONS, NONZERO = 1 << 14, 32, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 256, 3e-3, 1e-4
 #: Bound of the labelled rows that the network is fitted to.
 MAX_TRAIN_ROWS = 20_000
+_SLOTS = 1 << 16
 THRESHOLD = 0.3
 
 _rng = np.random.default_rng(20_011)
@@ -153,6 +154,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
+def _bounded(labels: DataFrame) -> DataFrame:
+    """At most MAX_TRAIN_ROWS labels: those of least hash, to a limit that a histogram of the hashes gives."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS))
+    found = labels.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    n = np.zeros(_SLOTS, np.int64)
+    n[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return labels.where(slot < int(np.searchsorted(np.cumsum(n), MAX_TRAIN_ROWS, "right")))
+
+
 def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (score >= THRESHOLD) of every row.
 
@@ -172,7 +182,7 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     embedded = materialise(documents.select("doc_id", "text").mapInArrow(embed, "doc_id long, x binary"), "pooled")
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = embedded.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(MAX_TRAIN_ROWS).toArrow()
+    rows = embedded.join(_bounded(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").toArrow()
     width = 2 * DIMENSIONS + 1
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, width)
     net = fit(x, rows["quality"].to_numpy())
