@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -355,7 +356,7 @@ def dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.dedup(d)
 
 
-_EVIDENCE = """SELECT conv_id AS doc_id, (turn + CASE WHEN turn % 5 = 4 THEN 100 ELSE 1 END)::INT AS page, CASE turn % 5 WHEN 0 THEN substring(text, 4, 12) WHEN 1 THEN upper(substring(text, 4, 12)) || ' ' WHEN 2 THEN '' ELSE 'absent#' END AS evidence,
+_EVIDENCE = """SELECT conv_id AS doc_id, (turn + CASE WHEN turn % 5 = 4 THEN 100 ELSE 1 END)::INT AS page, CASE turn % 5 WHEN 0 THEN substring(text, 4, 12) WHEN 1 THEN translate(substring(text, 4, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' WHEN 2 THEN '' ELSE 'absent#' END AS evidence,
     CASE turn % 5 WHEN 2 THEN substring(text, 2, 5) ELSE 'unused' END AS text FROM conversations"""
 
 
@@ -374,7 +375,7 @@ def _ev(x: str) -> str:
 def validate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, turn, text = _table(spark, sf_dir, "conversations"), F.col("turn"), F.col("text")
     part = F.substring(text, 4, 12)
-    shown = F.when(turn % 5 == 0, part).when(turn % 5 == 1, F.concat(F.upper(part), F.lit(" "))).when(turn % 5 == 2, "").otherwise("absent#")
+    shown = F.when(turn % 5 == 0, part).when(turn % 5 == 1, F.concat(F.translate(part, ascii_lowercase, ascii_uppercase), F.lit(" "))).when(turn % 5 == 2, "").otherwise("absent#")
     entities = d.select(F.col("conv_id").alias("doc_id"), (turn + F.when(turn % 5 == 4, 100).otherwise(1)).cast("int").alias("page"), shown.alias("evidence"), F.when(turn % 5 == 2, F.substring(text, 2, 5)).otherwise("unused").alias("text"))
     return evidence.validate_evidence(entities, d.select(F.col("conv_id").alias("doc_id"), (turn + 1).cast("int").alias("page_no"), "text"))
 

@@ -3,7 +3,11 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_TESTS = os.path.dirname(os.path.abspath(__file__))
+_ROOT = os.path.dirname(_TESTS)
+sys.path.insert(0, _ROOT)
+# Python workers import the package, and classes that tests define, by name
+os.environ["PYTHONPATH"] = os.pathsep.join([_ROOT, _TESTS, os.path.join(_TESTS, "llm"), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
