@@ -31,7 +31,7 @@ WIDTH = 4
 LEAST_SPREAD = {"word_length": 250, "symbol_share": 8, "dup_line_share": 100, "repeat_share": 100, "capital_share": 20}
 
 _BLANK = r"[\x20\x09-\x0D]+"
-_BLANKS = r" \t\n\u000b\f\r"
+_BLANKS = " \t\n\x0b\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -60,7 +60,7 @@ def count_features(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("t"))
     d = d.select(
         "doc_id", "lang", "source",
-        F.when(F.expr(f"btrim(t, '{_BLANKS}') = ''"), F.array().cast("array<string>")).otherwise(F.split(F.expr(f"btrim(t, '{_BLANKS}')"), _BLANK)).alias("w"),
+        F.when(F.btrim("t", F.lit(_BLANKS)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim("t", F.lit(_BLANKS)), _BLANK)).alias("w"),
         F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
