@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 KINDS = ("email", "ip", "card", "phone", "id")
-#: The base patterns.
+#: The base patterns; possessive repeats, as the engine recurses over others and long runs exhaust its stack.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Identifier-like: from a digit on, at least MIN_DIGITS digits among letters, digits and joints.
