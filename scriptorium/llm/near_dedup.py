@@ -9,14 +9,19 @@
    COORDINATES - least_matches + 1 rarest pairs: only this prefix is posted;
    pairs that no other class has need no posting at all.
 3. Rounds of linking.  In every posting list with more than one component a
-   leader is drawn; each class of another component counts how often it meets
-   each leader, and its best one is tried.  A tried pair must agree in enough
-   coordinates of the full signatures, then its full shingle sets are compared.
-   Links contract components, so a group of many copies costs a few pairs a
-   class, never all of its pairs.
-4. What the rounds leave - pairs of different components that share a posted
-   coordinate and were not tried - is tried in full, so no link between different
-   components is lost.  Components follow by alternating large and small stars.
+   leader is taken - first the class whose pairs are met most, the likely source
+   of a group of copies, then one drawn by hash; each class of another component
+   counts how often it meets each leader, and its best one is tried.  A tried pair
+   must agree in enough coordinates of the full signatures, then its full shingle
+   sets are compared.  Links contract components, so a group of many copies costs
+   a few pairs a class, never all of its pairs.
+4. What the rounds leave are lists that still hold several components, such as
+   many variants of one text that are just too far apart.  Their pairs would grow
+   with the square of the list, so their classes are posted once more under the
+   exact prefix of their shingle sets (n - ceil(percent * n / 100) + 1 rarest
+   shingles, which two linked sets must share), and the pairs met there are
+   tried.  So no link between components is lost.  Components follow by
+   alternating large and small stars.
 
 All tables are distributed; between steps they are written to the shared folder.
 """
@@ -35,7 +40,7 @@ from .storage import bounded_batches, materialise
 from .wordhash import hash_words, mix64, slices, windows
 
 COORDINATES = 64
-ROUNDS = 3
+ROUNDS = 2
 #: Slots of the fixed-size filter that spares texts without any candidate a second reading.
 _SLOTS = 1 << 20
 _rng = np.random.default_rng(64_085)
@@ -103,6 +108,14 @@ def shingle_sets(documents: DataFrame, size: int, wanted: DataFrame) -> DataFram
     return found.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "shingles")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of rep, comp, shingles."""
+    for batch in batches:
+        for rep, comp, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            h = np.frombuffer(blob, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x, t)) for x, t in ((rep, np.int64), (comp, np.int64), (len(h), np.int32))] + [pa.array(h)], names=["rep", "comp", "n", "shingle"])
+
+
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,11 +154,11 @@ class _Linker:
         prefix = COORDINATES - self.matches + 1
         pairs = reps.select("rep", F.explode("signature").alias("token"))
         frequent = pairs.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        own = pairs.join(frequent, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+        own = pairs.join(frequent, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("met"))
         # pairs that no other class has come first in the prefix and need no posting
         left = F.size("own") - F.lit(COORDINATES - prefix)
-        own = own.where(left > 0).select("rep", F.slice("own.token", F.lit(1), left).alias("prefix"))
-        self.post = materialise(own.select("rep", F.explode("prefix").alias("token")), "postings")
+        own = own.where(left > 0).select("rep", "met", F.slice("own.token", F.lit(1), left).alias("prefix"))
+        self.post = materialise(own.select("rep", "met", F.explode("prefix").alias("token")), "postings")
         wanted = self.post.select("rep").distinct()
         self.signatures = materialise(reps.select("rep", "signature").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "signatures")
         self.sets = materialise(shingle_sets(documents, size, wanted).dropDuplicates(["rep"]), "sets")
@@ -154,7 +167,7 @@ class _Linker:
         self.roots: DataFrame | None = None
 
     def _lists(self) -> DataFrame:
-        """(token, rep, comp): the postings with the component that each class is in now."""
+        """(token, rep, met, comp): the postings with the component that each class is in now."""
         if self.roots is None:
             return self.post.withColumn("comp", F.col("rep"))
         return self.post.join(self.roots.withColumnsRenamed({"node": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -176,7 +189,8 @@ class _Linker:
 
     def round(self, number: int) -> None:
         lists = self._lists()
-        draw = F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("h"), "rep", "comp"))
+        rank = -F.col("met") if number == 0 else F.xxhash64("rep", F.lit(number))
+        draw = F.min(F.struct(rank.alias("h"), "rep", "comp"))
         mixed = lists.groupBy("token").agg(draw.alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", F.col("lead.rep").alias("leader"), F.col("lead.comp").alias("leads"))
         met = lists.join(mixed, "token").where("comp <> leads").groupBy("rep", "leader").agg(F.count("*").alias("n"))
         best = met.groupBy("rep").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
@@ -185,9 +199,18 @@ class _Linker:
     def rest(self) -> None:
         lists = self._lists()
         mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        lists = materialise(lists.join(mixed, "token", "left_semi"), "mixed")
-        other = lists.select("token", F.col("rep").alias("b"), F.col("comp").alias("other"))
-        self._try(lists.withColumnRenamed("rep", "a").join(other, "token").where("comp <> other and a < b").select("a", "b").distinct())
+        left = materialise(lists.join(mixed, "token", "left_semi").select("rep", "comp").distinct(), "left")
+        each = materialise(self.sets.join(left, "rep").select("rep", "comp", "shingles").mapInArrow(_shingles, "rep long, comp long, n int, shingle long"), "left-shingles")
+        frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+        own = each.join(frequent, "shingle").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+        prefix = F.col("n") - F.ceil(F.col("n") * self.percent / 100).cast("int") + 1
+        # shingles that no other set has come first in the prefix and need no posting
+        posted = prefix - (F.col("n") - F.size("own"))
+        post = own.where(posted > 0).select("rep", "comp", "n", F.explode(F.slice("own.shingle", F.lit(1), posted)).alias("shingle"))
+        post = materialise(post, "prefixes")
+        other = post.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"))
+        near = (F.col("comp") != F.col("other")) & (F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= self.percent * F.greatest("n", "m"))
+        self._try(post.withColumnRenamed("rep", "a").join(other, "shingle").where(near).select("a", "b").distinct())
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
