@@ -102,12 +102,18 @@ def _spans(text: str) -> Column:
 
 
 def _around(text: Column, m: Column) -> Column:
-    """The lexical patterns of a span: two words before it, and one before with one after it."""
+    """The lexical patterns of a span: the letters of two words before it, and of one before with one after it.
+
+    A place without letters - a bare sign, an edge of the text - makes no pattern.
+    """
     low = F.greatest(m["start"] - _CONTEXT, F.lit(0))
     before = F.split(F.rtrim(F.lower(F.substring(text, low + 1, m["start"] - low))), r"[\x20\x09-\x0D]+")
     after = F.split(F.lower(F.substring(text, m["end"] + 1, F.lit(_CONTEXT))), r"[\x20\x09-\x0D]+")
-    tail = lambda i: F.coalesce(F.get(before, F.size(before) - i), F.lit(""))
-    return F.array(F.concat(F.lit("2<"), tail(2), F.lit(" "), tail(1)), F.concat(F.lit("1<"), tail(1), F.lit(" > "), F.coalesce(F.get(after, F.lit(1)), F.lit(""))))
+    letters = lambda w: F.regexp_replace(F.coalesce(w, F.lit("")), r"[^\p{L}]+", "")
+    tail = lambda i: letters(F.get(before, F.size(before) - i))
+    two, around = F.array(tail(2), tail(1)), F.array(tail(1), letters(F.get(after, F.lit(1))))
+    named = F.array(F.struct(F.lit("2<").alias("kind"), two.alias("words")), F.struct(F.lit("1<>").alias("kind"), around.alias("words")))
+    return F.transform(F.filter(named, lambda p: ~F.array_contains(p["words"], "")), lambda p: F.concat(p["kind"], F.array_join(p["words"], " ")))
 
 
 def _key(text: str) -> tuple[Column, Column]:
