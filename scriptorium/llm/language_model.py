@@ -139,14 +139,19 @@ class Trie:
             local = context[own] - level.major[k]
             inside = local < int(a["contexts"][0])
             own, local = own[inside], local[inside]
+            distinct, back = np.unique(local, return_inverse=True)
             pointer = EliasFano(a, "pointer")
-            low, high = pointer[local], pointer[local + 1]
+            low, high = pointer[distinct][back], pointer[distinct + 1][back]
             end, w, words = high.copy(), word[own], a["word"]
             # successor search: the first word of the slice that is not less
-            while (open_ := low < high).any():
-                middle = (low + high) >> 1
-                less = open_ & (words[np.minimum(middle, len(words) - 1)] < w)
-                low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+            open_ = np.flatnonzero(low < high)
+            while len(open_):
+                lo, hi = low[open_], high[open_]
+                middle = (lo + hi) >> 1
+                less = words[middle] < w[open_]
+                lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, middle)
+                low[open_], high[open_] = lo, hi
+                open_ = open_[lo < hi]
             hit = (low < end) & (words[np.minimum(low, len(words) - 1)] == w)
             row[own[hit]] = level.offsets[k] + low[hit]
             log[own[hit]] = _restore(a["log"][low[hit]])
@@ -155,14 +160,15 @@ class Trie:
     @staticmethod
     def backoff(level: _Shards, context: np.ndarray) -> np.ndarray:
         """log10 of the back-off weight, 0 for a context without kept successors."""
-        out = np.zeros(len(context))
-        shard = level.place(context)
-        for k in np.unique(shard[(shard >= 0) & (context >= 0)]):
-            own = np.flatnonzero((shard == k) & (context >= 0))
+        distinct, back = np.unique(context, return_inverse=True)
+        out = np.zeros(len(distinct))
+        shard = np.where(distinct >= 0, level.place(distinct), -1)
+        for k in np.unique(shard[shard >= 0]):
+            own = np.flatnonzero(shard == k)
             a = open_arrays(level.uris[k])
-            at = np.minimum(np.searchsorted(a["context"], context[own]), len(a["context"]) - 1)
-            out[own] = np.where(a["context"][at] == context[own], _restore(a["log"][at]), 0.0)
-        return out
+            at = np.minimum(np.searchsorted(a["context"], distinct[own]), len(a["context"]) - 1)
+            out[own] = np.where(a["context"][at] == distinct[own], _restore(a["log"][at]), 0.0)
+        return out[back]
 
     def log_pair(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, log = self.find(self.pairs, context, word)
