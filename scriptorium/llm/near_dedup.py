@@ -18,9 +18,9 @@
 4. What the rounds leave are lists that still hold several components, such as
    many variants of one text that are just too far apart.  Their pairs would grow
    with the square of the list, so their classes are posted once more under the
-   exact prefix of their shingle sets (n - ceil(percent * n / 100) + 1 rarest
-   shingles, which two linked sets must share), and the pairs met there are
-   tried.  So no link between components is lost.  Components follow by
+   exact prefix of their shingle sets, the rarest shingles of which two linked sets
+   must share one; pairs whose sizes and places in the order still allow the
+   overlap are tried.  So no link between components is lost.  Components follow by
    alternating large and small stars.
 
 All tables are distributed; between steps they are written to the shared folder.
@@ -203,14 +203,21 @@ class _Linker:
         each = materialise(self.sets.join(left, "rep").select("rep", "comp", "shingles").mapInArrow(_shingles, "rep long, comp long, n int, shingle long"), "left-shingles")
         frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         own = each.join(frequent, "shingle").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
-        prefix = F.col("n") - F.ceil(F.col("n") * self.percent / 100).cast("int") + 1
-        # shingles that no other set has come first in the prefix and need no posting
-        posted = prefix - (F.col("n") - F.size("own"))
-        post = own.where(posted > 0).select("rep", "comp", "n", F.explode(F.slice("own.shingle", F.lit(1), posted)).alias("shingle"))
-        post = materialise(post, "prefixes")
-        other = post.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"))
-        near = (F.col("comp") != F.col("other")) & (F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= self.percent * F.greatest("n", "m"))
-        self._try(post.withColumnRenamed("rep", "a").join(other, "shingle").where(near).select("a", "b").distinct())
+        # shingles that no other set has come first in the order and need no posting
+        d = own.select("rep", "comp", "n", "own.shingle", (F.col("n") - F.size("own")).alias("unique"))
+        # of two linked sets the longer shares one of its n - ceil(p n) + 1 first shingles, the shorter one of its n - ceil(2 p n / (1 + p)) + 1
+        last = lambda up, down: F.col("n") - F.ceil(F.col("n") * up / down).cast("int") + 1 - F.col("unique")
+        part = lambda size: F.posexplode(F.slice("shingle", F.lit(1), F.greatest(size, F.lit(0)))).alias("pos", "shingle")
+        d = d.where(last(self.percent, 100) > 0)
+        long = d.select(F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "unique", part(last(self.percent, 100)))
+        long = materialise(long.select("x", "cx", "nx", "shingle", (F.col("nx") - F.col("pos") - F.col("unique")).alias("rx")), "prefixes")
+        short = d.select(F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), "unique", part(last(2 * self.percent, 100 + self.percent)))
+        short = short.select("y", "cy", "ny", "shingle", (F.col("ny") - F.col("pos") - F.col("unique")).alias("ry"))
+        # from the shared shingle on, at most the rest of either set can still be shared
+        sized = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+        near = (100 * F.col("ny") >= self.percent * F.col("nx")) & ((100 + self.percent) * F.least("rx", "ry") >= self.percent * (F.col("nx") + F.col("ny")))
+        pairs = long.join(short, "shingle").where((F.col("cx") != F.col("cy")) & sized & near)
+        self._try(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
