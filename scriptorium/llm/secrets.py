@@ -5,7 +5,8 @@ sensitive word is a candidate.  Its novelty is the number of bytes by which the
 compressed size of its text window grows when the token is put back into it,
 with a compressor primed by the surrounding text and a dictionary of common
 identifiers: words and names cost little, random strings cost most of their
-length.  Candidates of at least ``MIN_NOVELTY`` bytes and ``MIN_RATE`` new bytes
+length.  Other occurrences of the token are blanked in the surrounding text, or
+a repeated secret would vouch for itself.  Candidates of at least ``MIN_NOVELTY`` bytes and ``MIN_RATE`` new bytes
 a character are reported as ``novel`` spans.
 """
 
@@ -32,7 +33,8 @@ MIN_ASSIGN, MIN_ACCESS = 8, 16
 #: A text without any of these (lower-cased) has no candidate.
 SENSITIVE = ("passw", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private", "auth", "bearer", "signature", "akia")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE)
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_TOKEN = 16
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
 #: Code points around a candidate that prime the compressor, and in which a sensitive word must stand before it.
 WINDOW, NEAR = 400, 64
 MIN_NOVELTY, MIN_RATE = 14, 0.55
@@ -74,6 +76,16 @@ class Novelty:
         return len(coder.compress(near + token.encode() + after[:32].encode())) - len(coder.compress(near + after[:32].encode()))
 
 
+def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
+    """The ``WINDOW`` code points before a and after b, every other occurrence of the token, or of a long value it sets, blanked."""
+    n = WINDOW + b - a  # an occurrence that the window's edge cuts is met whole
+    before, after = text[max(0, a - n) : a], text[b : b + n]
+    for own in (text[a:b], *text[a:b].split("=")):
+        if len(own) >= MIN_TOKEN:
+            before, after = before.replace(own, " " * len(own)), after.replace(own, " " * len(own))
+    return before[-WINDOW:], after[:WINDOW]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int]]:
     """Spans of incompressible tokens in a sensitive context that no base span overlaps."""
     words = [m.end() for m in _SENSITIVE.finditer(text)]
@@ -90,7 +102,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
         token = m[0]
         if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
             continue
-        new = novelty(text[max(0, a - WINDOW) : a], token, text[b : b + WINDOW])
+        before, after = surroundings(text, a, b)
+        new = novelty(before, token, after)
         if new >= MIN_NOVELTY and new >= MIN_RATE * len(token):
             out.append((a, b))
     return out

@@ -274,3 +274,17 @@ def test_secrets(spark):
     assert got[9].spans == f"novel:30:{30 + len(key)}" and got[10].spans == "" and got[11].spans == ""
     assert got[9].base_sha256 == hashlib.sha256(b"").hexdigest() and got[0].base_sha256 == hashlib.sha256(b"assign:0:26").hexdigest()
     assert secrets.scan(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_repeated_secrets_are_found_at_every_place():
+    rng = random.Random(12)
+    novelty = secrets.Novelty()
+    for n in (16, 20, 32, 40):
+        for _ in range(10):
+            key = "7x" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 2))
+            for form in ("authorization bearer {} for the job\n", "bearer id={}\n", "auth {} or bearer id={} " + "of one " * 56):
+                text = form.format(key, key) * 3
+                places = [m.span() for m in re.finditer("(?:id=)?" + key, text)]
+                assert secrets.novel_spans(text, [], novelty) == places
+    names = "secret of access_token_identifier_name_0 and user_secret_token_name_1\n" * 3
+    assert secrets.novel_spans(names, [], novelty) == []
