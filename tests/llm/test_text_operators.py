@@ -204,6 +204,45 @@ def test_leaks(spark):
     assert decontamination.remove_leaks(d, benchmark.limit(0)).count() == d.count()
 
 
+def has_stretch(equal, n_item):
+    """Whether any stretch has enough words, by trying all."""
+    n, least_equal, least_words = len(equal), min(13, -(-4 * n_item // 5)), min(13, n_item)
+    return any(sum(equal[a:b]) >= least_equal and 5 * sum(equal[a:b]) >= 4 * (b - a) for a in range(n) for b in range(a + least_words, n + 1))
+
+
+def test_any_stretch_counts_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(3000):
+        n = rng.randint(6, 45)
+        equal = np.array([rng.random() < rng.choice([0.6, 0.8, 0.9]) for _ in range(n)])
+        item = np.arange(n, dtype=np.uint64)
+        text = np.where(equal, item, item + np.uint64(1000))
+        got = decontamination.verify(text, 0, n, item, 0)
+        assert (got is not None) == has_stretch(equal.tolist(), n)
+        if got:
+            own = equal[got[0] : got[0] + got[1]]
+            assert own.sum() == got[2] and own[0] and own[-1] and 5 * got[2] >= 4 * got[1]
+
+
+def test_leaks_with_words_replaced_near_the_edges(spark):
+    rng = random.Random(14)
+    items, texts, wanted = [], [], set()
+    for n, most in [(13, 1), (15, 1), (16, 1), (17, 2), (20, 2), (20, 3), (25, 3)]:
+        for _ in range(12):
+            k = len(items)
+            items.append([f"i{k}_{j}" for j in range(n)])
+            own = list(items[-1])
+            for j in rng.sample([*range(5), *range(n - 5, n)], most):
+                own[j] = f"new{k}_{j}"
+            if has_stretch([x == y for x, y in zip(own, items[-1])], n):
+                wanted.add((k, k))
+            texts.append([f"before{k}"] * 20 + own + [f"after{k}"] * 20)
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    d = docs(spark, [" ".join(t) for t in texts])
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(d, benchmark).collect()} == wanted and len(wanted) > 60
+    assert {r.doc_id for r in decontamination.remove_leaks(d, benchmark).collect()} == set(range(len(texts))) - {k for k, _ in wanted}
+
+
 def test_benchmark_blocks_give_the_same(spark, monkeypatch):
     items = [" ".join(f"w{k}_{j}" for j in range(20)) for k in range(5)]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
