@@ -2,7 +2,8 @@
 
 1. Every text gets its set of word shingles (64-bit hashes), the set's size and
    a digest, and a MinHash signature of ``COORDINATES`` values.  Texts of equal
-   sets become one class, represented by its smallest doc_id.
+   sets become one numbered class, whose node among the components is its smallest
+   doc_id: classes of one doc_id share a node, but each is compared for itself.
 2. Classes are posted under every (coordinate, value) pair of their signature.
    Two sets at the threshold agree in at least ``least_matches`` coordinates but
    for a chance of about 1e-7, so they share one of each other's
@@ -62,6 +63,16 @@ def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(own) if own else h), np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int64)
 
 
+def _digests(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two hashes of each text's whole set, 0 of an empty one."""
+    n = np.diff(offsets)
+    full = np.flatnonzero(n)
+    digest = np.zeros((2, len(n)), np.uint64)
+    for k in range(2 if len(full) else 0):
+        digest[k, full] = np.add.reduceat(mix64(h ^ np.uint64(k * 0x5851F42D4C957F2D)), offsets[:-1][full])
+    return digest
+
+
 def signatures(documents: DataFrame, size: int) -> DataFrame:
     """doc_id, n (size of the shingle set), digest (two longs), signature (array of coordinate-value pairs as longs)."""
 
@@ -70,12 +81,10 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
             h, offsets = _sets(batch.column("text"), size)
             n = np.diff(offsets)
             full = np.flatnonzero(n)
-            digest = np.zeros((2, len(n)), np.uint64)
+            digest = _digests(h, offsets)
             signature = np.zeros((len(full), COORDINATES), np.uint64)
             if len(full):
                 begin = offsets[:-1][full]
-                for k in range(2):
-                    digest[k, full] = np.add.reduceat(mix64(h ^ np.uint64(k * 0x5851F42D4C957F2D)), begin)
                 for k in range(COORDINATES):
                     least = np.minimum.reduceat((h ^ _XOR[k]) * _FACTOR[k], begin)
                     signature[:, k] = (least & ~_COORDINATE_BITS) | np.uint64(k)
@@ -89,7 +98,7 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(documents: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """doc_id, shingles (binary, sorted longs) of the documents in wanted(rep)."""
+    """cls, shingles (binary, sorted longs) of the classes wanted(cls, rep, n, d1, d2), from the texts of rep that have the digest."""
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_SLOTS)).cast("int")
     used = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(_SLOTS)).cast("int").alias("slot")).distinct().toArrow()
     maybe = np.zeros(_SLOTS, bool)
@@ -102,18 +111,22 @@ def shingle_sets(documents: DataFrame, size: int, wanted: DataFrame) -> DataFram
             if batch.num_rows:
                 h, offsets = _sets(batch.column("text"), size)
                 blobs = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+                digest = _digests(h, offsets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(blobs, pa.binary())],
+                    names=["rep", "n", "d1", "d2", "shingles"],
+                )
 
-    found = documents.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, shingles binary")
-    return found.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "shingles")
+    found = documents.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "rep long, n long, d1 long, d2 long, shingles binary")
+    return found.join(wanted, ["rep", "n", "d1", "d2"]).select("cls", "shingles")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of rep, comp, shingles."""
+    """A row for each shingle of cls, comp, shingles."""
     for batch in batches:
-        for rep, comp, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for cls, comp, blob in zip(*(c.to_pylist() for c in batch.columns)):
             h = np.frombuffer(blob, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x, t)) for x, t in ((rep, np.int64), (comp, np.int64), (len(h), np.int32))] + [pa.array(h)], names=["rep", "comp", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x, t)) for x, t in ((cls, np.int64), (comp, np.int64), (len(h), np.int32))] + [pa.array(h)], names=["cls", "comp", "n", "shingle"])
 
 
 def _compare(percent: int):
@@ -124,7 +137,7 @@ def _compare(percent: int):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            yield batch.select(["na", "nb"]).rename_columns(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
@@ -152,36 +165,36 @@ class _Linker:
     def __init__(self, documents: DataFrame, reps: DataFrame, size: int, percent: int):
         self.percent, self.matches = percent, least_matches(percent)
         prefix = COORDINATES - self.matches + 1
-        pairs = reps.select("rep", F.explode("signature").alias("token"))
+        pairs = reps.select("cls", "rep", F.explode("signature").alias("token"))
         frequent = pairs.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        own = pairs.join(frequent, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("met"))
+        own = pairs.join(frequent, "token").groupBy("cls", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("met"))
         # pairs that no other class has come first in the prefix and need no posting
         left = F.size("own") - F.lit(COORDINATES - prefix)
-        own = own.where(left > 0).select("rep", "met", F.slice("own.token", F.lit(1), left).alias("prefix"))
-        self.post = materialise(own.select("rep", "met", F.explode("prefix").alias("token")), "postings")
-        wanted = self.post.select("rep").distinct()
-        self.signatures = materialise(reps.select("rep", "signature").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "signatures")
-        self.sets = materialise(shingle_sets(documents, size, wanted).dropDuplicates(["rep"]), "sets")
+        own = own.where(left > 0).select("cls", "rep", "met", F.slice("own.token", F.lit(1), left).alias("prefix"))
+        self.post = materialise(own.select("cls", "rep", "met", F.explode("prefix").alias("token")), "postings")
+        wanted = materialise(reps.join(self.post.select("cls").distinct(), "cls", "left_semi"), "signatures")
+        self.signatures = wanted.select("cls", F.col("rep").alias("node"), "signature")
+        self.sets = materialise(shingle_sets(documents, size, wanted.drop("signature")).dropDuplicates(["cls"]), "sets")
         self.links: DataFrame | None = None
         self.tried: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def _lists(self) -> DataFrame:
-        """(token, rep, met, comp): the postings with the component that each class is in now."""
+        """(token, cls, rep, met, comp): the postings with the component that each class is in now."""
         if self.roots is None:
             return self.post.withColumn("comp", F.col("rep"))
         return self.post.join(self.roots.withColumnsRenamed({"node": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     def _try(self, pairs: DataFrame) -> None:
-        """Compare pairs(a, b); keep the links and refresh the components."""
+        """Compare pairs(a, b) of classes; keep the links of their nodes and refresh the components."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         sig, sets = self.signatures, self.sets
-        close = pairs.join(sig.withColumnsRenamed({"rep": "a", "signature": "x"}), "a").join(sig.withColumnsRenamed({"rep": "b", "signature": "y"}), "b")
-        close = close.where(F.size(F.array_intersect("x", "y")) >= self.matches).select("a", "b")
-        full = close.join(sets.withColumnsRenamed({"rep": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "sb"}), "b")
-        links = materialise(full.select("a", "b", "sa", "sb").mapInArrow(_compare(self.percent), "a long, b long"), "links")
+        close = pairs.join(sig.withColumnsRenamed({"cls": "a", "node": "na", "signature": "x"}), "a").join(sig.withColumnsRenamed({"cls": "b", "node": "nb", "signature": "y"}), "b")
+        close = close.where(F.size(F.array_intersect("x", "y")) >= self.matches).select("a", "b", "na", "nb")
+        full = close.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
+        links = materialise(full.select("na", "nb", "sa", "sb").mapInArrow(_compare(self.percent), "a long, b long"), "links")
         self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
         self.links = links if self.links is None else self.links.unionAll(links)
         stars = self.links if self.roots is None else links.unionAll(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -190,28 +203,28 @@ class _Linker:
     def round(self, number: int) -> None:
         lists = self._lists()
         rank = -F.col("met") if number == 0 else F.xxhash64("rep", F.lit(number))
-        draw = F.min(F.struct(rank.alias("h"), "rep", "comp"))
-        mixed = lists.groupBy("token").agg(draw.alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", F.col("lead.rep").alias("leader"), F.col("lead.comp").alias("leads"))
-        met = lists.join(mixed, "token").where("comp <> leads").groupBy("rep", "leader").agg(F.count("*").alias("n"))
-        best = met.groupBy("rep").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
-        self._try(best.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct())
+        draw = F.min(F.struct(rank.alias("h"), "rep", "cls", "comp"))
+        mixed = lists.groupBy("token").agg(draw.alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", F.struct("lead.rep", "lead.cls").alias("leader"), F.col("lead.comp").alias("leads"))
+        met = lists.join(mixed, "token").where("comp <> leads").groupBy("cls", "leader").agg(F.count("*").alias("n"))
+        best = met.groupBy("cls").agg(F.max(F.struct("n", "leader"))["leader"]["cls"].alias("leader"))
+        self._try(best.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct())
 
     def rest(self) -> None:
         lists = self._lists()
         mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        left = materialise(lists.join(mixed, "token", "left_semi").select("rep", "comp").distinct(), "left")
-        each = materialise(self.sets.join(left, "rep").select("rep", "comp", "shingles").mapInArrow(_shingles, "rep long, comp long, n int, shingle long"), "left-shingles")
+        left = materialise(lists.join(mixed, "token", "left_semi").select("cls", "comp").distinct(), "left")
+        each = materialise(self.sets.join(left, "cls").select("cls", "comp", "shingles").mapInArrow(_shingles, "cls long, comp long, n int, shingle long"), "left-shingles")
         frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-        own = each.join(frequent, "shingle").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+        own = each.join(frequent, "shingle").groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
         # shingles that no other set has come first in the order and need no posting
-        d = own.select("rep", "comp", "n", "own.shingle", (F.col("n") - F.size("own")).alias("unique"))
+        d = own.select("cls", "comp", "n", "own.shingle", (F.col("n") - F.size("own")).alias("unique"))
         # of two linked sets the longer shares one of its n - ceil(p n) + 1 first shingles, the shorter one of its n - ceil(2 p n / (1 + p)) + 1
         last = lambda up, down: F.col("n") - F.ceil(F.col("n") * up / down).cast("int") + 1 - F.col("unique")
         part = lambda size: F.posexplode(F.slice("shingle", F.lit(1), F.greatest(size, F.lit(0)))).alias("pos", "shingle")
         d = d.where(last(self.percent, 100) > 0)
-        long = d.select(F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "unique", part(last(self.percent, 100)))
+        long = d.select(F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "unique", part(last(self.percent, 100)))
         long = materialise(long.select("x", "cx", "nx", "shingle", (F.col("nx") - F.col("pos") - F.col("unique")).alias("rx")), "prefixes")
-        short = d.select(F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), "unique", part(last(2 * self.percent, 100 + self.percent)))
+        short = d.select(F.col("cls").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), "unique", part(last(2 * self.percent, 100 + self.percent)))
         short = short.select("y", "cy", "ny", "shingle", (F.col("ny") - F.col("pos") - F.col("unique")).alias("ry"))
         # from the shared shingle on, at most the rest of either set can still be shared
         sized = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
@@ -236,14 +249,15 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     table = materialise(signatures(documents, size), "sets")
     key = ["n", "d1", "d2"]
     reps = table.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "signature")).alias("x")).select(*key, F.col("x.doc_id").alias("rep"), F.col("x.signature").alias("signature"))
-    reps = materialise(reps, "classes")
+    reps = materialise(reps.withColumn("cls", F.monotonically_increasing_id()), "classes")
     linker = _Linker(documents, reps, size, percent)
     for k in range(ROUNDS):
         linker.round(k)
     linker.rest()
     # a document that has rows in several classes links them
     rows = table.select("doc_id", *key).join(reps.select(*key, "rep"), key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    several = rows.join(several, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
     roots = components(linker.roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(several))
     out = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep")

@@ -75,6 +75,22 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_texts_of_one_doc_id_are_each_compared(spark):
+    fresh = lambda name: " ".join(f"{name}{k}" for k in range(200))
+    near = lambda text: text + " more"
+    rows, wanted = [], {}
+    for g in range(0, 600, 10):  # g has two texts of its own, and each has a near copy
+        rows += [(g, fresh(f"x{g}_")), (g, fresh(f"y{g}_")), (g + 1, near(fresh(f"x{g}_"))), (g + 2, near(fresh(f"y{g}_")))]
+        wanted |= {g: g, g + 1: g, g + 2: g}
+    # 1009 has the texts of three others and an empty one; 1010 is near to the middle one of them
+    rows += [(1000 + k, fresh(f"z{k}_")) for k in (1, 2, 3)] + [(1009, fresh(f"z{k}_")) for k in (1, 2, 3)] + [(1009, ""), (1010, near(fresh("z2_"))), (1011, "")]
+    wanted |= {1001: 1001, 1002: 1001, 1003: 1001, 1009: 1001, 1010: 1001, 1011: 1011}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(d).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(wanted.items())
+    assert {r.doc_id for r in near_dedup.keep_first(d).collect()} == set(wanted.values())
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)]
