@@ -174,6 +174,14 @@ def test_chat_round_trip(spark):
     assert chat.conversations_text(chat.format_turns(d.limit(0))).count() == 0
 
 
+def test_targets_are_cut_out_by_the_mask(spark):
+    rows = [(1, 0, "user", "ask %<["), (1, 1, "assistant", "100% <b>[é𠀀]"), (1, 2, "user", "more"), (1, 3, "assistant", "")]
+    text = chat.conversations_text(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert chat.read_back(text).first().targets == ["100% <b>[é𠀀]", ""]
+    moved = F.transform("masks", lambda m: m.withField("loss_begin", m["loss_begin"] - 2).withField("loss_end", m["loss_end"] - 1))
+    assert chat.read_back(text.withColumn("masks", moved)).first().targets == ["t\n100% <b>[é𠀀", "t"]
+
+
 # --- decontamination ---
 
 
