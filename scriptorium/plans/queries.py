@@ -416,10 +416,11 @@ def api_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, rank, quote FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'é' END AS rank, substring(text, 1, 40) AS quote FROM documents)")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 != 0, "é").alias("rank"), F.substring("text", 1, 40).alias("quote"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 != 0, "é").alias("rank"), F.col("text").alias("quote"))
     path = _scratch(spark, "jsonl")
     sinks.write_jsonl(d, path)
-    return readers.jsonl(spark, path, "doc_id long, rank string, quote string")
+    # whole texts are written and read; the SQL shows the first characters of each
+    return readers.jsonl(spark, path, "doc_id long, rank string, quote string").withColumn("quote", F.substring("quote", 1, 40))
 
 
 @_query(_chunk_query(_PAGES, LOCAL))

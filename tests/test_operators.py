@@ -308,3 +308,16 @@ def test_pdf_pages_with_a_decoder(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"one|two")
     got = readers.pdf_pages(spark, str(tmp_path), lambda b: b.decode().split("|"))
     assert sorted((r.page_no, r.text) for r in got.collect()) == [(0, "one"), (1, "two")]
+
+
+def test_jsonl_roundtrip_writes_and_reads_whole_texts(spark, tmp_path, monkeypatch):
+    from scriptorium.plans import queries
+    from scriptorium.sources import readers
+
+    texts = ["x" * 40 + '\n"quoted" \\ \t\r\u2028 é𠀀', None, "", "line\n" * 20_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    read, seen = readers.jsonl, []
+    monkeypatch.setattr(readers, "jsonl", lambda *a: seen.append(read(*a)) or seen[-1])
+    shown = {r.doc_id: r.quote for r in queries.jsonl_roundtrip(spark, str(tmp_path)).collect()}
+    assert {r.doc_id: r.quote for r in seen[0].collect()} == dict(enumerate(texts))
+    assert shown == {k: t and t[:40] for k, t in enumerate(texts)}
