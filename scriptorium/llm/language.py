@@ -15,11 +15,11 @@ has at most 2**24 rows, whatever the corpus.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,14 @@ from .wordhash import slices, text_buffer
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
 _PART = 1 << 20
+#: Most bytes of the flattened tables, which every worker holds.
+MODEL_BYTES = 1 << 30
+
+
+def _with_letter(text: pa.Array) -> np.ndarray:
+    """Whether each text has a letter (Unicode category L); null has none."""
+    return pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
 def _triples(data: np.ndarray, offsets: np.ndarray, at: int, end: int) -> np.ndarray:
@@ -139,10 +145,18 @@ class PpmModel:
 
 
 def train(documents: DataFrame) -> PpmModel:
-    """The model of documents(text, lang).  To the driver goes at most one row a language and triple."""
+    """The model of documents(text, lang).
+
+    To the driver goes at most one row a language and triple.  The tables are
+    broadcast; languages and triples that would need more than ``MODEL_BYTES`` are
+    an error, as no worker should hold them.  Rows without text or language teach nothing.
+    """
     bounded_batches(documents.sparkSession)
     found = count_triples(documents).toArrow()
     lang, codes, n = found["lang"].to_numpy(), found["triple"].to_numpy(), found["n"].to_numpy()
+    needed = 4 * len(set(lang.tolist())) * (len(np.unique(codes)) + (2 << 16))
+    if needed > MODEL_BYTES:
+        raise ValueError(f"the language model would take {needed} bytes, more than {MODEL_BYTES}")
     return PpmModel({x: (codes[lang == x], n[lang == x]) for x in set(lang.tolist())})
 
 
@@ -150,9 +164,10 @@ def predict(documents: DataFrame, model: PpmModel) -> DataFrame:
     """doc_id, lang_pred, score of every row of documents(doc_id, text).
 
     score: the posterior of the predicted language under equal priors.  Null
-    text, text without a letter, or a model without languages: ``und``, 0.
-    Equal costs go to the alphabetically first language.  Repeated rows get a
-    row each; other columns are ignored; an empty table gives no rows.
+    text, text without a letter (Unicode category L), or a model without
+    languages: ``und``, 0.  Equal costs go to the alphabetically first language.
+    Very long texts are costed part by part.  Repeated rows get a row each; other
+    columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -163,7 +178,7 @@ def predict(documents: DataFrame, model: PpmModel) -> DataFrame:
         index = model.index()
         for batch in slices(batches):
             text = batch.column("text")
-            letters = [t is not None and _LETTER.search(t) is not None for t in text.to_pylist()]
+            letters = _with_letter(text)
             lang, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             if model.languages:
                 bits = model.bits(text, index)
@@ -184,7 +199,8 @@ def keep_identified(documents: DataFrame, model: PpmModel) -> DataFrame:
     """The rows of documents whose language the model tells with ``MIN_SCORE``; same columns.
 
     Null text, text without a letter and doubtful text go.  A model without
-    languages can't reject: every row with a letter stays.
+    languages can't reject: every row with a letter stays.  Repeated rows are
+    judged each; an empty table stays empty.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -195,10 +211,10 @@ def keep_identified(documents: DataFrame, model: PpmModel) -> DataFrame:
         index = model.index()
         for batch in slices(batches):
             text = batch.column("text")
-            keep = np.array([t is not None and _LETTER.search(t) is not None for t in text.to_pylist()], bool)
+            keep = _with_letter(text)
             if model.languages:
                 bits = model.bits(text, index)
-                keep &= 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) >= MIN_SCORE
+                keep = keep & (1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) >= MIN_SCORE)
             yield batch.filter(pa.array(keep))
 
     return documents.mapInArrow(run, documents.schema)
