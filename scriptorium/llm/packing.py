@@ -71,8 +71,8 @@ class UnitTokenizer:
 
     The vocabulary file is that of a byte-level BPE for ``tokenizers``; its ids
     come from the same merges run by ``tiktoken``, which is several times faster
-    (a test holds both against each other).  Control strings in a text are
-    ordinary text.
+    (a test holds both against each other).  As there, an added token of the
+    vocabulary that stands in a text has its own id and cuts the text around it.
 
     The byte-level pre-tokeniser never joins a blank that has a non-blank after
     it with what stands before, so a text may be cut before each such blank.
@@ -86,12 +86,16 @@ class UnitTokenizer:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model.get("added_tokens", ())}
+        self.added = {t["content"]: t["id"] for t in model.get("added_tokens", ())}
+        if any(t.get(k) for t in model.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take blanks or whole words only are not supported")
+        # the longest of those that start at one place
+        self._added = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         byte_of = _byte_of_letter()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.added}
         # a byte-level vocabulary is numbered in the order of its merges, so ids are ranks
         self.coder = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
-        self.sentence_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.sentence_end = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, dtype=bool)
         self.sentence_end[[i for token, i in ranks.items() if token[-1:] in (b".", b"!", b"?", b"\n")]] = True
         self.id_bytes = np.zeros(len(self.sentence_end), np.int64)
         self.id_bytes[list(ranks.values())] = [len(token) for token in ranks]
@@ -125,10 +129,19 @@ class UnitTokenizer:
             self._keep(self.first, [unit], ids, np.array([len(ids)]))
         return self.first[unit]
 
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text that may not be cut at blanks, or has added tokens."""
+        out, at = [], 0
+        for m in self._added.finditer(text):
+            out += [*self.coder.encode_ordinary(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return np.array(out + self.coder.encode_ordinary(text[at:]), np.uint32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.led) + len(self.first) > CACHE_UNITS:
             self._clear()
-        unsafe = [k for k, t in enumerate(texts) if self._unsafe.search(t)]
+        unsafe = [k for k, t in enumerate(texts) if self._unsafe.search(t) or any(a in t for a in self.added)]
         skip = set(unsafe)
         lists = pc.split_pattern(pa.array(["" if k in skip else t for k, t in enumerate(texts)], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
@@ -149,7 +162,7 @@ class UnitTokenizer:
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
         out = np.split(ids, total[begins[1:-1]])
         for k in unsafe:
-            out[k] = np.array(self.coder.encode_ordinary(texts[k]), np.uint32)
+            out[k] = self._whole(texts[k])
         return out
 
 
@@ -252,9 +265,11 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     """Pieces of the packed sequences of all documents.
 
     documents: doc_id long, text string; other columns are ignored.  Null text:
-    empty, so its only token is the end id.  Repeated rows are packed each.  An
-    empty table gives no rows.  Sequences are gapless from offset 0; the last
-    of each partition, and the last of a stream's block, may be short.
+    empty, so its only token is the end id.  Repeated rows are packed each, in the
+    stored order; of cuts of equal cost the earliest is taken.  A very long text
+    spans blocks and sequences, each of its ids in one piece.  An empty table gives
+    no rows.  Sequences are gapless from offset 0; the last of each partition, and
+    the last of a stream's block, may be short.
     """
     bounded_batches(documents.sparkSession)
 

@@ -115,7 +115,6 @@ def test_ids_are_those_of_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(TOKENS)
-    library.encode_special_tokens = True
     rng = random.Random(1)
     alphabet = ["a", "B", "'s", "'ll", " ", "  ", "\n", "\t", " \n", "\r\n", "é", "中", "9", "½", ".", "!", "\xa0", "　", "𠀀", "<|endoftext|>", "\x1c", "\x85", "-", " x"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
