@@ -6,7 +6,7 @@ context vector is the sum of the index vectors of its neighbours at all places
 of all texts.  The sums are integers, so neither the order of merging nor a
 retried task changes them.  A text is the mean of its words' and of its shapes'
 context vectors.  A two-layer numpy network is fitted to at most
-``MAX_TRAIN_ROWS`` labelled rows (those of least hash); its logits are divided
+``MAX_TRAIN_ROWS`` distinct labelled rows (those of least hash); its logits are divided
 by a temperature fitted to rows that the network has not seen.
 
 The model is BUCKETS x DIMENSIONS numbers, whatever the corpus.
@@ -154,22 +154,25 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def _bounded(labels: DataFrame) -> DataFrame:
-    """At most MAX_TRAIN_ROWS labels: those of least hash, to a limit that a histogram of the hashes gives."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS))
-    found = labels.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
+def _bounded(rows: DataFrame) -> DataFrame:
+    """At most MAX_TRAIN_ROWS of the distinct rows: those of least hash, to a limit that a histogram of the hashes gives."""
+    rows = rows.distinct()
+    slot = F.pmod(F.xxhash64(*rows.columns), F.lit(_SLOTS))
+    found = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
     n = np.zeros(_SLOTS, np.int64)
     n[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return labels.where(slot < int(np.searchsorted(np.cumsum(n), MAX_TRAIN_ROWS, "right")))
+    return rows.where(slot < int(np.searchsorted(np.cumsum(n), MAX_TRAIN_ROWS, "right")))
 
 
 def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (score >= THRESHOLD) of every row.
 
     documents(doc_id, text) are all scored; only ``labels`` (doc_id, quality)
-    teach, rows with a null quality or an unknown doc_id do not.  Null text is
-    empty; empty texts get a score like any other.  Repeated rows get a row each;
-    other columns are ignored; an empty table gives no rows.
+    teach, rows with a null quality or an unknown doc_id do not.  A doc_id with
+    several texts or labels teaches each distinct one.  Null text is empty; empty
+    texts get a score like any other, very long ones the mean of all their words.
+    Repeated rows get a row each, and the same score; other columns are ignored; an
+    empty table gives no rows.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -182,7 +185,7 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     embedded = materialise(documents.select("doc_id", "text").mapInArrow(embed, "doc_id long, x binary"), "pooled")
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = embedded.join(_bounded(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").toArrow()
+    rows = _bounded(materialise(embedded.join(known, "doc_id"), "labelled")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").toArrow()
     width = 2 * DIMENSIONS + 1
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, width)
     net = fit(x, rows["quality"].to_numpy())
