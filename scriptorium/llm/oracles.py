@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import LEAST_SPREAD, MIN_GROUP, WIDTH
+from .quality_rules import LEAST_SPREAD, PRIOR_TEXTS, WIDTH
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,19 +41,22 @@ def quality_rules() -> str:
         FROM (SELECT lang, source, unnest([{", ".join(f"{{'feature': '{f}', 'v': {f}}}" for f in names)}]) AS x FROM f WHERE NOT base_failed) GROUP BY ALL),
     by_source AS ({fence("lang, source")}), by_lang AS ({fence("lang")})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        NOT base_failed AND NOT ({" OR ".join(f"coalesce(f.{n} > coalesce(s.{n}, l.{n}), false)" for n in names)}) AS kept, {", ".join(f"f.{n}::BIGINT AS {n}" for n in names)}
-    FROM f LEFT JOIN (SELECT * FROM by_source WHERE seen >= {MIN_GROUP}) s USING (lang, source) LEFT JOIN by_lang l USING (lang)
+        NOT base_failed AND NOT ({" OR ".join(f"coalesce(f.{n} > (s.seen * s.{n} + {PRIOR_TEXTS} * l.{n}) // (s.seen + {PRIOR_TEXTS}), false)" for n in names)}) AS kept, {", ".join(f"f.{n}::BIGINT AS {n}" for n in names)}
+    FROM f LEFT JOIN by_source s USING (lang, source) LEFT JOIN by_lang l USING (lang)
     """
 
 
 CHAT = r"""
     WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, 10 + length(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '[', '%5B'), chr(10), '%0A')) AS head,
+        length(replace(replace(replace(text, '%', '%25'), '<', '%3C'), '[', '%5B')) + 8 AS body FROM t),
+    s AS (SELECT *, sum(head + body) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - body AS context FROM e),
     c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-        sum(18 + length(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '[', '%5B'), chr(10), '%0A')) + length(replace(replace(replace(text, '%', '%25'), '<', '%3C'), '[', '%5B')))::BIGINT AS formatted_chars
-        FROM t GROUP BY conv_id)
-    SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(head + body)::BIGINT AS formatted_chars,
+        count(*) FILTER (role = 'assistant') AS n_examples, coalesce(sum(context) FILTER (role = 'assistant'), 0)::BIGINT AS context_chars
+        FROM s GROUP BY conv_id)
+    SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_examples::BIGINT AS n_examples, context_chars FROM c
 """
 
 NEAR_DUPLICATES = rf"""

@@ -5,14 +5,19 @@ features of all texts go into quantile sketches: log-linear histograms with a
 bucket for each integer below 16 and 16 buckets an octave above, so a quantile
 is off by at most a sixteenth.  Sketches merge by adding counts - the result
 does not depend on the order of merging, and a retried task changes nothing.
-They are built for (language, source) and merged to languages.  A text is
-compared with the fences of its source, or where that has under ``MIN_GROUP``
-texts those of its language:
+They are built for (language, source) and merged to languages.  Each has fences
 
     fence = q75 + WIDTH * max(q75 - q25, the feature's least spread)
 
+and a text is compared with its source's fence, drawn towards its language's the
+more the fewer texts the source has (as if the language had ``PRIOR_TEXTS`` in it):
+
+    (texts * source fence + PRIOR_TEXTS * language fence) // (texts + PRIOR_TEXTS)
+
 Only built-in functions.  A hot source is summed before the shuffle; the
-sketch table has at most (groups x features x 1,000) rows.
+sketch table has at most (groups x features x 1,000) rows.  Fences are broadcast
+while there are at most ``BROADCAST_ROWS`` of them; more are joined by a
+shuffle, whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 MIN_WORDS = 50
-MIN_GROUP = 200
+PRIOR_TEXTS = 200
+BROADCAST_ROWS = 100_000
 WIDTH = 4
 #: Features and the least spread (per mille) that their fences assume.
 LEAST_SPREAD = {"word_length": 250, "symbol_share": 8, "dup_line_share": 100, "repeat_share": 100, "capital_share": 20}
@@ -115,13 +121,19 @@ def judge(documents: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept of every row of documents(doc_id, text, lang, source).
 
     kept: not base_failed, and no feature above its fence.  A null language or
-    source counts as "".  Repeated rows get a row each; an empty table
-    gives none; other columns are ignored.
+    source counts as "", null text as empty.  A very long text is one row's work.
+    Values on a fence are kept.  Repeated rows get a row each; an empty table gives
+    none; other columns are ignored.
     """
     features = materialise(count_features(documents), "quality-features")
     sketches = sketch(features)
-    source = fences(sketches, ["lang", "source"]).where(F.col("seen") >= MIN_GROUP)
-    d = features.join(source.select("lang", "source", *[F.col(f).alias(f"{f}_source") for f in LEAST_SPREAD]), ["lang", "source"], "left")
-    d = d.join(fences(sketches, ["lang"]).select("lang", *[F.col(f).alias(f"{f}_lang") for f in LEAST_SPREAD]), "lang", "left")
-    above = [F.coalesce(F.col(f) > F.coalesce(f"{f}_source", f"{f}_lang"), F.lit(False)) for f in LEAST_SPREAD]
+    own, whole = fences(sketches, ["lang", "source"]), fences(sketches, ["lang"])
+    both = own.join(whole.select("lang", *[F.col(f).alias(f"{f}_lang") for f in LEAST_SPREAD]), "lang")
+    total = F.col("seen") + PRIOR_TEXTS
+    mixed = lambda f: F.col("seen") * F.col(f) + PRIOR_TEXTS * F.col(f"{f}_lang")
+    drawn = [((mixed(f) - mixed(f) % total) / total).cast("long").alias(f"{f}_fence") for f in LEAST_SPREAD]
+    both = materialise(both.select("lang", "source", *drawn), "quality-fences")
+    d = features.join(F.broadcast(both) if both.count() <= BROADCAST_ROWS else both, ["lang", "source"], "left")
+    # a group without fences has no text that passed the base
+    above = [F.coalesce(F.col(f) > F.col(f"{f}_fence"), F.lit(False)) for f in LEAST_SPREAD]
     return d.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~reduce(Column.__or__, above)).alias("kept"), *[F.col(f) for f in LEAST_SPREAD])

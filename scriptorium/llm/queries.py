@@ -19,21 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import conversations_text, format_turns, read_back
+    from .chat import format_turns, read_back
 
     control = spark.sql("select -1L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text union all select -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
-    d = read_back(conversations_text(format_turns(rows)))
-    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("targets", "")
-    return d.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        "formatted_chars",
-    )
+    return read_back(format_turns(rows))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,18 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.judge(d.limit(0)).count() == 0
 
 
+def test_sources_have_fences_of_their_own(spark):
+    """The more texts a source has, the more its own fences count; a rare source has its language's."""
+    vocabulary = [f"word{chr(97 + k)}" for k in range(20)]
+    rng = random.Random(15)
+    body = lambda marks: " ".join(rng.choice(vocabulary) + ("#" if j < marks else "") for j in range(100))
+    rows = [(k, body(0), "en", "plain") for k in range(1500)] + [(10_000 + k, body(40), "en", "code") for k in range(500)]
+    rows += [(20_000, body(40), "en", "plain"), (20_001, body(40), "en", "code"), (20_002, body(40), "en", "rare"), (20_003, body(0), "en", "rare")]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and [got[20_000 + k] for k in range(4)] == [False, True, True, True]
+    assert all(got[k] for k in range(1500)) and all(got[10_000 + k] for k in range(500))
+
+
 # --- quality classifier ---
 
 
@@ -90,6 +102,16 @@ def test_classifier_learns_and_holds_edges(spark):
     assert {r.score for r in quality_model.score_quality(d, labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_bounds_its_rows(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality_model, "MAX_TRAIN_ROWS", 40)
+    monkeypatch.setattr(quality_model, "fit", lambda x, y, fit=quality_model.fit: fitted.append(len(x)) or fit(x, y))
+    d = spark.createDataFrame([(k, f"text {k} {j}") for k in range(30) for j in range(20)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    assert quality_model.score_quality(d, labels).count() == 1200
+    assert 0 < fitted[0] <= 40
+
+
 # --- language identification ---
 
 
@@ -129,7 +151,7 @@ def test_code_lengths_are_exact(spark):
     bits = model.bits(pa.array(asked), model.index())
     for row, t in zip(bits, asked):
         assert row == pytest.approx([ppm_bits(counts[lang], t or "") for lang in model.languages], rel=1e-5, abs=1e-6)
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs(spark, ["the dog over a street", "der Hund über die Straße", None, "", "123 !?", LONG]), model).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs(spark, ["the dog over a street", "der Hund über die Straße", None, "", "½ ² ① Ⅷ 123 !?", LONG]), model).collect()}
     assert [got[k][0] for k in range(6)] == ["en", "de", "und", "und", "und", got[5][0]]
     assert all(0 <= s <= 1 for _, s in got.values()) and got[2][1] == 0
     d = docs(spark, ["the dog over a street", None, "123"])
@@ -152,34 +174,56 @@ def test_code_lengths_over_parts(monkeypatch):
 # --- chat ---
 
 
+def digest(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "%3C <|end|>\n<|start|>assistant\n", "", None, "a\n\nb", "%", "𠀀" * 3, "%25[", LONG]
     rng = random.Random(6)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "a\nb%", None]), rng.choice(odd), "x") for c in range(30) for t in range(rng.randint(1, 9))]
-    rows += [(99, 0, "assistant", "same", "x")] * 2 + [(100, None, "user", "only", "x")]
+    rows += [(99, 0, "assistant", "same", "x")] * 2 + [(100, None, "user", "only", "x"), (None, 0, "assistant", "no conversation", "x")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string")
     turns = chat.format_turns(d)
-    got = {r.conv_id: r for r in chat.read_back(chat.conversations_text(turns)).collect()}
-    texts = {r.conv_id: r.formatted for r in chat.conversations_text(turns).collect()}
+    formatted = chat.conversations_text(turns)
+    got = {r.conv_id: r for r in chat.read_back(turns).collect()}
+    texts = {r.conv_id: r.formatted for r in formatted.collect()}
+    read = {r.conv_id: r.turns for r in chat.read_turns(formatted).collect()}
     low = lambda x: (x is not None, x or "")  # noqa: E731  nulls first
+    wanted = []
     for c in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == c), key=lambda r: ((r[1] is not None, r[1]), low(r[2]), low(r[3])))
-        assert [(t.role, t.text) for t in got[c].turns] == [(r[2] or "", r[3] or "") for r in own]
-        assert got[c].targets == [r[3] or "" for r in own if r[2] == "assistant"]
+        loss = [r[3] or "" for r in own if r[2] == "assistant"]
+        wanted += [(c, k + 1, r[3] or "") for k, r in enumerate(own) if r[2] == "assistant"]
+        assert [(t.role, t.text) for t in read[c]] == [(r[2] or "", r[3] or "") for r in own]
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), digest("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)))
+        assert (got[c].loss_chars, got[c].loss_sha256, got[c].n_examples) == (len("".join(loss)), digest("".join(loss)), len(loss))
         assert got[c].formatted_chars == len(texts[c])
+    expanded = [tuple(r) for r in chat.expand(formatted).select("conv_id", "example", "target", "context_chars").collect()]
+    assert sorted((r[:3] for r in expanded if r[1]), key=str) == sorted(wanted, key=str)
+    contexts = {r[:2]: r[3] for r in expanded}
     for r in chat.example_texts(turns).collect():
         assert texts[r.conv_id].startswith(r.context + r.target + chat.END)
-        assert r.context.endswith("assistant\n")
-    assert chat.examples(turns).count() == sum(r[2] == "assistant" for r in rows)
-    assert chat.conversations_text(chat.format_turns(d.limit(0))).count() == 0
+        assert r.context.endswith("assistant\n") and len(r.context) == contexts[r.conv_id, r.example]
+        # all preceding turns and nothing of the later ones
+        assert r.context.count(chat.START) == r.example and r.context.count(chat.END) == r.example - 1
+    assert chat.read_back(chat.format_turns(d.limit(0))).count() == 0
 
 
 def test_targets_are_cut_out_by_the_mask(spark):
     rows = [(1, 0, "user", "ask %<["), (1, 1, "assistant", "100% <b>[é𠀀]"), (1, 2, "user", "more"), (1, 3, "assistant", "")]
     text = chat.conversations_text(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
-    assert chat.read_back(text).first().targets == ["100% <b>[é𠀀]", ""]
+    targets = lambda d: [r.target for r in chat.expand(d).orderBy("example").collect()]
+    assert targets(text) == ["100% <b>[é𠀀]", ""]
     moved = F.transform("masks", lambda m: m.withField("loss_begin", m["loss_begin"] - 2).withField("loss_end", m["loss_end"] - 1))
-    assert chat.read_back(text.withColumn("masks", moved)).first().targets == ["t\n100% <b>[é𠀀", "t"]
+    assert targets(text.withColumn("masks", moved)) == ["t\n100% <b>[é𠀀", "t"]
+
+
+def test_a_long_conversation_costs_its_length(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('turn ', id, ' of it') text")
+    r = chat.read_back(chat.format_turns(rows)).first()
+    assert (r.n_turns, r.n_examples) == (n, n // 2) and r.loss_sha256 == digest("".join(f"turn {k} of it" for k in range(1, n, 2)))
 
 
 # --- decontamination ---
