@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The cluster's shared folder ``spark.checkpoint.dir``; a temporary one only where it is unset on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", folder)
     # with its scheme, so that Spark and other readers take the same file system
@@ -25,12 +29,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = path
+    weakref.finalize(out, _folders.pop, id(out), None)
+    return out
+
+
+_folders: dict[int, str] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of tables from ``materialise`` that no later step reads, and let Spark drop dead shuffles."""
+    for table in tables:
+        spark, path = table.sparkSession, _folders.pop(id(table))
+        whole = spark._jvm.org.apache.hadoop.fs.Path(path)
+        whole.getFileSystem(spark._jsc.hadoopConfiguration()).delete(whole, True)
+    if tables:
+        # shuffle files go when the driver collects the plans that made them
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:

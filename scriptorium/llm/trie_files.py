@@ -8,13 +8,18 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
 
 _ALIGN = 64
-_local: dict[str, str] = {}
-_opened: dict[str, dict[str, np.ndarray]] = {}
+#: Most bytes of remote files that a worker process keeps on its local disk; those longest unused go.
+LOCAL_BYTES = 4 << 30
+_opened: OrderedDict[str, tuple[dict[str, np.ndarray], str | None, int]] = OrderedDict()
+_folder: list[str] = []
+#: Most files that a worker process holds open.
+OPEN_FILES = 4096
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -42,29 +47,58 @@ def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
 
 
 def open_arrays(uri: str) -> dict[str, np.ndarray]:
-    """Map a file's arrays into memory; one on a remote file system is copied to local disk first, once a process."""
+    """Map a file's arrays into memory; one on a remote file system is copied to local disk first, within LOCAL_BYTES."""
     if uri in _opened:
-        return _opened[uri]
+        _opened.move_to_end(uri)
+        return _opened[uri][0]
     system, path = _filesystem(uri)
+    copy = None
     if not isinstance(system, fs.LocalFileSystem):
-        if not _local:
-            _local[""] = tempfile.mkdtemp(prefix="trie-")
-            atexit.register(shutil.rmtree, _local[""], ignore_errors=True)
-        path_here = os.path.join(_local[""], uuid.uuid4().hex)
-        with system.open_input_stream(path) as source, open(path_here, "wb") as out:
+        if not _folder:
+            _folder.append(tempfile.mkdtemp(prefix="trie-"))
+            atexit.register(shutil.rmtree, _folder[0], ignore_errors=True)
+        copy = os.path.join(_folder[0], uuid.uuid4().hex)
+        with system.open_input_stream(path) as source, open(copy, "wb") as out:
             shutil.copyfileobj(source, out)
-        path = path_here
+        path = copy
     raw = np.memmap(path, np.uint8, "r")
     size = int.from_bytes(raw[:8].tobytes(), "little")
     base = 8 + size + (-(8 + size) % _ALIGN)
     out = {}
     for name, (kind, n, at) in json.loads(raw[8 : 8 + size].tobytes()).items():
         kind = np.dtype(kind)
-        out[name] = raw[base + at : base + at + n * kind.itemsize].view(kind)
-    _opened[uri] = out
+        out[name] = np.asarray(raw[base + at : base + at + n * kind.itemsize]).view(kind)
+    _opened[uri] = out, copy, len(raw) if copy else 0
+    while len(_opened) > 1 and (len(_opened) > OPEN_FILES or sum(x[2] for x in _opened.values()) > LOCAL_BYTES):
+        _, gone, _ = _opened.popitem(last=False)[1]
+        if gone:  # its pages stay until the last array is let go
+            os.remove(gone)
     return out
 
 
+def pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """Values below 2**bits (bits up to 63), one after the other in 64-bit words."""
+    v, at = values.astype(np.uint64), np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
+    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    out = np.zeros((int(word[-1]) if len(v) else 0) + 2, np.uint64)
+    if len(v):
+        head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out[word[head]] = np.bitwise_or.reduceat(v << shift, head)
+        over = np.flatnonzero(shift + np.uint64(bits) > 64)  # at most one a word
+        out[word[over] + 1] |= v[over] >> (np.uint64(64) - shift[over])
+    return out
+
+
+def bits_at(packed: np.ndarray, bits: int, places: np.ndarray) -> np.ndarray:
+    """Values of ``pack_bits`` at places."""
+    at = places.astype(np.uint64) * np.uint64(bits)
+    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    out = packed[word] >> shift
+    out |= (packed[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+    out &= np.uint64((1 << bits) - 1)
+    return out.view(np.int64)
+
+
 _ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _COUNT = _ones.sum(1).astype(np.uint8)
 #: Place of the k-th one bit of each byte.
@@ -87,11 +121,7 @@ class EliasFano:
         vector = np.zeros(-(-(int(high[-1]) + 1 if n else 1) // 64) * 64, np.uint8)
         vector[high] = 1
         upper = np.packbits(vector, bitorder="little")
-        low = np.zeros(0, np.uint8)
-        if bits:
-            each = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-            low = np.packbits(each.astype(np.uint8).reshape(-1), bitorder="little")
-            low = np.append(low, np.zeros(8 + -len(low) % 8, np.uint8))
+        low = pack_bits(values & np.uint64((1 << bits) - 1), bits) if bits else np.zeros(0, np.uint64)
         ranks = np.cumsum(np.append(0, _COUNT[upper].reshape(-1, 8).sum(1, dtype=np.int64)))
         return {f"{prefix}_upper": upper, f"{prefix}_low": low, f"{prefix}_ranks": ranks.astype(np.uint32 if n < 2**32 else np.uint64), f"{prefix}_bits": np.array([bits], np.uint8)}
 
@@ -111,11 +141,5 @@ class EliasFano:
         left -= np.where(octet > 0, counts[row, np.maximum(octet - 1, 0)], 0)
         value = at + 8 * octet + _PLACE[octets[row, octet], left] - places
         if self.bits:
-            bit = places * self.bits
-            first = bit >> 3
-            window = np.zeros(len(places), np.uint64)
-            for k in range(8):
-                window |= self.low[first + k].astype(np.uint64) << np.uint64(8 * k)
-            low = (window >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
-            value = (value << self.bits) | low.astype(np.int64)
+            value = (value << self.bits) | bits_at(self.low, self.bits, places)
         return value

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm.language_model import DISCOUNT, MIN_COUNT, score_texts
-from scriptorium.llm.trie_files import EliasFano, open_arrays, write_arrays
+from scriptorium.llm import language_model, trie_files
+from scriptorium.llm.language_model import DISCOUNT, score_texts
+from scriptorium.llm.trie_files import EliasFano, bits_at, open_arrays, pack_bits, write_arrays
 
 
 def tokens(text):
@@ -22,13 +23,12 @@ def brute_force(texts, train):
     c1 = Counter(w for r in learned for w in r)
     total, types = sum(c1.values()), len(c1)
     c2 = Counter(p for r in learned for p in zip(r, r[1:]))
-    c2 = {k: n for k, n in c2.items() if n >= MIN_COUNT}
-    c3 = Counter(p for r in learned for p in zip(r, r[1:], r[2:]) if p[:2] in c2 and p[1:] in c2)
-    c3 = {k: n for k, n in c3.items() if n >= MIN_COUNT}
+    c3 = Counter(p for r in learned for p in zip(r, r[1:], r[2:]))
 
     def weight(grams, context, whole):
         own = [n for g, n in grams.items() if g[:-1] == context]
-        return (whole - sum(own) + DISCOUNT * len(own)) / whole if own else 1.0
+        assert not own or sum(own) == whole
+        return DISCOUNT * len(own) / whole if own else 1.0
 
     def p1(w):
         return (c1[w] + 0.5) / (total + 0.5 * (types + 1))
@@ -59,7 +59,12 @@ def run(spark, rows):
     return {(r.doc_id): (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got}, len(got)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("part_tokens, flush", [(2_000_000, 2_000_000), (40, 300)])
+def test_against_brute_force(spark, monkeypatch, part_tokens, flush):
+    """Small parts deal frequent contexts over several files."""
+    monkeypatch.setattr(language_model, "PART_TOKENS", part_tokens)
+    monkeypatch.setattr(language_model, "FLUSH", flush)
+    monkeypatch.setattr(language_model, "SHARD_WORDS", 4 if flush < 1000 else 2_000_000)
     rng = random.Random(3)
     words = ["The", "the", "a", "cat", "dog", "ran", "sat", "on", "é", "mat x", "z"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 30]))) for _ in range(60)] + [None, "", " \n", "unseen words only"] + ["the cat sat on a mat"] * 5 + ["long " * 3000]
@@ -80,6 +85,32 @@ def test_without_training_rows_and_without_rows(spark):
     assert run(spark, [])[1] == 0
 
 
+def test_held_out_gain_over_the_base(spark):
+    """Every n-gram counts: a text that stood once in training is told from one that did not."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randint(0, 300)}" for _ in range(60))
+    seen, unseen = [text() for _ in range(40)], [text() for _ in range(40)]
+    rows = [(k, t, True, None) for k, t in enumerate(seen)] + [(100 + k, t, False, None) for k, t in enumerate(seen + unseen)]
+    got, _ = run(spark, rows)
+    again, fresh = [got[100 + k][4] for k in range(40)], [got[140 + k][4] for k in range(40)]
+    assert max(fresh) < min(again) and sum(fresh) > sum(got[140 + k][3] for k in range(40)) * 1.05
+
+
+def test_packed_bits(tmp_path):
+    rng = np.random.default_rng(4)
+    for bits in (1, 7, 23, 32, 41, 63):
+        for n in (0, 1, 63, 64, 1000):
+            v = rng.integers(0, 2**bits, n)
+            assert (bits_at(pack_bits(v, bits), bits, np.arange(n)) == v).all()
+
+
+def test_opened_files_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(trie_files, "OPEN_FILES", 3)
+    uris = [write_arrays(f"file://{tmp_path}", {"x": np.arange(k)}) for k in range(9)]
+    for uri in uris * 2:
+        assert (open_arrays(uri)["x"] == np.arange(uris.index(uri))).all() and len(trie_files._opened) <= 3
+
+
 def test_elias_fano(tmp_path):
     rng = np.random.default_rng(1)
     for n, top in ((1, 0), (1, 1000), (500, 3), (1000, 10**9), (4000, 4000)):
