@@ -142,34 +142,30 @@ class Level:
     hot_types: np.ndarray
     hot_weight: np.ndarray
 
-    def ask(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row (-1: none), log10 probability, back-off weight of the context, row of its first successor (-1: none).
+    def ask(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row (-1: none), place among its context's successors (-1: none), and log10 probability or, of none, back-off weight.
 
         A context of -1 is unknown; a word of -1 is after no context.
         """
         n = len(context)
-        row, log, weight, begin = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n), np.full(n, -1, np.int64)
         asked = np.flatnonzero(context >= 0)
-        if not len(asked):
-            return row, log, weight, begin
-        order = _sorted(context[asked], word[asked])
-        asked = asked[order]
         c, w = context[asked], word[asked]
-        head = _changes(c)
-        new = np.zeros(len(c), bool)
-        new[head] = True
+        order = _sorted(c, w)
+        asked, c, w = asked[order], c[order], w[order]
+        new = np.ones(len(c), bool)
+        np.not_equal(c[1:], c[:-1], out=new[1:])
         new[1:] |= w[1:] != w[:-1]
         head = np.flatnonzero(new)
-        got = self._distinct(c[head], w[head])
-        back = np.cumsum(new) - 1
-        for out, x in zip((row, log, weight, begin), got):
-            out[asked] = x[back]
-        return row, log, weight, begin
-
-    def _distinct(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``ask`` for distinct keys in order."""
+        size = np.diff(np.append(head, len(c)))
+        out = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n)
+        for x, got in zip(out, self._distinct(c[head], w[head])[:3]):
+            x[asked] = np.repeat(got, size)
+        return out
+
+    def _distinct(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``ask`` for distinct keys in order; and the row of the contexts' first successors (-1: none)."""
         n = len(c)
-        row, log, weight, begin = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n), np.full(n, -1, np.int64)
+        row, place, log, begin = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.full(n, -1, np.int64)
         cuts = np.append(_cut_places(c, w, self.major, self.minor), n)
         for k in np.flatnonzero(np.diff(cuts)):
             if self.uris[k] is None:
@@ -185,34 +181,41 @@ class Level:
             distinct = local[head]
             pointer = EliasFano(a, "pointer")
             low, high = pointer[distinct], pointer[distinct + 1]
-            weight[x:y] = np.repeat(np.where(high > low, _restore(a["weight"][distinct]), 0.0), size)
-            begin[x:y] = np.repeat(np.where(high > low, self.offsets[k] + low, -1), size)
-            at, end = np.repeat(low, size), np.repeat(high, size)
+            full = high > low
+            log[x:y] = np.repeat(np.where(full, _restore(a["weight"][distinct]), 0.0), size)
+            begin[x:y] = np.repeat(np.where(full, self.offsets[k] + low, -1), size)
+            lo, first, end = np.repeat(low, size), np.repeat(low, size), np.repeat(high, size)
             words, bits = a["word"], int(a["bits"][0])
+            hi = end.copy()
             # a long slice is searched by itself, once for all that is asked of it
             for j in np.flatnonzero((high - low > _LONG_SLICE) & (64 * size > high - low)):
                 own = slice(head[j], head[j] + size[j])
-                at[own] += np.searchsorted(bits_at(words, bits, np.arange(low[j], high[j])), word[own])
-            long = np.repeat((high - low > _LONG_SLICE) & (64 * size > high - low), size)
+                lo[own] += np.searchsorted(bits_at(words, bits, np.arange(low[j], high[j])), word[own])
+                hi[own] = lo[own]
             # in the others the first successor that is not less, all slices at a time
-            lo, hi = at, np.where(long, at, end)
-            open_ = np.flatnonzero(lo < hi)
+            open_ = np.flatnonzero((lo < hi) & (word >= 0))
+            low_, high_, asked = lo[open_], hi[open_], word[open_]
             while len(open_):
-                low_, high_ = lo[open_], hi[open_]
                 middle = (low_ + high_) >> 1
-                less = bits_at(words, bits, middle) < word[open_]
+                less = bits_at(words, bits, middle) < asked
                 low_, high_ = np.where(less, middle + 1, low_), np.where(less, high_, middle)
-                lo[open_], hi[open_] = low_, high_
-                open_ = open_[low_ < high_]
-            inner = np.flatnonzero(lo < end)
+                more = low_ < high_
+                done = ~more
+                lo[open_[done]] = low_[done]
+                open_, low_, high_, asked = open_[more], low_[more], high_[more], asked[more]
+            inner = np.flatnonzero((lo < end) & (word >= 0))
             hit = inner[bits_at(words, bits, lo[inner]) == word[inner]]
             row[x + hit] = self.offsets[k] + lo[hit]
+            place[x + hit] = lo[hit] - first[hit]
             log[x + hit] = _restore(a["log"][lo[hit]])
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, c), len(self.hot) - 1)
-            own = self.hot[at] == c
-            weight[own], begin[own] = self.hot_weight[at[own]], self.hot_first[at[own]]
-        return row, log, weight, begin
+            own = np.flatnonzero(self.hot[at] == c)
+            at = at[own]
+            begin[own] = self.hot_first[at]
+            place[own] = np.where(row[own] >= 0, row[own] - begin[own], -1)
+            log[own] = np.where(row[own] >= 0, log[own], self.hot_weight[at])
+        return row, place, log, begin
 
     def logs(self, rows: np.ndarray) -> np.ndarray:
         return _gather(self.uris, self.offsets, rows, lambda a, at: _restore(a["log"][at]), np.float64)
@@ -222,7 +225,8 @@ class Level:
 
     def begins(self, context: np.ndarray) -> np.ndarray:
         """Row of the first successor of each context."""
-        return self.ask(context, np.full(len(context), -1, np.int64))[3]
+        distinct, back = np.unique(context, return_inverse=True)
+        return self._distinct(distinct, np.full(len(distinct), -1, np.int64))[3][back]
 
     def types(self, context: int) -> int:
         """Number of successors of one context."""
@@ -263,13 +267,13 @@ class Trie:
         if self.pairs is None:
             return log
         context = np.where(first, -1, np.append(-1, ids[:-1]))
-        row, found, weight, begin = self.pairs.ask(context, ids)
-        log = np.where(row >= 0, found, weight + log)
+        row, place, own = self.pairs.ask(context, ids)
+        log = np.where(row >= 0, own, own + log)
         if self.triples is None:
             return log
         context = np.where(first, -1, np.append(-1, row[:-1]))
-        row, found, weight, _ = self.triples.ask(context, np.where(row >= 0, row - begin, -1))
-        return np.where(row >= 0, found, weight + log)
+        row, _, own = self.triples.ask(context, place)
+        return np.where(row >= 0, own, own + log)
 
 
 def _with_ends(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -403,8 +407,8 @@ def _count_level(coded: DataFrame, trie: Trie, major: np.ndarray, minor: np.ndar
             context = np.where(first, -1, np.append(-1, ids[:-1]))
             word = ids
             if trie.pairs is not None:
-                row, _, _, begin = trie.pairs.ask(context, ids)
-                context, word = np.where(first, -1, np.append(-1, row[:-1])), row - begin
+                row, word, _ = trie.pairs.ask(context, ids)
+                context = np.where(first, -1, np.append(-1, row[:-1]))
             good = context >= 0
             if good.any():
                 kept.append((context[good], word[good]))

@@ -91,18 +91,23 @@ def pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
 
 def bits_at(packed: np.ndarray, bits: int, places: np.ndarray) -> np.ndarray:
     """Values of ``pack_bits`` at places."""
-    at = places.astype(np.uint64) * np.uint64(bits)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    out = packed[word] >> shift
-    out |= (packed[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+    at = places * bits
+    word = at >> 6
+    at &= 63
+    shift = at.view(np.uint64)
+    out = packed.take(word)
+    out >>= shift
+    over = packed[1:].take(word)
+    over <<= np.uint64(1)
+    np.subtract(np.uint64(63), shift, out=shift)
+    over <<= shift
+    out |= over
     out &= np.uint64((1 << bits) - 1)
     return out.view(np.int64)
 
 
-_ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_COUNT = _ones.sum(1).astype(np.uint8)
-#: Place of the k-th one bit of each byte.
-_PLACE = np.array([(np.flatnonzero(row).tolist() + [0] * 8)[:8] for row in _ones], dtype=np.uint8)
+#: Place of the k-th one bit of each byte, at 8 * byte + k.
+_PLACE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64).reshape(-1)
 
 
 class EliasFano:
@@ -120,26 +125,30 @@ class EliasFano:
         high = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         vector = np.zeros(-(-(int(high[-1]) + 1 if n else 1) // 64) * 64, np.uint8)
         vector[high] = 1
-        upper = np.packbits(vector, bitorder="little")
+        upper = np.packbits(vector, bitorder="little").view(np.uint64)
         low = pack_bits(values & np.uint64((1 << bits) - 1), bits) if bits else np.zeros(0, np.uint64)
-        ranks = np.cumsum(np.append(0, _COUNT[upper].reshape(-1, 8).sum(1, dtype=np.int64)))
+        ranks = np.cumsum(np.append(0, np.bitwise_count(upper).astype(np.int64)))
         return {f"{prefix}_upper": upper, f"{prefix}_low": low, f"{prefix}_ranks": ranks.astype(np.uint32 if n < 2**32 else np.uint64), f"{prefix}_bits": np.array([bits], np.uint8)}
 
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str):
-        self.upper, self.ranks = arrays[f"{prefix}_upper"].reshape(-1, 8), arrays[f"{prefix}_ranks"]
+        self.upper, self.ranks = arrays[f"{prefix}_upper"].view(np.uint64), arrays[f"{prefix}_ranks"]
         self.low, self.bits = arrays[f"{prefix}_low"], int(arrays[f"{prefix}_bits"][0])
 
     def __getitem__(self, places: np.ndarray) -> np.ndarray:
-        places = places.astype(np.int64)
         word = np.searchsorted(self.ranks, places, "right") - 1
-        left = places - self.ranks[word].astype(np.int64)
-        at = word * 64
-        octets = self.upper[word]
-        counts = np.cumsum(_COUNT[octets], axis=1, dtype=np.int64)
-        octet = (counts <= left[:, None]).sum(1)
-        row = np.arange(len(places))
-        left -= np.where(octet > 0, counts[row, np.maximum(octet - 1, 0)], 0)
-        value = at + 8 * octet + _PLACE[octets[row, octet], left] - places
+        left = places - self.ranks.take(word)
+        bits, value = self.upper.take(word), word * 64 - places
+        # halve the word down to the byte that holds the one bit asked for
+        for half in (32, 16, 8):
+            low = bits & np.uint64((1 << half) - 1)
+            ones = np.bitwise_count(low).astype(np.int64)
+            later = left >= ones
+            bits >>= np.uint64(half)
+            np.copyto(bits, low, where=~later)
+            ones *= later
+            left -= ones
+            value += half * later
+        value += _PLACE.take((bits.view(np.int64) & 255) * 8 + left)
         if self.bits:
             value = (value << self.bits) | bits_at(self.low, self.bits, places)
         return value
