@@ -1,24 +1,38 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-Three patterns give the base spans.  Beyond them, every long token near a
-sensitive word is a candidate.  Its novelty is the number of bytes by which the
-compressed size of its text window grows when the token is put back into it,
-with a compressor primed by the surrounding text and a dictionary of common
-identifiers: words and names cost little, random strings cost most of their
-length.  Other occurrences of the token are blanked in the surrounding text, or
-a repeated secret would vouch for itself.  Candidates of at least ``MIN_NOVELTY`` bytes and ``MIN_RATE`` new bytes
-a character are reported as ``novel`` spans.
+Three patterns give the base spans.  Every long token near a sensitive word, and
+every base span, is scored: its novelty is the number of bytes by which the
+compressed size of its text window grows when the token is put back into it, with
+a compressor primed by the text around it and a dictionary of identifiers.  Words
+and names cost little, random strings cost most of their length.  Other
+occurrences of the token are blanked around it, or a repeated secret would vouch
+for itself.
+
+The dictionary has fixed names and the corpus' own identifiers: the most frequent
+words around long tokens, counted over all texts, ``DICTIONARY_BYTES`` of them.
+Its words are shorter than any token that is scored, so that no secret, however
+often copied, gets into it.
+
+    score = novelty a character * nearness * mixture
+
+nearness: 1 within ``NEAR`` characters of a sensitive word on either side, falling to
+0 at ``FAR``; mixture: a half for tokens of one kind of character, as of single
+words, else 1.  Tokens of at least ``MIN_SCORE`` and ``MIN_NOVELTY`` bytes that no base
+span overlaps are reported as ``novel`` spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .storage import bounded_batches
 from .wordhash import slices
@@ -30,15 +44,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
-#: A text without any of these (lower-cased) has no candidate.
+#: Words that make what stands near them a likely secret, in either case.
 SENSITIVE = ("passw", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private", "auth", "bearer", "signature", "akia")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE)
 MIN_TOKEN = 16
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
-#: Code points around a candidate that prime the compressor, and in which a sensitive word must stand before it.
-WINDOW, NEAR = 400, 64
-MIN_NOVELTY, MIN_RATE = 14, 0.55
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+#: Code points around a token that prime the compressor, and in which sensitive words count in full or at all.
+WINDOW, NEAR, FAR = 400, 64, 256
+MIN_NOVELTY, MIN_SCORE = 14, 0.55
+#: Words of the dictionary: letters and joints, two digits at most, shorter than any token and no part of one but a name before a sign.
+_WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,13}[0-9]{0,2}(?![A-Za-z0-9+/_-])")
+DICTIONARY_BYTES = 16_384
+_FLUSH = 200_000
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, n_scored long, base_sha256 string, spans string, novelty string"
 _IDENTIFIERS = " ".join(
     a + sep + b
     for sep in ("_", "", "-")
@@ -62,11 +80,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 class Novelty:
     """Marginal compressed bytes of a token in its surroundings."""
 
-    def __init__(self):
+    def __init__(self, words: list[str] = ()):
         import zstandard
 
         self._zstd = zstandard
-        self._base = _IDENTIFIERS.encode()
+        # what stands last is found soonest
+        self._base = " ".join([*reversed(words), _IDENTIFIERS]).encode()
 
     def __call__(self, before: str, token: str, after: str) -> int:
         primer = self._base + b"\n" + before.encode() + b"\n" + after.encode()
@@ -86,60 +105,102 @@ def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
     return before[-WINDOW:], after[:WINDOW]
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int]]:
-    """Spans of incompressible tokens in a sensitive context that no base span overlaps."""
-    words = [m.end() for m in _SENSITIVE.finditer(text)]
-    if not words:
-        return []
-    words = np.array(words)
-    begins, ends = np.array([t[0] for t in taken]), np.array([t[2] for t in taken])
-    out = []
+def _mixture(token: str) -> float:
+    """A half for a token of one kind of character: lower, upper or capitalised letters, digits or signs."""
+    kinds = (any(c.islower() for c in token), any(c.isupper() for c in token[1:]), any(c.isdigit() for c in token))
+    return 1.0 if sum(kinds) > 1 else 0.5
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> tuple[list[tuple[int, int, int]], int]:
+    """(begin, end, novelty) of the tokens to report, none overlapped by a base span; and how many tokens were scored."""
+    sensitive = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not sensitive:
+        return [], 0
+    ends = [e for _, e in sensitive]
+    begins = [t[0] for t in taken]
+    reach = list(accumulate((t[2] for t in taken), max))  # farthest end of the base spans up to each
+    out, scored = [], 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
-        k = np.searchsorted(words, a, "right") - 1
-        if k < 0 or a - words[k] > NEAR or (len(taken) and bool(((begins < b) & (ends > a)).any())):
-            continue
-        token = m[0]
-        if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+        k = bisect_right(ends, a)  # the next sensitive word ends after a
+        k_after = bisect_left(sensitive, (b, 0))
+        distance = min(a - ends[k - 1] if k else FAR, sensitive[k_after][0] - b if k_after < len(sensitive) else FAR)
+        nearness = 1 - max(0, distance - NEAR) / (FAR - NEAR)
+        j = bisect_left(begins, b)
+        if nearness <= 0 or (j and reach[j - 1] > a):
             continue
-        before, after = surroundings(text, a, b)
-        new = novelty(before, token, after)
-        if new >= MIN_NOVELTY and new >= MIN_RATE * len(token):
-            out.append((a, b))
-    return out
+        scored += 1
+        new = novelty(*_put(text, a, b))
+        if new >= MIN_NOVELTY and new / (b - a) * nearness * _mixture(m[0]) >= MIN_SCORE:
+            out.append((a, b, new))
+    return out, scored
+
+
+def _put(text: str, a: int, b: int) -> tuple[str, str, str]:
+    before, after = surroundings(text, a, b)
+    return before, text[a:b], after
 
 
-def scan_text(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans, as (start, kind's place, end)."""
+def scan_text(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int]], int]:
+    """Base spans (start, kind's place, end); all spans with their novelty; how many tokens were scored."""
     base = base_spans(text)
-    extra = [(a, 3, b) for a, b in novel_spans(text, base, novelty)]
-    return base, sorted(base + extra)
+    extra, scored = novel_spans(text, base, novelty)
+    every = [(a, k, b, novelty(*_put(text, a, b))) for a, k, b in base] + [(a, 3, b, new) for a, b, new in extra]
+    return base, sorted(every), scored + len(base)
 
 
-def _joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+def _joined(spans: list[tuple]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, *_ in spans)
+
+
+def dictionary(documents: DataFrame) -> list[str]:
+    """The most frequent words around long tokens of all texts, DICTIONARY_BYTES at most; of equal counts the first by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                at = 0
+                for m in _TOKEN.finditer(text or ""):
+                    low, high = max(at, m.start() - WINDOW), m.end() + WINDOW
+                    if high > at:  # what two windows share counts once
+                        seen.update(_WORD.findall(text, low, high))
+                        at = high
+            if len(seen) > _FLUSH:
+                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
+                seen.clear()
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    counted = documents.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # words have five bytes at least, with the blank after them
+    first = counted.orderBy(F.desc("n"), "word").limit(DICTIONARY_BYTES // 5).collect()
+    size = list(accumulate(len(r["word"]) + 1 for r in first))
+    return [r["word"] for r, n in zip(first, size) if n <= DICTIONARY_BYTES]
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of every row of documents(doc_id, text).
+    """doc_id, counts by kind, n_scored, base_sha256, spans and novelty (kind:start:end:bytes) of every row of documents(doc_id, text).
 
-    Null text counts as empty: no spans.  Offsets are code points, ends exclusive.
-    Repeated rows get a row each; an empty table gives none; other columns are ignored.
+    Null and empty texts: no spans.  Offsets are code points, ends exclusive.  Long
+    texts take time in proportion to their length.  Base spans of different kinds
+    may overlap; of equal starts the kinds go as listed.  Repeated rows get a row
+    each; an empty table gives none; other columns are ignored.
     """
     bounded_batches(documents.sparkSession)
+    words = dictionary(documents)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.string()] * 2
+    kinds = [pa.int64()] * 6 + [pa.string()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(words)
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                base, every = scan_text(text or "", novelty)
+                base, every, scored = scan_text(text or "", novelty)
                 n = [0] * 4
-                for _, k, _ in every:
+                for _, k, _, _ in every:
                     n[k] += 1
-                rows.append((doc_id, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
+                rows.append((doc_id, *n, scored, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), ",".join(f"{KINDS[k]}:{a}:{b}:{new}" for a, k, b, new in every)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
