@@ -1,20 +1,25 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four fixed patterns find base spans; these are the seeds.  Every seed and every
-other identifier-like token of the corpus is an instance; the words around an
-instance (two before it; one before and one after it) are lexical patterns.
-Patterns and instances form a bipartite graph over the corpus.  Scores go back
-and forth over it ``ITERATIONS`` times:
+Four fixed patterns find base spans: the seeds.  The words around a seed make
+lexical patterns: the two before it; one before and one after it; one before it
+with the shape of the value itself.  Every other blank-delimited token of the
+corpus that stands in the slot of such a pattern is an instance.  Patterns and
+instances form a bipartite graph over the corpus, and scores go back and forth
+over it ``ITERATIONS`` times, in millionths, so that sums do not depend on their order:
 
     pattern  = sum of its instances' scores / (number of its instances + PRIOR)
     instance = 1 for a seed, else 1 - product over its patterns of (1 - score)
 
-Patterns count only with ``MIN_SEEDS`` distinct seeds.  Instances that end with
-at least ``MIN_SCORE`` are new identifiers, reported as ``id`` spans wherever
-they occur.
+Patterns count only with ``MIN_SEEDS`` distinct seeds that are at least ``MIN_SHARE``
+of their instances; others say too little.  An instance of at least ``MIN_SCORE`` that
+stands in such patterns for at least ``MIN_OWN`` of its places in the corpus - a word
+that only strays into one does not - is a new identifier, reported wherever it
+stands, as ``id_`` with the kind of seeds of its best pattern.
 
 Only built-in functions.  The graph has distinct (pattern, instance) edges,
-summed before they are shuffled, so a frequent instance or pattern is one row.
+summed before they are shuffled, so a frequent instance or pattern is one row; how
+many instances a pattern has is first told by a mergeable sketch, so that patterns
+which everything fits never send their edges.
 """
 
 from __future__ import annotations
@@ -22,21 +27,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, release
 
-KINDS = ("email", "ip", "card", "phone", "id")
-#: The base patterns; possessive repeats, as the engine recurses over others and long runs exhaust its stack.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, *(f"id_{k}" for k in BASE_KINDS))
+#: The base patterns.  Repeats are possessive, as the engine recurses over others and long runs exhaust
+#: its stack; a start inside a run that the run's own start has tried is ruled out, or long runs would take quadratic time.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-like: from a digit on, at least MIN_DIGITS digits among letters, digits and joints.
-TOKEN = r"[0-9][A-Za-z0-9._/-]{3,}[A-Za-z0-9]"
-MIN_DIGITS = 5
-ITERATIONS, PRIOR, MIN_SEEDS, MIN_SCORE = 3, 1.0, 3, 0.8
-_CONTEXT = 80
+ITERATIONS, PRIOR, MIN_SEEDS, MIN_SHARE, MIN_SCORE, MIN_OWN = 3, 1, 3, 0.2, 0.8, 0.5
+_SCALE = 1_000_000
+#: Shortest token that can be an identifier, and the signs that are no part of one at its ends.
+MIN_TOKEN = 4
+_EDGES = ".,;:!?\"'`()[]{}<>|*#$%&=~^\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019"
+#: Tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+_BLANKS = r"[\x20\x09-\x0D]+"
+#: Private characters that hold a seed's place in a text: mark, kind, digits of its hash, end of mark.
+_MARK, _MARK_END = "\ue000", "\ue001"
 
 
 def _let(value: Column, body) -> Column:
@@ -44,24 +56,47 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Arrays are run through in blocks of so many entries, as each step copies what its block has so far.
+_BLOCK = 256
+
+
+def _running(values: Column, add) -> Column:
+    """For each entry 0 added up, by an associative ``add``, with all entries before it; one more entry with all of them."""
+
+    def run(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(v), F.lit(_BLOCK)), lambda at: F.slice(v, at + 1, F.lit(_BLOCK)))
+        zero = F.lit(0)
+
+        def lay(blocks: Column) -> Column:
+            sums = run(F.transform(blocks, lambda x: F.aggregate(x, zero, add)), zero)
+            each = lambda bases: F.flatten(F.transform(blocks, lambda x, i: run(x, F.get(bases["out"], i))["out"]))
+            return _let(sums, lambda bases: F.concat(each(bases), F.array(bases["at"])))
+
+        return _let(blocks, lay)
+
+    return _let(values, whole)
+
+
 def _find(text: str, pattern: str, gate: Column) -> Column:
     """(start, end, found) of all leftmost non-overlapping matches; none where ``gate`` is false."""
-    empty = F.lit(None).cast("array<struct<start:int,end:int,found:string>>")
+    kind = "array<struct<start:int,end:int,found:string>>"
 
     def lay(parts: Column) -> Column:
         found, gaps = parts["found"], parts["gaps"]
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(found, i))
-            one = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("found"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def one(before: Column):
+            start = lambda i: F.get(before, i) + F.length(F.get(gaps, i))
+            return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("end"), m.alias("found")))
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step)["out"])
+        return F.when(F.size(found) > 0, _let(_running(sizes, lambda a, x: a + x), one))
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    return F.coalesce(F.when(gate, _let(parts, lay)).otherwise(empty), F.array().cast("array<struct<start:int,end:int,found:string>>"))
+    return F.coalesce(F.when(gate, _let(parts, lay)), F.array().cast(kind))
 
 
 def _digits(x: Column) -> Column:
@@ -101,54 +136,110 @@ def _spans(text: str) -> Column:
     return F.concat(*each)
 
 
-def _around(text: Column, m: Column) -> Column:
-    """The lexical patterns of a span: the letters of two words before it, and of one before with one after it.
+def _bare(spans: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    A place without letters - a bare sign, an edge of the text - makes no pattern.
-    """
-    low = F.greatest(m["start"] - _CONTEXT, F.lit(0))
-    before = F.split(F.rtrim(F.lower(F.substring(text, low + 1, m["start"] - low))), r"[\x20\x09-\x0D]+")
-    after = F.split(F.lower(F.substring(text, m["end"] + 1, F.lit(_CONTEXT))), r"[\x20\x09-\x0D]+")
-    letters = lambda w: F.regexp_replace(F.coalesce(w, F.lit("")), r"[^\p{L}]+", "")
-    tail = lambda i: letters(F.get(before, F.size(before) - i))
-    two, around = F.array(tail(2), tail(1)), F.array(tail(1), letters(F.get(after, F.lit(1))))
-    named = F.array(F.struct(F.lit("2<").alias("kind"), two.alias("words")), F.struct(F.lit("1<>").alias("kind"), around.alias("words")))
-    return F.transform(F.filter(named, lambda p: ~F.array_contains(p["words"], "")), lambda p: F.concat(p["kind"], F.array_join(p["words"], " ")))
 
+def _shape(x: Column) -> Column:
+    """Letters as a or A, digits as 0, blanks as _."""
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    return F.translate(x, lower + upper + digits + " ", "a" * 26 + "A" * 26 + "0" * 10 + "_")
 
-def _key(text: str) -> tuple[Column, Column]:
-    """Tells document rows apart; equal rows have equal spans."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("hash")
 
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """text with by(span) in place of each of the spans (start, end negated, ...) in order; of overlapping ones the first covers all."""
 
-def _bare(spans: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    def lay(z: Column) -> Column:
+        chars, s = z["chars"], z["spans"]
 
+        def build(ends: Column) -> Column:  # the farthest end before each span
+            cut = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
+            one = lambda x, i: F.when(x["start"] >= F.get(ends, i), F.concat(cut(F.get(ends, i), x["start"] - F.get(ends, i)), by(x))).otherwise("")
+            return F.concat(F.array_join(F.transform(s, one), ""), cut(F.get(ends, F.size(s)), F.size(chars)))
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """One row for each document row: key, hash, doc_id, spans (base), seen (seeds and candidates with their patterns)."""
-    d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    d = d.select("doc_id", "t", _spans("t").alias("spans"), F.filter(_find("t", TOKEN, F.col("t").rlike("[0-9]")), lambda m: F.length(_digits(m["found"])) >= MIN_DIGITS).alias("tokens"))
-    free = F.filter("tokens", lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])))
-    one = lambda seed: lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("instance"), F.lit(seed).alias("seed"), _around(F.col("t"), m).alias("patterns"))
-    return d.select(*_key("t"), "doc_id", _bare("spans").alias("spans"), F.concat(F.transform("spans", one(True)), F.transform(free, one(False))).alias("seen"))
+        return _let(_running(F.transform(s, lambda x: -x["end"]), lambda a, x: F.greatest(a, x)), build)
 
+    return _let(F.struct(F.split(text, "").alias("chars"), spans.alias("spans")), lay)
 
-def discover(seen: DataFrame) -> DataFrame:
-    """(instance, score) of the instances of high confidence that are no seeds.
 
-    seen: instance, seed, pattern, a row for each pattern of each occurrence.
-    """
-    edges = materialise(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-instance")
-    # patterns without enough seeds never score: their edges carry nothing
-    strong = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern")
-    edges = materialise(edges.join(strong, "pattern", "left_semi"), "strong-edges")
-    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"))
+def occurrences(documents: DataFrame) -> DataFrame:
+    """row (all columns of documents), key and hash (tell different rows apart), spans (base), seeded (the text with a mark in place of each span, null without any)."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    d = documents.select(F.struct("*").alias("row")).select("row", text.alias("t"))
+    d = d.select("row", "t", _spans("t").alias("spans"))
+    # its shape is told by the mark, as the blanks in a value would make it several tokens
+    value = lambda s: F.concat(F.lit(_MARK), s["kind"].cast("string"), F.replace(F.xxhash64(s["found"]).cast("string"), F.lit("-"), F.lit("0")), F.lit("/"), _shape(s["found"]), F.lit(_MARK_END))
+    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"), s["found"].alias("found"))))
+    plain = F.translate("t", _MARK + _MARK_END, "  ")
+    seeded = F.when(F.size("spans") > 0, _replaced(plain, ordered, value))
+    return d.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("key"), F.xxhash64("t").alias("hash"), _bare("spans").alias("spans"), seeded.alias("seeded"))
+
+
+def _slots(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each token and pattern around it: the columns to keep, token, pattern (a hash)."""
+    text = F.regexp_replace(F.coalesce("seeded", F.translate(F.coalesce(F.col("row.text"), F.lit("")), _MARK + _MARK_END, "  ")), _BLANKS, " ")
+    words = F.split(F.lower(F.regexp_replace("x", r"[^\p{L} ]+", "")), " ")
+    d = rows.select(*keep, text.alias("x")).select(*keep, F.split("x", " ").alias("w"), words.alias("v"))
+
+    def around(token: Column, i: Column) -> Column:
+        one, two, after = (F.coalesce(F.get("v", i + k), F.lit("")) for k in (-1, -2, 1))
+        shape = F.when(token.startswith(_MARK), F.substring_index(F.substring_index(token, "/", -1), _MARK_END, 1)).when(token.rlike("[0-9]"), _shape(F.btrim(token, F.lit(_EDGES))))
+        return F.struct(
+            token.alias("token"),
+            F.when((one != "") & (two != ""), F.xxhash64(F.lit("2<"), two, one)).alias("a"),
+            F.when((one != "") & (after != ""), F.xxhash64(F.lit("1<>"), one, after)).alias("b"),
+            F.when((one != "") & shape.isNotNull(), F.xxhash64(F.lit("1<s"), one, shape)).alias("c"),
+        )
+
+    d = d.select(*keep, F.explode(F.transform("w", around)).alias("s")).where(F.length("s.token") >= MIN_TOKEN)
+    return d.select(*keep, "s.token", F.explode(F.array("s.a", "s.b", "s.c")).alias("pattern")).where("pattern is not null")
+
+
+def _instance() -> Column:
+    return F.btrim("token", F.lit(_EDGES))
+
+
+def _others(found: DataFrame, patterns: DataFrame, *keep: str) -> DataFrame:
+    """(pattern, instance) of the tokens other than seeds in the slots of patterns."""
+    slots = _slots(found, *keep).where(~F.contains("token", F.lit(_MARK))).join(_small(patterns.select("pattern")), "pattern", "left_semi")
+    return slots.select(*keep, "pattern", _instance().alias("instance")).where(F.length("instance") >= MIN_TOKEN)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table, broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The patterns that say enough (pattern, kind), and their edges (pattern, instance, seed) from ``occurrences``."""
+    marked = _slots(found.where("seeded is not null")).where(F.contains("token", F.lit(_MARK)))
+    mark = F.regexp_extract("token", f"{_MARK}([0-9]+)/", 1)
+    seeds = materialise(marked.select("pattern", mark.alias("instance")).distinct(), "pattern-seeds")
+    own = seeds.groupBy("pattern", F.substring("instance", 1, 1).cast("int").alias("kind")).agg(F.count("*").alias("n"))
+    own = own.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max(F.struct("n", (-F.col("kind")).alias("kind")))["kind"].alias("kind")).where(F.col("seeds") >= MIN_SEEDS)
+    own = materialise(own.select("pattern", "seeds", (-F.col("kind")).alias("kind")), "patterns")
+    others = _others(found, own).groupBy("pattern").agg(F.approx_count_distinct(F.xxhash64("instance")).alias("others"))
+    share = F.col("seeds") >= MIN_SHARE * (F.col("seeds") + F.coalesce("others", F.lit(0)))
+    strong = materialise(own.join(others, "pattern", "left").where(share).select("pattern", "kind"), "strong-patterns")
+    edges = _others(found, strong).distinct().select("pattern", "instance", F.lit(False).alias("seed"))
+    edges = edges.unionAll(seeds.join(_small(strong.select("pattern")), "pattern", "left_semi").select("pattern", F.concat(F.lit(_MARK), "instance"), F.lit(True)))
+    edges = materialise(edges, "pattern-instance")
+    release(seeds, own)
+    return strong, edges
+
+
+def discover(strong: DataFrame, edges: DataFrame) -> DataFrame:
+    """(instance, kind, score in millionths) of the instances of high confidence that are no seeds."""
+    scores = edges.groupBy("instance").agg(F.when(F.max("seed"), _SCALE).otherwise(0).cast("long").alias("score"))
     for _ in range(ITERATIONS):
-        patterns = edges.join(scores.select("instance", "score"), "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("p"))
-        mixed = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("score"))
-        scores = materialise(mixed.select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score")), "scores")
-    return scores.where(~F.col("seed") & (F.col("score") >= MIN_SCORE)).select("instance", "score")
+        p = edges.join(scores, "instance").groupBy("pattern").agg(F.expr(f"sum(score) div (count(*) + {PRIOR})").alias("p"))
+        own = -F.log1p(-F.least("p", F.lit(_SCALE - 1)) / _SCALE)
+        told = edges.join(p, "pattern").select("instance", "pattern", "seed", "p", F.round(own * _SCALE).cast("long").alias("e"))
+        score = F.when(F.max("seed"), _SCALE).otherwise(F.round(_SCALE * (1 - F.exp(-F.sum("e") / _SCALE)))).cast("long")
+        scores = materialise(told.groupBy("instance").agg(score.alias("score"), F.max("seed").alias("seed"), F.max(F.struct("p", "pattern"))["pattern"].alias("pattern")), "scores").drop("p")
+        last, scores = scores, scores.select("instance", "score")
+    new = last.where(~F.col("seed") & (F.col("score") >= int(MIN_SCORE * _SCALE)))
+    return new.join(strong, "pattern").select("instance", "kind", "score")
 
 
 _NONE = "array<struct<kind:int,start:int,end:int>>"
@@ -156,49 +247,69 @@ _NONE = "array<struct<kind:int,start:int,end:int>>"
 
 def _discovered(found: DataFrame) -> DataFrame:
     """key, hash, extra: the spans of new identifiers, of the document rows that have any."""
-    each = found.select("key", "hash", F.explode("seen").alias("x")).select("key", "hash", "x.start", "x.end", "x.instance", "x.seed", "x.patterns")
-    new = discover(each.select("instance", "seed", F.explode("patterns").alias("pattern")))
-    span = F.struct(F.lit(len(PATTERNS)).alias("kind"), "start", "end")
-    return each.where("not seed").join(new, "instance").groupBy("key", "hash").agg(F.sort_array(F.collect_set(span)).alias("extra"))
+    strong, edges = graph(found)
+    new = materialise(discover(strong, edges), "discovered")
+    # where they stand: in strong patterns, and everywhere
+    whole = F.regexp_replace(F.coalesce("seeded", F.col("row.text"), F.lit("")), _BLANKS, " ")
+    tokens = found.select("key", "hash", F.explode(F.split(whole, " ")).alias("token")).select("key", "hash", _instance().alias("instance"))
+    places = materialise(tokens.where(F.length("instance") >= MIN_TOKEN).join(_small(new), "instance"), "places")
+    inside = _others(found, strong, "key", "hash").join(_small(new.select("instance")), "instance", "left_semi")
+    # a place in several strong patterns is one place
+    inside = inside.groupBy("pattern", "instance").agg(F.count("*").alias("n")).groupBy("instance").agg(F.max("n").alias("inside"))
+    total = places.groupBy("instance").agg(F.count("*").alias("total"))
+    sure = total.join(inside, "instance").where(F.col("inside") >= MIN_OWN * F.col("total")).select("instance")
+    per_row = materialise(places.join(_small(materialise(sure, "sure")), "instance", "left_semi").select("key", "hash", "instance", "kind").distinct().groupBy("key", "hash").agg(F.map_from_entries(F.collect_set(F.struct("instance", "kind"))).alias("own")), "rows-with-new")
+    release(edges, places, new)
+    rows = found.join(_small(per_row), ["key", "hash"]).dropDuplicates(["key", "hash"]).select("key", "hash", F.coalesce(F.col("row.text"), F.lit("")).alias("t"), "spans", "own")
+    token = _find("t", r"[^\x20\x09-\x0D]+", F.lit(True))
+
+    def trimmed(m: Column) -> Column:
+        left = m["start"] + F.length(m["found"]) - F.length(F.ltrim(m["found"], F.lit(_EDGES)))
+        inner = F.btrim(m["found"], F.lit(_EDGES))
+        return F.struct(F.element_at("own", inner).alias("kind"), left.alias("start"), (left + F.length(inner)).alias("end"))
+
+    free = lambda m: m["kind"].isNotNull() & ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
+    named = lambda m: F.struct((m["kind"] + len(BASE_KINDS)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
+    return rows.select("key", "hash", F.sort_array(F.transform(F.filter(F.transform(token, trimmed), free), named)).cast(_NONE).alias("extra"))
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind's place, start, end, by kind, then start) of every row.
 
-    documents(doc_id, text).  Null text counts as empty.  Offsets are code points,
-    ends exclusive.  Without seeds nothing is discovered.  Repeated rows get a
-    row each; an empty table gives none; other columns are ignored.
+    documents(doc_id, text).  Null and empty texts have none.  Offsets are code
+    points, ends exclusive.  Long texts take time in proportion to their length.
+    Without seeds nothing is discovered.  Equal values are one instance, however
+    often their rows repeat; of equal scores the pattern of greater hash names the
+    kind.  Repeated rows get a row each; an empty table gives none; other columns,
+    whatever their names, are ignored.
     """
-    found = materialise(occurrences(documents), "occurrences")
-    every = found.join(_discovered(found), ["key", "hash"], "left")
+    found = materialise(occurrences(documents.select("doc_id", "text")), "occurrences")
+    extra = materialise(_discovered(found), "discovered-spans")
+    every = found.select("row.doc_id", "key", "hash", "spans").join(_small(extra), ["key", "hash"], "left")
     return every.select("doc_id", F.col("spans").alias("base"), F.concat("spans", F.coalesce("extra", F.array().cast(_NONE))).alias("spans"))
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with each span of personal data replaced by its kind in brackets, n_chars renewed; same columns.
 
-    Of overlapping spans the first to start (the longer of equal ones) names the
-    gap, which covers all of them.  Null text stays null.
+    Of overlapping spans the first to start (the longer, then first kind of equal
+    ones) names the gap, which covers all of them.  Null text stays null, text
+    without personal data as it is.  Repeated rows stay each; an empty table stays
+    empty; other columns, whatever their names, are kept.  Texts are not shuffled
+    while the rows with discovered identifiers are few enough to broadcast.
     """
-    extra = _discovered(materialise(occurrences(documents), "occurrences"))
-    whole = F.coalesce("text", F.lit("")).alias("_whole")
-    d = documents.select("*", whole).select("*", *_key("_whole"), F.transform(_spans("_whole"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))).alias("_spans"))
-    d = d.join(extra, ["key", "hash"], "left")
-    more = F.coalesce(F.transform("extra", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))), F.array().cast("array<struct<start:int,end:int,kind:int>>"))
-    d = d.withColumn("_spans", F.sort_array(F.concat("_spans", more)))
+    found = materialise(occurrences(documents), "occurrences")
+    extra = materialise(_discovered(found), "discovered-spans")
+    d = found.select("row", "key", "hash", "spans").join(_small(extra), ["key", "hash"], "left")
+    turned = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))
+    d = d.select("row", F.sort_array(F.transform(F.concat("spans", F.coalesce("extra", F.array().cast(_NONE))), turned)).alias("all"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], -s["end"]).alias("at"), F.when(new, gap).otherwise(acc["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.lit(2**31 - 1))))
-    d = d.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
+    text = F.when(F.size("all") > 0, _replaced(F.col("row.text"), F.col("all"), lambda s: F.get(names, s["kind"]))).otherwise(F.col("row.text"))
+    d = d.select("row", text.alias("new"))
+    row = F.col("row").withField("text", F.col("new"))
     if "n_chars" in documents.columns:
-        d = d.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(documents.columns)
+        row = row.withField("n_chars", F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("row.n_chars")).cast(documents.schema["n_chars"].dataType))
+    return d.select(row.alias("row")).select("row.*")
 
 
 def joined(spans: str) -> Column:

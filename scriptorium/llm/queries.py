@@ -61,11 +61,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, find_personal_data, joined
+    from .pii import BASE_KINDS, find_personal_data, joined
 
     d = find_personal_data(read_table(spark, sf_dir, "documents"))
     kinds = F.col("base.kind")
-    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
     return d.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 

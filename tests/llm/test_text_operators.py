@@ -326,7 +326,7 @@ def base_spans(text):
 
 def test_base_spans(spark):
     rng = random.Random(8)
-    parts = ["4111 1111 1111 1111", "4111-1111-1111-1111", "1.2.3.4", "300.1.1.1", "0255.1.1.1", "1.2.3.4.5.6.7.8", "+1 (743) 555-3824", "+12", "a@b.co", "a@b", "x@y.z@q.r", "é", "𠀀", " ", "12", ".", "-", "+", "@", "9" * 20, "\n", "word"]
+    parts = ["4111 1111 1111 1111", "4111-1111-1111-1111", "1.2.3.4", "300.1.1.1", "0255.1.1.1", "1.2.3.4.5.6.7.8", "+1 (743) 555-3824", "+12", "a@b.co", "a@b", "x@y.z@q.r", "é", "𠀀", " ", "12", ".", "-", "+", "@", "9" * 20, "\n", "word", "a@b.c_d@e.f", "x.y%", "_", "@q.r.s"]
     texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9))) for _ in range(400)] + [None, "", "5" * 30_000, LONG]
     got = pii.find_personal_data(docs(spark, texts)).select("doc_id", pii.joined("base").alias("base"), pii.joined("spans").alias("spans")).collect()
     assert len(got) == len(texts) + 1
@@ -335,21 +335,75 @@ def test_base_spans(spark):
         assert r.spans.startswith(r.base)
 
 
+def spans_of(d):
+    return {r.doc_id: r.spans for r in pii.find_personal_data(d).select("doc_id", pii.joined("spans").alias("spans")).collect()}
+
+
 def test_contexts_discover_identifiers(spark):
     cards = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004", "30000000000004", "3530111333300000"]
     texts = [f"my card number {c} is here" for c in cards] * 2 + ["my card number 1234567890123456 is here", "the order 1234567 was late", "token = 99887766aa of it"]
     d = docs(spark, texts)
-    spans = {r.doc_id: r.spans for r in pii.find_personal_data(d).select("doc_id", pii.joined("spans").alias("spans")).collect()}
-    assert spans[12] == "id:15:31" and spans[13] == spans[14] == "" and spans[0] == "card:15:31"
+    spans = spans_of(d)
+    assert spans[12] == "id_card:15:31" and spans[13] == spans[14] == "" and spans[0] == "card:15:31"
     redacted = pii.redact(d.withColumn("n_chars", F.length("text")))
     text = {r.doc_id: (r.text, r.n_chars) for r in redacted.collect()}
     assert redacted.columns == [*d.columns, "n_chars"] and redacted.count() == d.count()
-    assert text[0] == ("my card number [CARD] is here", 29) and text[12][0] == "my card number [ID] is here" and text[13][0] == texts[13]
+    assert text[0] == ("my card number [CARD] is here", 29) and text[12][0] == "my card number [ID_CARD] is here" and text[13][0] == texts[13]
     overlapping = pii.redact(docs(spark, ["call 4111 1111 1111 1111 now a@b.co", None]))
     assert {r.doc_id: r.text for r in overlapping.collect()} == {0: "call [CARD] now [EMAIL]", 1: None}
     assert pii.redact(d.limit(0)).count() == 0 and pii.find_personal_data(d.limit(0)).count() == 0
 
 
+def test_planted_identifiers_are_found(spark):
+    """Recall of unseen handles, numbers and addresses in the contexts of seeds; clean texts are left alone."""
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(800)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    contexts = {"email": "please write to {} for details", "phone": "or dial extension {} during office", "card": "was charged on {} as agreed", "ip": "logged in from {} at night"}
+    seed = {
+        "email": lambda: f"{rng.choice(vocabulary)}{rng.randint(1, 99)}@{rng.choice(vocabulary)}.org",
+        "phone": lambda: f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}",
+        "card": lambda: next(c for c in iter(lambda: f"4{rng.randint(0, 10**15 - 1):015}", None) if luhn(c)),
+        "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+    }
+    unseen = {"email": lambda: f"@{rng.choice(vocabulary)}_{rng.choice(vocabulary)}", "phone": lambda: f"x{rng.randint(10**4, 10**5)}", "card": lambda: f"ACC-{rng.randint(10**6, 10**7)}", "ip": lambda: f"host{rng.randint(100, 9999)}.lan"}
+    texts, planted = [], {}
+    for k in range(600):
+        kind = list(contexts)[k % 4]
+        new = k % 5 == 4
+        value = (unseen if new else seed)[kind]()
+        body = f"{prose(20)} {contexts[kind].format(value)} {prose(20)}"
+        if new:
+            planted[k] = f"id_{kind}:{body.index(value)}:{body.index(value) + len(value)}"
+        texts.append(body)
+    clean = [prose(60) for _ in range(200)] + ["please write to once for details"] + ["it was once and once more and once again as ever before"] * 3
+    spans = spans_of(docs(spark, texts + clean))
+    found = sum(want in spans[k].split(",") for k, want in planted.items())
+    assert found >= 0.9 * len(planted) and len(planted) == 120
+    assert not any(spans[len(texts) + k] for k in range(len(clean)))
+
+
+def test_personal_data_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "key", "hash", "extra", "_spans", "_whole", "spans", "row", "t", "seeded", "pattern", "instance", "own", "all", "new", "a.b"]
+    rows = [(1, "mail a@b.co now", *"x" * 15), (1, "mail a@b.co now", *"x" * 15), (1, None, *"y" * 15), (None, "", *"z" * 15)]
+    d = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = pii.redact(d)
+    assert got.columns == names and sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "mail [EMAIL] now", *"x" * 15)] * 2 + rows[2:]))
+    assert pii.find_personal_data(d).count() == 4
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        d = docs(spark, ["a1" * n + " x@ y@z.co", "7" * n + " 1.2", "+5" + "(" * n + "+5((", "1." * n])
+        began = time.perf_counter()
+        assert pii.find_personal_data(d).where("size(base) > 0").count() >= 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
+
+
 # --- secrets ---
 
 
