@@ -178,31 +178,30 @@ def occurrences(documents: DataFrame) -> DataFrame:
 def _slots(rows: DataFrame, *keep: str) -> DataFrame:
     """A row for each token and pattern around it: the columns to keep, token, pattern (a hash)."""
     text = F.regexp_replace(F.coalesce("seeded", F.translate(F.coalesce(F.col("row.text"), F.lit("")), _MARK + _MARK_END, "  ")), _BLANKS, " ")
-    words = F.split(F.lower(F.regexp_replace("x", r"[^\p{L} ]+", "")), " ")
-    d = rows.select(*keep, text.alias("x")).select(*keep, F.split("x", " ").alias("w"), words.alias("v"))
-
-    def around(token: Column, i: Column) -> Column:
-        one, two, after = (F.coalesce(F.get("v", i + k), F.lit("")) for k in (-1, -2, 1))
-        shape = F.when(token.startswith(_MARK), F.substring_index(F.substring_index(token, "/", -1), _MARK_END, 1)).when(token.rlike("[0-9]"), _shape(F.btrim(token, F.lit(_EDGES))))
-        return F.struct(
-            token.alias("token"),
-            F.when((one != "") & (two != ""), F.xxhash64(F.lit("2<"), two, one)).alias("a"),
-            F.when((one != "") & (after != ""), F.xxhash64(F.lit("1<>"), one, after)).alias("b"),
-            F.when((one != "") & shape.isNotNull(), F.xxhash64(F.lit("1<s"), one, shape)).alias("c"),
-        )
-
-    d = d.select(*keep, F.explode(F.transform("w", around)).alias("s")).where(F.length("s.token") >= MIN_TOKEN)
-    return d.select(*keep, "s.token", F.explode(F.array("s.a", "s.b", "s.c")).alias("pattern")).where("pattern is not null")
+    d = rows.select(*keep, text.alias("x")).select(*keep, F.split("x", " ").alias("w"), F.split(F.lower(F.regexp_replace("x", r"[^\p{L} ]+", "")), " ").alias("v"))
+    # laid side by side, as rows of plain columns are compiled and functions over arrays are not
+    none = F.array(F.lit(""))
+    beside = F.arrays_zip(F.col("w").alias("token"), F.concat(none, none, "v").alias("two"), F.concat(none, "v").alias("one"), F.slice("v", F.lit(2), F.size("v")).alias("after"))
+    d = d.select(*keep, F.inline(beside)).where(F.length("token") >= MIN_TOKEN)
+    marked = F.contains("token", F.lit(_MARK))
+    shape = F.when(marked, F.substring_index(F.substring_index("token", "/", -1), _MARK_END, 1)).when(F.col("token").rlike("[0-9]"), _shape(F.btrim("token", F.lit(_EDGES))))
+    one, after = F.col("one") != "", F.coalesce(F.col("after") != "", F.lit(False))
+    patterns = F.array(
+        F.when(one & (F.col("two") != ""), F.xxhash64(F.lit("2<"), "two", "one")),
+        F.when(one & after, F.xxhash64(F.lit("1<>"), "one", "after")),
+        F.when(one & shape.isNotNull(), F.xxhash64(F.lit("1<s"), "one", shape)),
+    )
+    return d.select(*keep, "token", F.explode(patterns).alias("pattern")).where("pattern is not null")
 
 
 def _instance() -> Column:
     return F.btrim("token", F.lit(_EDGES))
 
 
-def _others(found: DataFrame, patterns: DataFrame, *keep: str) -> DataFrame:
+def _others(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, instance) of the tokens other than seeds in the slots of patterns."""
-    slots = _slots(found, *keep).where(~F.contains("token", F.lit(_MARK))).join(_small(patterns.select("pattern")), "pattern", "left_semi")
-    return slots.select(*keep, "pattern", _instance().alias("instance")).where(F.length("instance") >= MIN_TOKEN)
+    slots = _slots(found).where(~F.contains("token", F.lit(_MARK))).join(_small(patterns.select("pattern")), "pattern", "left_semi")
+    return slots.select("pattern", _instance().alias("instance")).where(F.length("instance") >= MIN_TOKEN)
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -211,7 +210,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The patterns that say enough (pattern, kind), and their edges (pattern, instance, seed) from ``occurrences``."""
+    """The patterns that say enough (pattern, kind), and their edges (pattern, instance, seed, places) from ``occurrences``."""
     marked = _slots(found.where("seeded is not null")).where(F.contains("token", F.lit(_MARK)))
     mark = F.regexp_extract("token", f"{_MARK}([0-9]+)/", 1)
     seeds = materialise(marked.select("pattern", mark.alias("instance")).distinct(), "pattern-seeds")
@@ -221,8 +220,8 @@ def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = _others(found, own).groupBy("pattern").agg(F.approx_count_distinct(F.xxhash64("instance")).alias("others"))
     share = F.col("seeds") >= MIN_SHARE * (F.col("seeds") + F.coalesce("others", F.lit(0)))
     strong = materialise(own.join(others, "pattern", "left").where(share).select("pattern", "kind"), "strong-patterns")
-    edges = _others(found, strong).distinct().select("pattern", "instance", F.lit(False).alias("seed"))
-    edges = edges.unionAll(seeds.join(_small(strong.select("pattern")), "pattern", "left_semi").select("pattern", F.concat(F.lit(_MARK), "instance"), F.lit(True)))
+    edges = _others(found, strong).groupBy("pattern", "instance").agg(F.lit(False).alias("seed"), F.count("*").alias("places"))
+    edges = edges.unionAll(seeds.join(_small(strong.select("pattern")), "pattern", "left_semi").select("pattern", F.concat(F.lit(_MARK), "instance"), F.lit(True), F.lit(0)))
     edges = materialise(edges, "pattern-instance")
     release(seeds, own)
     return strong, edges
@@ -253,9 +252,8 @@ def _discovered(found: DataFrame) -> DataFrame:
     whole = F.regexp_replace(F.coalesce("seeded", F.col("row.text"), F.lit("")), _BLANKS, " ")
     tokens = found.select("key", "hash", F.explode(F.split(whole, " ")).alias("token")).select("key", "hash", _instance().alias("instance"))
     places = materialise(tokens.where(F.length("instance") >= MIN_TOKEN).join(_small(new), "instance"), "places")
-    inside = _others(found, strong, "key", "hash").join(_small(new.select("instance")), "instance", "left_semi")
-    # a place in several strong patterns is one place
-    inside = inside.groupBy("pattern", "instance").agg(F.count("*").alias("n")).groupBy("instance").agg(F.max("n").alias("inside"))
+    # a place may be in several strong patterns: the one with most of them counts
+    inside = edges.groupBy("instance").agg(F.max("places").alias("inside"))
     total = places.groupBy("instance").agg(F.count("*").alias("total"))
     sure = total.join(inside, "instance").where(F.col("inside") >= MIN_OWN * F.col("total")).select("instance")
     per_row = materialise(places.join(_small(materialise(sure, "sure")), "instance", "left_semi").select("key", "hash", "instance", "kind").distinct().groupBy("key", "hash").agg(F.map_from_entries(F.collect_set(F.struct("instance", "kind"))).alias("own")), "rows-with-new")
