@@ -24,20 +24,23 @@
    overlap are tried.  So no link between components is lost.  Components follow by
    alternating large and small stars.
 
-All tables are distributed; between steps they are written to the shared folder.
+All tables are distributed; between steps they are written to the shared folder, and
+deleted there when no later step reads them.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, materialise
+from .storage import bounded_batches, materialise, release
 from .wordhash import hash_words, mix64, slices, windows
 
 COORDINATES = 64
@@ -144,7 +147,12 @@ def _compare(percent: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a, b): root is the smallest node reachable; roots are left out."""
-    e, before = edges.where("a <> b"), None
+    return _stars(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """``components`` as written: (a, b), b the root of a."""
+    e, before, last = edges.where("a <> b"), None, []
     while True:
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -153,9 +161,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = materialise(small, "stars")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        release(*last)
+        now, last = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()), [e]
         if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return e
         before = now
 
 
@@ -172,33 +181,32 @@ class _Linker:
         left = F.size("own") - F.lit(COORDINATES - prefix)
         own = own.where(left > 0).select("cls", "rep", "met", F.slice("own.token", F.lit(1), left).alias("prefix"))
         self.post = materialise(own.select("cls", "rep", "met", F.explode("prefix").alias("token")), "postings")
-        wanted = materialise(reps.join(self.post.select("cls").distinct(), "cls", "left_semi"), "signatures")
+        self.wanted = wanted = materialise(reps.join(self.post.select("cls").distinct(), "cls", "left_semi"), "signatures")
         self.signatures = wanted.select("cls", F.col("rep").alias("node"), "signature")
         self.sets = materialise(shingle_sets(documents, size, wanted.drop("signature")).dropDuplicates(["cls"]), "sets")
-        self.links: DataFrame | None = None
-        self.tried: DataFrame | None = None
-        self.roots: DataFrame | None = None
+        self.tried: list[DataFrame] = []
+        self.stars: DataFrame | None = None
 
     def _lists(self) -> DataFrame:
         """(token, cls, rep, met, comp): the postings with the component that each class is in now."""
-        if self.roots is None:
+        if self.stars is None:
             return self.post.withColumn("comp", F.col("rep"))
-        return self.post.join(self.roots.withColumnsRenamed({"node": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        return self.post.join(self.stars.withColumnsRenamed({"a": "rep", "b": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     def _try(self, pairs: DataFrame) -> None:
         """Compare pairs(a, b) of classes; keep the links of their nodes and refresh the components."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        for tried in self.tried:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         sig, sets = self.signatures, self.sets
         close = pairs.join(sig.withColumnsRenamed({"cls": "a", "node": "na", "signature": "x"}), "a").join(sig.withColumnsRenamed({"cls": "b", "node": "nb", "signature": "y"}), "b")
         close = close.where(F.size(F.array_intersect("x", "y")) >= self.matches).select("a", "b", "na", "nb")
         full = close.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
         links = materialise(full.select("na", "nb", "sa", "sb").mapInArrow(_compare(self.percent), "a long, b long"), "links")
-        self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
-        self.links = links if self.links is None else self.links.unionAll(links)
-        stars = self.links if self.roots is None else links.unionAll(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.roots = components(stars)
+        self.tried.append(pairs)
+        before = [] if self.stars is None else [self.stars]
+        self.stars = _stars(reduce(DataFrame.unionAll, before, links))
+        release(links, *before)
 
     def round(self, number: int) -> None:
         lists = self._lists()
@@ -231,6 +239,7 @@ class _Linker:
         near = (100 * F.col("ny") >= self.percent * F.col("nx")) & ((100 + self.percent) * F.least("rx", "ry") >= self.percent * (F.col("nx") + F.col("ny")))
         pairs = long.join(short, "shingle").where((F.col("cx") != F.col("cy")) & sized & near)
         self._try(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        release(left, each, long, self.post, self.wanted, self.sets, *self.tried)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -240,10 +249,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     lower-cased; a text's set has its distinct ``size``-word shingles, or its whole
     sequence if it has fewer words.  Texts are linked whose sets have 100 *
     intersection >= percent * union.  Null, empty and blank texts have an empty set and
-    no link.  Rows with the same doc_id are one document: its rows are linked.  A null
-    doc_id stays alone, with a null component and kept.  An empty table gives no
-    rows; other columns are ignored.
+    no link.  Very long texts have their whole sets compared.  Rows with the same doc_id
+    are one document: its rows, equal or not, are linked, and get a row each.  A null
+    doc_id stays alone, with a null component and kept.  An empty table gives no rows;
+    other columns are ignored.
     """
+    return _linked(documents, size, percent)[0]
+
+
+def _linked(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``near_duplicates``, and the written tables that it reads."""
     spark = documents.sparkSession
     bounded_batches(spark)
     table = materialise(signatures(documents, size), "sets")
@@ -258,22 +273,35 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     rows = table.select("doc_id", *key).join(reps.select(*key, "rep"), key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     several = rows.join(several, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    roots = components(linker.roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(several))
-    out = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    roots = _stars(linker.stars.unionAll(several))
+    release(linker.stars)
+    out = rows.join(roots.withColumnsRenamed({"a": "rep", "b": "root"}), "rep", "left")
     component = F.coalesce("root", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out, [table, reps, roots]
 
 
 def keep_first(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each near-duplicate component: the one of smallest doc_id; same columns.
 
-    Of rows with the same doc_id the one of smallest text stays.
+    Of rows with the same doc_id the one of smallest text stays (null first), of equal
+    texts that of smallest other columns in their order; columns that can't be ordered,
+    as maps, count by their hash.  Null and empty texts have no link and stay.  Rows with a null
+    doc_id all stay.  An empty table stays empty; other columns, whatever their names,
+    are kept.
     """
-    found = materialise(near_duplicates(documents, size, percent), "components")
+    linked, written = _linked(documents, size, percent)
+    found = materialise(linked, "components")
+    release(*written)
     out = documents.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
     several = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if not several.isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        one = out.join(several, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+        rows = out.join(several, "doc_id", "left_semi")
+        # a column's own name can't clash inside the structs; a least row needs no number
+        plain = [f.name for f in documents.schema if f.name != "doc_id" and not re.search("map<|variant", f.dataType.simpleString())]
+        name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        order = F.struct(F.col("text"), *[name(c).alias(f"c{i}") for i, c in enumerate(plain) if c != "text"], F.xxhash64(*[F.to_json(F.struct(name(f.name).alias("v"))) for f in documents.schema]))
+        one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(documents.columns)]), order).alias("x"))
+        one = one.select(*[F.col(f"x.c{i}").alias(c) for i, c in enumerate(documents.columns)])
         out = out.join(several, "doc_id", "left_anti").unionByName(one)
-    return out.select(documents.columns)
+    return out.select(*["`" + c.replace("`", "``") + "`" for c in documents.columns])

@@ -75,6 +75,15 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_keep_first_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_place", "x", "cls", "kept", "n", "a.b"]
+    rows = [(1, "p q r", "b", *"vwxyz"), (1, "p q r", "a", *"vwxyz"), (1, None, "c", *"vwxyz"), (2, "p q r", "a", *"vwxyz"), (3, None, None, *"vwxyz"), (None, "p q r", "n", *"vwxyz")]
+    d = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    got = near_dedup.keep_first(d)
+    assert got.columns == names and sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [rows[2], rows[4], rows[5]]))
+    assert near_dedup.keep_first(d.limit(0)).count() == 0
+
+
 def test_texts_of_one_doc_id_are_each_compared(spark):
     fresh = lambda name: " ".join(f"{name}{k}" for k in range(200))
     near = lambda text: text + " more"
@@ -207,3 +216,25 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert step.where("doc_id = 103").first().text.endswith("mail me [EMAIL]")
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(range(40)) | {103}
+
+
+def test_pipeline_stages_hold_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, repeated rows, very long texts, and columns of clashing names."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "key", "hash", "extra", "_spans", "_place", "row", "kept", "n"]
+    rng = random.Random(20)
+    words = ["the", "house", "was", "with", "they", "running"]
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(["", str(rng.randint(0, 99))]) for _ in range(n))
+    rows = [(k, text(60), "en", "s", 1, *"abcdefgh") for k in range(20)]
+    rows += [rows[3], rows[3], (50, text(60_000), "en", None, 1, *"abcdefgh"), (51, None, None, None, None, *"abcdefgh"), (52, "", "en", "s", 0, *"abcdefgh"), (53, "call +1 (743) 555-3824 the house was", None, "s", 1, *"abcdefgh")]
+    whole = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in names))
+    spark.createDataFrame([(1, text(30)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for d, kept in ((whole, {*range(20), 50, 53}), (whole.limit(0), set())):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, str(tmp_path))
+            assert d.columns == names
+        assert sorted(r.doc_id for r in d.collect()) == sorted(kept)
+        assert all("555-3824" not in (r.text or "") for r in d.collect())
+        packed = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path))
+        assert {r.doc_id for r in packed.collect()} == kept
