@@ -5,14 +5,15 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .config import API, DEBUG_API, DEBUG_LOCAL, LOCAL
+from .config import API, DEBUG_API, DEBUG_LOCAL, LOCAL, SYSTEM_API, SYSTEM_LOCAL
 from .operators import training
 from .plans import pipelines
-from .plans.extractors import HttpExtractor
+from .plans.extractors import chat_service, local_model
 from .sources import readers, sinks
 
 log = logging.getLogger("scriptorium")
@@ -26,14 +27,12 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
     pages = readers.page_range(pages, first, most)
     profile = LOCAL if local else API
 
-    def make() -> HttpExtractor:
-        return HttpExtractor(a.url, lambda text: {"model": a.model, "prompt": text, "stream": False, "options": {"num_predict": profile.max_output_tokens, "temperature": 0}}, timeout_s=profile.timeout_s)
-
     if local:
-        items, bad = pipelines.local_extraction(pages, make)
+        items, bad = pipelines.local_extraction(pages, lambda: local_model(a.url, a.model, profile), profile, a.system or SYSTEM_LOCAL)
         sinks.write_dead_letters(bad, f"{a.out}-bad")
     else:
-        items = pipelines.api_extraction(pages, make)
+        models, key = (a.model, *(a.fallback or ())), os.environ.get(a.key_variable) if a.key_variable else None
+        items = pipelines.api_extraction(pages, lambda: chat_service(a.url, models, profile, key), profile, system=a.system or SYSTEM_API)
     seen = Observation("items")
     sinks.write_jsonl(items.observe(seen, F.count(F.lit(1)).alias("n")), a.out)
     log.info("%d items", seen.get["n"])
@@ -77,6 +76,9 @@ def main(args: list[str] | None = None) -> None:
         if name == "extract":
             s.add_argument("--profile", choices=("local", "api"), default="local")
             s.add_argument("--debug", action="store_true", help="a few pages only")
+            s.add_argument("--system", help="the model's instruction, instead of the profile's own")
+            s.add_argument("--fallback", action="append", help="a model to try after the first one, for the api profile; may be given again")
+            s.add_argument("--key-variable", help="the environment variable that holds the service's key")
         if name == "prepare":
             s.add_argument("--leak-free", action="store_true", help="keep validation rows out of training")
     a = p.parse_args(args)

@@ -24,6 +24,13 @@ LOCAL = Profile(chunk_size=900, overlap=120, max_output_tokens=700, timeout_s=90
 #: Remote service: structured output, validated, grounded and deduplicated.
 API = Profile(chunk_size=1200, overlap=80, max_output_tokens=900, timeout_s=60.0)
 
+#: What the models are told to do.
+SYSTEM_LOCAL = (
+    "你是史料整理助手。请找出文本中的官员，只输出一个 JSON List，不要解释。\n"
+    "每项字段：name（姓名）、rank（官职，没有则为 null）、event_type、action（行为）、time（时间，没有则为 null）。\n"
+    "event_type 只能是：Appointment、Military、Diplomacy、Disaster、Death、Other。"
+)
+SYSTEM_API = SYSTEM_LOCAL.replace("一个 JSON List", '{"items": [...]}') + "\n另加字段 quote：原文中 5 至 60 字的连续片段，须与原文完全一致。"
 MARKERS = ("○",)
 CUT_LOOKBACK = 250
 #: Debug page ranges: first page, pages.

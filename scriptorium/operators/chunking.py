@@ -74,6 +74,11 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return p.groupBy("doc_id").agg(F.array_join(ordered["text"], "\n").alias("text"))
 
 
+def chunk_lookup(keys: DataFrame, chunks: DataFrame) -> DataFrame:
+    """keys(doc_id, chunk_id, ...) with the chunk_text of their chunk, null where there is none: any item leads back to its text."""
+    return keys.join(chunks.select("doc_id", "chunk_id", "chunk_text"), ["doc_id", "chunk_id"], "left").select(*keys.columns, "chunk_text")
+
+
 def chunk_pages(pages: DataFrame, profile: Profile) -> DataFrame:
     """Chunks of documents given as pages (doc_id, page_no, text); chunks may span pages."""
     pieces = _chunker(profile.chunk_size, profile.overlap)(F.col("text"))

@@ -61,8 +61,9 @@ def dedup_key() -> list[Column]:
     return [strip(F.coalesce(F.col(c), F.lit(""))) for c in KEY]
 
 
-def dedup(items: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """The first item (by doc_id, chunk_id, seg_id, item_idx) of each key; ``scope`` columns limit where keys meet.
+def dedup(items: DataFrame, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The first item (by doc_id, chunk_id, seg_id, item_idx) of each key in a document; with other ``scope`` columns,
+    or none, keys meet there or everywhere.
 
     Grouped on the key's digest, with the least position: partial sums shrink a hot
     key before the shuffle, and only one row a key crosses the second one.
@@ -75,7 +76,7 @@ def dedup(items: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return out.select("_first.*", *[c for c in scope if c not in order]).select(items.columns)
 
 
-def dedup_window(items: DataFrame) -> DataFrame:
+def dedup_window(items: DataFrame, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The same by row numbers: the form to compare with."""
-    w = Window.partitionBy(*dedup_key()).orderBy("doc_id", "chunk_id", "seg_id", "item_idx")
+    w = Window.partitionBy(*scope, *dedup_key()).orderBy("doc_id", "chunk_id", "seg_id", "item_idx")
     return items.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

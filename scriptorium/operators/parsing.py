@@ -23,13 +23,21 @@ _PARSED = pa.struct([("parsed_ok", pa.bool_()), ("items", pa.list_(_ITEM))])
 _BRACKETED = re.compile(r"\[[\s\S]*\]|\{[\s\S]*\}")
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def storable(text: str) -> str:
+    """text with the replacement character for each lone surrogate, which JSON can hold and UTF-8 can't."""
+    return _SURROGATE.sub("\ufffd", text)
+
+
 def _text(value) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return value if value is None else storable(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
 
 
 def _item(found: dict) -> dict:
     rest = {k: v for k, v in found.items() if k not in KNOWN}
-    return {k: _text(found.get(k)) for k in KNOWN} | {"extra": json.dumps(rest, ensure_ascii=False) if rest else None}
+    return {k: _text(found.get(k)) for k in KNOWN} | {"extra": _text(rest) if rest else None}
 
 
 def parse_json_list(raw: str | None) -> tuple[bool, list[dict]]:
@@ -115,9 +123,9 @@ def explode_items(parsed: DataFrame) -> DataFrame:
 
 
 def dead_letters(parsed: DataFrame, cap: int | None = None) -> DataFrame:
-    """Rows whose response failed; ``cap`` keeps the first by chunk_id."""
+    """Rows whose response failed; ``cap`` keeps the first by document and chunk."""
     failed = parsed.where(~F.col("parsed_ok")).select(*[c for c in parsed.columns if c not in ("items", "parsed_ok")])
-    return failed if cap is None else failed.orderBy("chunk_id").limit(cap)
+    return failed if cap is None else failed.orderBy(*[c for c in ("doc_id", "chunk_id") if c in failed.columns]).limit(cap)
 
 
 def literal_texts(cell: str | None) -> list[tuple[str, str, str]]:
@@ -130,7 +138,7 @@ def literal_texts(cell: str | None) -> list[tuple[str, str, str]]:
             if len(item) >= 3:
                 if not isinstance(item[2], str):
                     break
-                out.append((str(item[0]), str(item[1]), item[2]))
+                out.append(tuple(storable(str(x)) for x in item[:3]))
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         pass
     return out

@@ -3,12 +3,35 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MARKERS
-from ..functions.text import SPACE, normalize_text, strip
+from ..functions.text import BLANKS, normalize_text
+
+
+def grouper(per_request: int, markers: tuple[str, ...]) -> Callable[[str], list[str]]:
+    """A chunk's segments; a chunk without a marker is one."""
+    broken = [(re.compile(f"[{re.escape(BLANKS)}]*{re.escape(m)}[{re.escape(BLANKS)}]*"), "\n" + m) for m in markers]
+
+    def groups(text: str) -> list[str]:
+        if not any(m in text for m in markers):
+            return [text]
+        lines = text
+        for pattern, mark in broken:
+            lines = pattern.sub(lambda _, mark=mark: mark, lines)
+        head, items = [], []
+        for line in lines.split("\n"):
+            if line := line.strip(BLANKS):
+                (items if line.startswith(markers) else head).append(line)
+        if not items:
+            return [text]
+        return ["\n".join([*head, *items[at : at + per_request]]).strip(BLANKS) for at in range(0, len(items), per_request)]
+
+    return groups
 
 
 def marker_segments(chunks: DataFrame, enabled: bool = False, per_request: int = 6, markers: tuple[str, ...] = MARKERS) -> DataFrame:
@@ -16,21 +39,18 @@ def marker_segments(chunks: DataFrame, enabled: bool = False, per_request: int =
 
     Disabled, or without a marker, a chunk is one segment.  Else every line that
     starts with a marker is an item, all other lines - those after an item too -
-    make the head, which stands before each group of ``per_request`` items.
+    make the head, which stands before each group of ``per_request`` items.  Lines
+    are cut by an Arrow function: array functions over them are interpreted and took
+    several times as long.
     """
-    t = F.col("t")
     d = chunks.select("doc_id", "chunk_id", normalize_text(F.col("chunk_text")).alias("t"))
     if not enabled:
-        return d.select("doc_id", "chunk_id", F.lit(0).alias("seg_id"), t.alias("seg_text"))
-    broken = t
-    for m in markers:
-        broken = F.regexp_replace(broken, f"{SPACE}*{re.escape(m)}{SPACE}*", "\n" + m)
-    lines = F.filter(F.transform(F.split(broken, "\n"), strip), lambda x: x != "")
-    starts = lambda x: x.rlike("^(" + "|".join(map(re.escape, markers)) + ")")
-    d = d.withColumn("lines", lines)
-    d = d.select("doc_id", "chunk_id", "t", F.array_join(F.filter("lines", lambda x: ~starts(x)), "\n").alias("head"), F.filter("lines", starts).alias("items"))
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / per_request).cast("int")), lambda g: F.array_join(F.slice("items", g * per_request + 1, F.lit(per_request)), "\n"))
-    headed = F.transform(groups, lambda g: strip(F.when(F.col("head") == "", g).otherwise(F.concat("head", F.lit("\n"), g))))
-    segments = F.when(F.size("items") == 0, F.array("t")).otherwise(headed)
-    out = d.select("doc_id", "chunk_id", F.posexplode_outer(segments).alias("seg_id", "seg_text"))
+        return d.select("doc_id", "chunk_id", F.lit(0).alias("seg_id"), F.col("t").alias("seg_text"))
+    groups = grouper(per_request, tuple(markers))
+
+    @F.arrow_udf("array<string>")
+    def segments(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else groups(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    out = d.select("doc_id", "chunk_id", F.posexplode_outer(segments("t")).alias("seg_id", "seg_text"))
     return out.where("seg_text is not null").select("doc_id", "chunk_id", F.col("seg_id").cast("int").alias("seg_id"), "seg_text")

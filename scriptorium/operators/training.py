@@ -74,7 +74,11 @@ def split_ranks(examples: DataFrame, key: str, seed: int = 42, share: float = 0.
 
 
 def convert_script(text: Column, pairs: dict[str, str]) -> Column:
-    """Characters replaced one by one."""
+    """Characters replaced one by one; a pair of anything but one character and at most one is an error."""
+    if bad := [k for k, v in pairs.items() if len(k) != 1 or len(v) > 1]:
+        raise ValueError(f"not single characters: {bad}")
+    # the replaced without a replacement go last, as the shorter list has no partner for them
+    pairs = {k: v for k, v in pairs.items() if v} | {k: v for k, v in pairs.items() if not v}
     return F.translate(text, "".join(pairs), "".join(pairs.values()))
 
 

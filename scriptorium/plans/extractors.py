@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from ..config import EVENT_TYPES, Profile
+from ..operators.parsing import storable
+
+
 class Extractor(Protocol):
     """Made once a worker; gives a segment's raw response."""
 
@@ -22,20 +27,26 @@ class Extractor(Protocol):
 
 @dataclass
 class Retrying:
-    """Calls each model up to ``attempts`` times, waiting longer after each failure; raises the last error."""
+    """Calls each model up to ``attempts`` times, waiting longer after each failure; raises the last error.
+
+    An answer that ``accept`` turns down is a failure too, as a cut-off one.
+    """
 
     call: Callable[[str, str], str]  # model, text
     models: tuple[str, ...]
     attempts: int = 3
     wait_s: float = 0.6
     sleep: Callable[[float], None] = time.sleep
+    accept: Callable[[str], bool] = lambda answer: True
 
     def generate(self, text: str) -> str:
         last: Exception | None = None
         for model in dict.fromkeys(self.models):
             for attempt in range(1, self.attempts + 1):
                 try:
-                    return self.call(model, text)
+                    if self.accept(answer := self.call(model, text)):
+                        return answer
+                    raise ValueError(f"not the form asked for: {answer[:200]!r}")
                 except Exception as e:  # noqa: BLE001  any failure of a remote model is tried again
                     last = e
                     self.sleep(self.wait_s * attempt)
@@ -43,18 +54,39 @@ class Retrying:
 
 
 class HttpExtractor:
-    """Posts a prompt as JSON and reads one field of the answer."""
+    """Posts a prompt as JSON and reads one field of the answer, by the keys and places that lead to it."""
 
-    def __init__(self, url: str, body: Callable[[str], dict], field: str = "response", timeout_s: float = 900.0):
-        self.url, self.body, self.field, self.timeout_s = url, body, field, timeout_s
+    def __init__(self, url: str, body: Callable[[str], dict], path: tuple[str | int, ...] = ("response",), timeout_s: float = 900.0, headers: dict[str, str] | None = None):
+        self.url, self.body, self.path, self.timeout_s = url, body, path, timeout_s
+        self.headers = {"Content-Type": "application/json"} | (headers or {})
 
     def generate(self, text: str) -> str:
-        import json
         import urllib.request
 
-        request = urllib.request.Request(self.url, json.dumps(self.body(text)).encode(), {"Content-Type": "application/json"})
+        request = urllib.request.Request(self.url, json.dumps(self.body(text)).encode(), self.headers)
         with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:
-            return json.loads(answer.read())[self.field]
+            found = json.loads(answer.read())
+        for key in self.path:
+            found = found[key]
+        return found
+
+
+def local_model(url: str, model: str, profile: Profile) -> HttpExtractor:
+    """A local model that takes plain prompts."""
+    options = {"num_predict": profile.max_output_tokens, "temperature": 0}
+    return HttpExtractor(url, lambda text: {"model": model, "prompt": text, "stream": False, "options": options}, timeout_s=profile.timeout_s)
+
+
+def chat_service(url: str, models: tuple[str, ...], profile: Profile, key: str | None = None, sleep: Callable[[float], None] = time.sleep) -> Retrying:
+    """A chat service: prompts are JSON lists of messages; each model in turn is tried again before the next one is."""
+    from ..operators.parsing import parse_structured
+
+    def call(model: str, text: str) -> str:
+        body = lambda t: {"model": model, "messages": json.loads(t), "temperature": 0, "max_tokens": profile.max_output_tokens, "response_format": {"type": "json_object"}}
+        headers = {"Authorization": f"Bearer {key}"} if key else None
+        return HttpExtractor(url, body, ("choices", 0, "message", "content"), profile.timeout_s, headers).generate(text)
+
+    return Retrying(call, models, sleep=sleep, accept=lambda answer: parse_structured(answer, EVENT_TYPES)[0])
 
 
 def extract(segments: DataFrame, make: Callable[[], Extractor], text: str = "seg_text", threads: int = 1) -> DataFrame:
@@ -69,9 +101,12 @@ def extract(segments: DataFrame, make: Callable[[], Extractor], text: str = "seg
 
         def one(t: str | None) -> tuple[str | None, str | None]:
             try:
-                return extractor.generate(t or ""), None
+                answer = extractor.generate(t or "")
+                if not isinstance(answer, str):
+                    raise TypeError(f"the answer is no text: {answer!r}"[:500])
+                return storable(answer), None
             except Exception as e:  # noqa: BLE001
-                return None, f"[EXCEPTION] {e}"
+                return None, storable(f"[EXCEPTION] {e}")
 
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
@@ -88,8 +123,6 @@ CAPITALISED = "([A-Z][a-z]+) [a-z]+ [a-z]+"
 
 def rule_items(segments: DataFrame, pattern: str = CAPITALISED, text: str = "seg_text") -> DataFrame:
     """Items by rule, grounded by construction: quote and action the match, name its first group, the type by its length."""
-    from ..config import EVENT_TYPES
-
     quotes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rest = segments.columns
     d = segments.select(*rest, F.posexplode_outer(quotes).alias("item_idx", "quote")).where("quote is not null")

@@ -6,17 +6,16 @@ the same way in both engines.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import API, LOCAL, Profile
+from ..config import API, EVENT_TYPES, LOCAL, Profile
 from ..functions import text as tx
 from ..operators import chunking, evidence, items, parsing, segments, tags, training
+from ..shared import shared_path
 from ..sources import readers, sinks
 from ..streaming.chunks import stream_chunks
 from . import extractors, pipelines
@@ -39,11 +38,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- the SQL side of shared pieces ---
 
 _W = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -344,16 +338,26 @@ _LINE_ITEMS = """SELECT l_orderkey AS doc_id, l_linenumber::INT AS chunk_id, 0 A
     CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN '' ELSE 'r' END AS rank, l_returnflag || l_linestatus AS action, 'Other' AS event_type, NULL::VARCHAR AS time, l_returnflag AS quote FROM lineitem"""
 
 
-@_query(
-    f"""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(_strip(f"coalesce({c}, '')") for c in items.KEY)} ORDER BY doc_id, chunk_id, seg_id, item_idx) AS n
+def _first_items(scope: str) -> str:
+    return f"""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY {scope}{", ".join(_strip(f"coalesce({c}, '')") for c in items.KEY)} ORDER BY doc_id, chunk_id, seg_id, item_idx) AS n
     FROM ({_LINE_ITEMS})) WHERE n = 1"""
-)
-def dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     name = F.concat(F.when(n % 2 == 0, " ").otherwise(""), F.lit("P"), (F.col("l_partkey") % 97).cast("string"))
     rank = F.when(n % 3 == 1, "").when(n % 3 == 2, "r")
-    d = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.cast("int").alias("chunk_id"), F.lit(0).alias("seg_id"), F.lit(0).alias("item_idx"), name.alias("name"), rank.alias("rank"), F.concat("l_returnflag", "l_linestatus").alias("action"), F.lit("Other").alias("event_type"), F.lit(None).cast("string").alias("time"), F.col("l_returnflag").alias("quote"))
-    return items.dedup(d)
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.cast("int").alias("chunk_id"), F.lit(0).alias("seg_id"), F.lit(0).alias("item_idx"), name.alias("name"), rank.alias("rank"), F.concat("l_returnflag", "l_linestatus").alias("action"), F.lit("Other").alias("event_type"), F.lit(None).cast("string").alias("time"), F.col("l_returnflag").alias("quote"))
+
+
+@_query(_first_items(""))
+def dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.dedup(_line_items(spark, sf_dir), scope=())
+
+
+@_query(_first_items("doc_id, "))
+def dedup_items_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.dedup(_line_items(spark, sf_dir))
 
 
 _EVIDENCE = """SELECT conv_id AS doc_id, (turn + CASE WHEN turn % 5 = 4 THEN 100 ELSE 1 END)::INT AS page, CASE turn % 5 WHEN 0 THEN substring(text, 4, 12) WHEN 1 THEN translate(substring(text, 4, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' WHEN 2 THEN '' ELSE 'absent#' END AS evidence,
@@ -384,7 +388,7 @@ _FLAGSHIP = rf"""WITH RECURSIVE {_chunks(_DOCS, LOCAL)}, segs AS (SELECT doc_id,
     found AS (SELECT doc_id, chunk_id, i, q[i] AS quote FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM (SELECT doc_id, chunk_id, regexp_extract_all(seg_text, '{extractors.CAPITALISED}') AS q FROM segs))),
     named AS (SELECT doc_id, chunk_id, 0 AS seg_id, (i - 1)::INT AS item_idx, regexp_extract(quote, '{extractors.CAPITALISED}', 1) AS name, NULL::VARCHAR AS rank, quote AS action,
         ['Appointment', 'Military', 'Diplomacy', 'Disaster', 'Death', 'Other'][length(quote) % 6 + 1] AS event_type, NULL::VARCHAR AS time, quote FROM found WHERE length(quote) BETWEEN 5 AND 60)
-    SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY name, action, event_type, quote ORDER BY doc_id, chunk_id, seg_id, item_idx) AS n FROM named) WHERE n = 1"""
+    SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name, action, event_type, quote ORDER BY chunk_id, seg_id, item_idx) AS n FROM named) WHERE n = 1"""
 
 
 @_query(_FLAGSHIP)
@@ -406,21 +410,97 @@ class _Echo:
         return json.dumps({"items": found})
 
 
-@_query(
-    rf"""WITH RECURSIVE {_chunks(_PAGES, API)}, segs AS (SELECT doc_id, chunk_id, {_norm("chunk_text")} AS s FROM chunks), found AS (SELECT doc_id, chunk_id, regexp_extract(s, '{extractors.CAPITALISED}', 0) AS quote FROM segs WHERE length(s) % 7 <> 0)
-    SELECT doc_id, chunk_id, name, quote FROM (SELECT doc_id, chunk_id, regexp_extract(quote, '{extractors.CAPITALISED}', 1) AS name, quote, row_number() OVER (PARTITION BY quote ORDER BY doc_id, chunk_id) AS n FROM found WHERE length(quote) BETWEEN 5 AND 60) WHERE n = 1"""
-)
+def _api_items(which: str) -> str:
+    return rf"""WITH RECURSIVE {_chunks(_PAGES, API)}, segs AS (SELECT doc_id, chunk_id, {_norm("chunk_text")} AS s FROM chunks), found AS (SELECT doc_id, chunk_id, regexp_extract(s, '{extractors.CAPITALISED}', 0) AS quote FROM segs WHERE {which})
+    SELECT doc_id, chunk_id, name, quote FROM (SELECT doc_id, chunk_id, regexp_extract(quote, '{extractors.CAPITALISED}', 1) AS name, quote, row_number() OVER (PARTITION BY doc_id, quote ORDER BY chunk_id) AS n FROM found WHERE length(quote) BETWEEN 5 AND 60) WHERE n = 1"""
+
+
+@_query(_api_items("length(s) % 7 <> 0"))
 def api_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.api_extraction(_conversation_pages(spark, sf_dir), _Echo).select("doc_id", "chunk_id", "name", "quote")
 
 
-@_query("SELECT doc_id, rank, quote FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'é' END AS rank, substring(text, 1, 40) AS quote FROM documents)")
+class _Flaky:
+    """A fake chat service behind retries: its first model never answers, its second one at the second try, but cuts every fifth length off."""
+
+    def __init__(self):
+        self.tried: set[str] = set()
+        self.retrying = extractors.Retrying(self.call, ("small", "large"), sleep=lambda s: None, accept=lambda answer: parsing.parse_structured(answer, EVENT_TYPES)[0])
+
+    def call(self, model: str, prompt: str) -> str:
+        import json
+
+        system, user = json.loads(prompt)
+        if model == "small" or system["content"] != "system" or (prompt not in self.tried and not self.tried.add(prompt)):
+            raise TimeoutError("no answer")
+        text = user["content"].removeprefix("【输入文本】\n").removesuffix("\n")
+        return _Echo().generate(text + "." * (len(text) % 7 == 0)) if len(text) % 5 else '{"items": [{"name": "cut'
+
+    def generate(self, text: str) -> str:
+        return self.retrying.generate(text)
+
+
+@_query(_api_items("length(s) % 5 <> 0"))
+def api_extraction_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.api_extraction(_conversation_pages(spark, sf_dir), _Flaky, system="system").select("doc_id", "chunk_id", "name", "quote")
+
+
+class _Lenient:
+    """A fake local model, given a framed chunk: a list of one item, no JSON at every third length."""
+
+    def generate(self, prompt: str) -> str:
+        import json
+
+        text = prompt.removeprefix("system\n\n【输入文本】:\n").removesuffix("\n\n【输出 JSON List】:")
+        return "sorry" if len(text) % 3 == 0 else "answer: " + json.dumps([{"official_name": text[:5], "page": len(text)}])
+
+
+_LOCAL_ANSWERS = f"WITH RECURSIVE {_chunks(_PAGES, LOCAL)}"
+
+
+@_query(_LOCAL_ANSWERS + """ SELECT doc_id, chunk_id, 0 AS item_idx, substring(chunk_text, 1, 5) AS name, '{"page": ' || length(chunk_text) || '}' AS extra FROM chunks WHERE length(chunk_text) % 3 <> 0""")
+def local_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = pipelines.local_extraction(_conversation_pages(spark, sf_dir), _Lenient, system="system")
+    return found.select("doc_id", "chunk_id", "item_idx", "name", "extra")
+
+
+@_query(_LOCAL_ANSWERS + " SELECT doc_id, chunk_id, chunk_text, 'sorry' AS raw FROM chunks WHERE length(chunk_text) % 3 = 0")
+def local_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.local_extraction(_conversation_pages(spark, sf_dir), _Lenient, system="system")[1]
+
+
+@_query(_LOCAL_ANSWERS + " SELECT k.doc_id, k.chunk_id, c.chunk_text FROM (SELECT conv_id AS doc_id, turn::INT AS chunk_id FROM conversations) k LEFT JOIN chunks c USING (doc_id, chunk_id)")
+def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _conversation_pages(spark, sf_dir)
+    return chunking.chunk_lookup(pages.select("doc_id", F.col("page_no").alias("chunk_id")), chunking.chunk_pages(pages, LOCAL))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'a\"b' || chr(10) || 'c, ' || lang END AS cell, source FROM documents")
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with quotes, commas and line feeds, written and read as CSV; N/A is null."""
+    cell = F.when(F.col("doc_id") % 3 == 0, "N/A").otherwise(F.concat(F.lit('a"b\nc, '), "lang"))
+    path = shared_path(spark, "csv")
+    _table(spark, sf_dir, "documents").select("doc_id", cell.alias("cell"), "source").write.csv(path, header=True, escape='"', quoteAll=True)
+    return readers.tagged_csv(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@_query(f"""WITH {_TAG_SQL}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT o_orderkey FROM entities))
+    SELECT 'train' AS part, n::BIGINT AS rows FROM n UNION ALL SELECT 'valid', (n - floor(n * 0.9::DOUBLE))::BIGINT FROM n UNION ALL SELECT 'test', (n - floor(n * 0.9::DOUBLE))::BIGINT FROM n""")
+def split_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, valid and test written as JSON Lines and counted again."""
+    path = shared_path(spark, "split")
+    examples = training.prompt_completion(training.training_examples(_tagged(spark, sf_dir)))
+    sinks.write_split(*training.split(examples, "o_orderkey"), path)
+    parts = [readers.lines(spark, f"{path}/{p}.jsonl").agg(F.count("*").alias("rows")).select(F.lit(p).alias("part"), "rows") for p in ("train", "valid", "test")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'é' END AS rank, text AS quote FROM documents")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 != 0, "é").alias("rank"), F.col("text").alias("quote"))
-    path = _scratch(spark, "jsonl")
+    path = shared_path(spark, "jsonl")
     sinks.write_jsonl(d, path)
-    # whole texts are written and read; the SQL shows the first characters of each
-    return readers.jsonl(spark, path, "doc_id long, rank string, quote string").withColumn("quote", F.substring("quote", 1, 40))
+    return readers.jsonl(spark, path, "doc_id long, rank string, quote string")
 
 
 @_query(_chunk_query(_PAGES, LOCAL))
@@ -430,7 +510,7 @@ def stream_chunks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = pages.groupBy("conv_id").agg(F.max("turn").alias("last"))
     stream = spark.readStream.schema(pages.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
     rows = stream.join(last, "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text", (F.col("turn") == F.col("last")).alias("is_last"))
-    out = _scratch(spark, "stream")
+    out = shared_path(spark, "stream")
     stream_chunks(rows, LOCAL).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("doc_id long, chunk_id int, chunk_text string").parquet(out)
 

@@ -10,27 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGE_SCHEMA = "doc_id string, page_no int, text string"
+PAGE_SCHEMA = "doc_id string, page_no int, text string, error string"
 
 
-def pdf_pages(spark: SparkSession, path: str, decode: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(doc_id, page_no from 0, text) of PDF files; ``decode`` gives a file's page texts, pypdf by default."""
+def pdf_pages(spark: SparkSession, path: str, decode: Callable[[bytes, int, int | None], list[str]] | None = None, start: int = 0, max_pages: int | None = None) -> DataFrame:
+    """(doc_id, page_no from 0, text, error) of the pages [start, start + max_pages) of PDF files.
+
+    ``decode(content, start, max_pages)`` gives the texts of those pages only; pypdf
+    by default.  A file that can't be decoded is one row with its error and no page.
+    """
     if decode is None:
         try:
             reader = importlib.import_module("pypdf").PdfReader
         except ImportError as e:
             raise RuntimeError("reading PDF needs pypdf, or a decode function") from e
 
-        def decode(content: bytes) -> list[str]:
+        def decode(content: bytes, start: int, max_pages: int | None) -> list[str]:
             import io
 
-            return [p.extract_text() or "" for p in reader(io.BytesIO(content)).pages]
+            pages = reader(io.BytesIO(content)).pages
+            end = len(pages) if max_pages is None else min(len(pages), start + max_pages)
+            return [pages[k].extract_text() or "" for k in range(start, end)]
+
+    start = max(0, start)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
-                pages = decode(content)
-                yield pd.DataFrame({"doc_id": name, "page_no": range(len(pages)), "text": pages})
+                try:
+                    pages = list(decode(content, start, max_pages))
+                except Exception as e:  # noqa: BLE001  a bad file must not end the job
+                    yield pd.DataFrame({"doc_id": [name], "page_no": pd.array([None], "Int32"), "text": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    continue
+                yield pd.DataFrame({"doc_id": name, "page_no": range(start, start + len(pages)), "text": pages, "error": None})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 

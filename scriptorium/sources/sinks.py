@@ -19,9 +19,9 @@ def write_chunks(chunks: DataFrame, path: str, cap: int = MAX_SAVED_CHUNKS) -> N
 
 
 def write_dead_letters(failed: DataFrame, path: str, cap: int = MAX_BAD_DUMPS) -> None:
-    """The first ``cap`` failures in two headed sections: the chunk, and the response."""
-    text = F.concat(F.lit("=== CHUNK ===\n"), "chunk_text", F.lit("\n\n=== RAW ===\n"), F.coalesce("raw", F.lit("")), F.lit("\n"))
-    failed.orderBy("chunk_id").limit(cap).select("chunk_id", text.alias("value")).write.mode("overwrite").partitionBy("chunk_id").text(path)
+    """The first ``cap`` failures by document and chunk, in two headed sections: the chunk, and the response."""
+    text = F.concat(F.lit("=== CHUNK TEXT ===\n"), "chunk_text", F.lit("\n\n=== RAW MODEL RESPONSE ===\n"), F.coalesce("raw", F.lit("")))
+    failed.orderBy("doc_id", "chunk_id").limit(cap).select("doc_id", "chunk_id", text.alias("value")).write.mode("overwrite").partitionBy("doc_id", "chunk_id").text(path)
 
 
 def write_split(train: DataFrame, valid: DataFrame, test: DataFrame, path: str) -> None:

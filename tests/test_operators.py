@@ -12,7 +12,7 @@ from scriptorium.operators import chunking, evidence, items, parsing, segments,
 from scriptorium.plans import pipelines
 from scriptorium.plans.extractors import Retrying, extract
 from scriptorium.sources import readers, sinks
-from scriptorium.streaming.chunks import advance
+from scriptorium.streaming.chunks import advance, finish
 
 
 def values(spark, inputs, expression):
@@ -184,6 +184,9 @@ def test_dedup_is_first_wins_and_idempotent(spark):
     once = items.dedup(d)
     key = lambda r: (r.doc_id, r.chunk_id, r.item_idx)
     assert sorted(map(key, once.collect())) == [(0, 9, 0), (1, 0, 0), (1, 1, 0)]
+    twice = item_rows(spark, [dict(doc_id=1), dict(doc_id=2)])
+    assert items.dedup(twice).count() == 2 and [r.doc_id for r in items.dedup(twice, scope=()).collect()] == [1]
+    assert sorted(items.dedup(twice, scope=()).collect()) == sorted(items.dedup_window(twice, ()).select(twice.columns).collect())
     assert sorted(once.collect()) == sorted(items.dedup(once).collect()) == sorted(items.dedup_window(d).select(d.columns).collect())
 
 
@@ -261,6 +264,92 @@ def test_local_pipeline_isolates_failures(spark, tmp_path):
     sinks.write_dead_letters(bad, str(tmp_path / "bad"), cap=1)
     sinks.write_chunks(chunking.chunk_pages(pages, LOCAL), str(tmp_path / "chunks"))
     assert spark.read.text(str(tmp_path / "chunks")).count() == 3
+    files = list((tmp_path / "bad").glob("doc_id=*/chunk_id=*/*.txt"))
+    assert [f.read_text().rstrip("\n") for f in files] == ["=== CHUNK TEXT ===\nboom\n\n=== RAW MODEL RESPONSE ===\n[EXCEPTION] boom"]
+
+
+class Counting:
+    """Leaves a file for each call."""
+
+    folder = ""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def generate(self, text):
+        import uuid
+        from pathlib import Path
+
+        (Path(self.folder) / uuid.uuid4().hex).touch()
+        return '[{"name": "a\\ud800"}]' if "odd" in text else "\ud800 no JSON"
+
+
+def test_each_chunk_is_sent_once_and_odd_answers_are_rows(spark, tmp_path):
+    (folder := tmp_path / "calls").mkdir()
+    pages = spark.createDataFrame([(k, 0, "odd" if k % 2 else "even") for k in range(10)], "doc_id long, page_no int, text string")
+    good, bad = pipelines.local_extraction(pages, lambda where=str(folder): Counting(where))
+    assert {r.name for r in good.collect()} == {"a\ufffd"} and {r.raw for r in bad.collect()} == {"\ufffd no JSON"}
+    assert good.count() == bad.count() == 5 and len(list(folder.iterdir())) == 10
+
+    class Numbers:
+        def generate(self, text):
+            return 5
+
+    assert extract(pages, Numbers, "text").where("raw is null and error like '%no text%'").count() == 10
+
+
+def test_chat_service_prompts_retries_and_falls_back(monkeypatch):
+    from scriptorium.plans import extractors
+
+    asked, waited = [], []
+    whole = '{"items": []}'
+
+    def answer(self, text):
+        asked.append(self.body(text))
+        if self.body(text)["model"] == "small":
+            raise TimeoutError
+        return whole if len(asked) > 5 else '{"items": [{'
+
+    monkeypatch.setattr(extractors.HttpExtractor, "generate", answer)
+    service = extractors.chat_service("http://x", ("small", "large"), API, sleep=waited.append)
+    assert service.generate('[{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]') == whole
+    assert [a["model"] for a in asked] == ["small"] * 3 + ["large"] * 3 and len(waited) == 5
+    assert [m["role"] for m in asked[0]["messages"]] == ["system", "user"]
+
+
+GOLDEN = [
+    ("宣德九年，少师蹇义卒。", {"name": "蹇义", "rank": "少师", "event_type": "Death", "action": "去世", "time": "宣德九年"}),
+    ("命行在工部尚书李友直提督供应柴炭。", {"name": "李友直", "rank": "行在工部尚书", "event_type": "Appointment", "action": "提督供应柴炭", "time": None}),
+    ("升行在监察御史程富为行在大理寺左少卿", {"name": "程富", "rank": "行在监察御史", "event_type": "Appointment", "action": "升为行在大理寺左少卿", "time": "丁亥"}),
+]
+
+
+class Golden:
+    """Answers the framed golden texts as printed."""
+
+    def generate(self, prompt):
+        return next(json.dumps([item], ensure_ascii=False) for text, item in GOLDEN if prompt == f"指示\n\n【输入文本】:\n{text}\n\n【输出 JSON List】:")
+
+
+def test_golden_records(spark):
+    pages = spark.createDataFrame([(k, 0, t) for k, (t, _) in enumerate(GOLDEN)], "doc_id long, page_no int, text string")
+    good, bad = pipelines.local_extraction(pages, Golden, system="指示")
+    assert {r.doc_id: {k: r[k] for k in ("name", "rank", "event_type", "action", "time")} for r in good.collect()} == {k: item for k, (_, item) in enumerate(GOLDEN)}
+    assert bad.count() == 0
+
+
+def test_chunk_lookup(spark):
+    pages = spark.createDataFrame([(1, 0, "one"), (2, 0, "two")], "doc_id long, page_no int, text string")
+    keys = spark.createDataFrame([(1, 0, "x"), (2, 0, "y"), (2, 7, "z")], "doc_id long, chunk_id int, name string")
+    got = chunking.chunk_lookup(keys, chunking.chunk_pages(pages, LOCAL))
+    assert {(r.name, r.chunk_text) for r in got.collect()} == {("x", "one"), ("y", "two"), ("z", None)}
+
+
+def test_script_conversion_takes_single_characters_only(spark):
+    d = spark.createDataFrame([("后宫x",)], "t string")
+    assert d.select(training.convert_script(F.col("t"), {"x": "", "后": "後"}).alias("t")).first().t == "後宫"
+    with pytest.raises(ValueError):
+        training.convert_script(F.col("t"), {"ab": "c"})
 
 
 def test_extract_keeps_rows_and_overlaps_calls(spark):
@@ -275,8 +364,8 @@ def test_api_pipeline(spark):
             return json.dumps({"items": [{"name": " a孙b ", "rank": "null", "action": "x", "event_type": "Death", "time": "", "quote": text[:8]}] * 2})
 
     pages = spark.createDataFrame([(1, 0, "quoted text here"), (2, 0, "quoted text here")], "doc_id long, page_no int, text string")
-    got = pipelines.api_extraction(pages, Service, Profile(API.chunk_size, API.overlap, 10, 1.0)).collect()
-    assert [(r.doc_id, r.item_idx, r.name, r.rank, r.time, r.quote) for r in got] == [(1, 0, "b", None, None, "quoted t")]
+    got = pipelines.api_extraction(pages, Service, Profile(API.chunk_size, API.overlap, 10, 1.0)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.item_idx, r.name, r.rank, r.time, r.quote) for r in got] == [(1, 0, "b", None, None, "quoted t"), (2, 0, "b", None, None, "quoted t")]
 
 
 @settings(max_examples=40, deadline=None)
@@ -294,6 +383,13 @@ def test_streaming_is_the_batch_form(pages, rng):
     assert out == list(enumerate(c[2] for c in chunking.chunks_of(joined, 900, 120)))
 
 
+def test_streams_end_without_their_last_page():
+    state = {"buffer": "", "chunk": 0, "page": 0, "waiting": {}, "done": False}
+    out = advance(state, [(0, "first", False), (2, "third", False), (5, "sixth", False)], 900, 120) + finish(state, 900, 120)
+    assert out == [(0, "first\nthird\nsixth")] and state["done"]
+    assert advance(state, [(6, "late", True)], 900, 120) == [] and finish(state, 900, 120) == []
+
+
 def test_csv_and_jsonl_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Related Texts,other\n"[(1, \'s\', \'<P>x</P> ""q"" \nline\')]",1\nN/A,2\n,3\n')
     d = readers.tagged_csv(spark, str(tmp_path / "a.csv"))
@@ -306,8 +402,16 @@ def test_csv_and_jsonl_sources(spark, tmp_path):
 
 def test_pdf_pages_with_a_decoder(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"one|two")
-    got = readers.pdf_pages(spark, str(tmp_path), lambda b: b.decode().split("|"))
-    assert sorted((r.page_no, r.text) for r in got.collect()) == [(0, "one"), (1, "two")]
+    (tmp_path / "bad.pdf").write_bytes(b"\xff")
+
+    def decode(content, start, most):
+        pages = content.decode().split("|")
+        return pages[start:] if most is None else pages[start : start + most]
+
+    got = readers.pdf_pages(spark, str(tmp_path), decode)
+    assert sorted((r.page_no, r.text) for r in got.where("error is null").collect()) == [(0, "one"), (1, "two")]
+    assert [(r.doc_id[-7:], r.page_no, r.error[:18]) for r in got.where("error is not null").collect()] == [("bad.pdf", None, "UnicodeDecodeError")]
+    assert [(r.page_no, r.text) for r in readers.page_range(readers.pdf_pages(spark, str(tmp_path), decode, 1, 1)).collect()] == [(1, "two")]
 
 
 def test_jsonl_roundtrip_writes_and_reads_whole_texts(spark, tmp_path, monkeypatch):
@@ -320,4 +424,4 @@ def test_jsonl_roundtrip_writes_and_reads_whole_texts(spark, tmp_path, monkeypat
     monkeypatch.setattr(readers, "jsonl", lambda *a: seen.append(read(*a)) or seen[-1])
     shown = {r.doc_id: r.quote for r in queries.jsonl_roundtrip(spark, str(tmp_path)).collect()}
     assert {r.doc_id: r.quote for r in seen[0].collect()} == dict(enumerate(texts))
-    assert shown == {k: t and t[:40] for k, t in enumerate(texts)}
+    assert shown == dict(enumerate(texts))
