@@ -4,9 +4,9 @@ State of a document: the text not yet emitted in a chunk, the next chunk id, the
 next page number, and pages that came before their turn.  Pages are taken in the
 order of page_no from 0; a gap holds later pages back until it is filled.  The
 page with ``is_last`` ends its document: the tail is emitted, and only a mark stays
-that turns later pages away.  A document without news for ``idle_s`` seconds is ended as it
-is, the pages behind a gap included, and its state or mark goes.  Each page is
-normalised on its own, as in the batch form.
+that turns later pages away.  With ``idle_s``, for streams that never end, a document
+without news for so many seconds is ended as it is, the pages behind a gap included,
+and its state or mark goes.  Each page is normalised on its own, as in the batch form.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def finish(state: dict, size: int, overlap: int) -> list[tuple[int, str]]:
     return out
 
 
-def stream_chunks(pages: DataFrame, profile: Profile, idle_s: int = 86_400) -> DataFrame:
+def stream_chunks(pages: DataFrame, profile: Profile, idle_s: int | None = None) -> DataFrame:
     """pages(doc_id, page_no, text, is_last), streaming, to (doc_id, chunk_id, chunk_text)."""
     size, overlap = profile.chunk_size, profile.overlap
 
@@ -83,8 +83,9 @@ def stream_chunks(pages: DataFrame, profile: Profile, idle_s: int = 86_400) -> D
         if state["done"]:
             state |= {"buffer": "", "waiting": {}}
         held.update((json.dumps(state),))
-        held.setTimeoutDuration(1000 * idle_s)
+        if idle_s is not None:
+            held.setTimeoutDuration(1000 * idle_s)
         yield pd.DataFrame({"doc_id": key[0], "chunk_id": [c for c, _ in chunks], "chunk_text": [t for _, t in chunks]})
 
     clean = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), normalize_text(F.coalesce("text", F.lit(""))).alias("text"), "is_last")
-    return clean.groupBy("doc_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clean.groupBy("doc_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.ProcessingTimeTimeout)
