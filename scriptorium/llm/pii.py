@@ -209,6 +209,13 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _with_share(patterns: DataFrame, others: DataFrame) -> DataFrame:
+    """The patterns whose seeds are at least MIN_SHARE of their instances, by a sketch of the other instances."""
+    n = others.groupBy("pattern").agg(F.approx_count_distinct(F.xxhash64("instance")).alias("others"))
+    share = F.col("seeds") >= MIN_SHARE * (F.col("seeds") + F.coalesce("others", F.lit(0)))
+    return patterns.join(n, "pattern", "left").where(share).select(*patterns.columns)
+
+
 def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The patterns that say enough (pattern, kind), and their edges (pattern, instance, seed, places) from ``occurrences``."""
     marked = _slots(found.where("seeded is not null")).where(F.contains("token", F.lit(_MARK)))
@@ -217,13 +224,13 @@ def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = seeds.groupBy("pattern", F.substring("instance", 1, 1).cast("int").alias("kind")).agg(F.count("*").alias("n"))
     own = own.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max(F.struct("n", (-F.col("kind")).alias("kind")))["kind"].alias("kind")).where(F.col("seeds") >= MIN_SEEDS)
     own = materialise(own.select("pattern", "seeds", (-F.col("kind")).alias("kind")), "patterns")
-    others = _others(found, own).groupBy("pattern").agg(F.approx_count_distinct(F.xxhash64("instance")).alias("others"))
-    share = F.col("seeds") >= MIN_SHARE * (F.col("seeds") + F.coalesce("others", F.lit(0)))
-    strong = materialise(own.join(others, "pattern", "left").where(share).select("pattern", "kind"), "strong-patterns")
+    # the texts with seeds alone rule out the patterns that everything fits; what is left is asked of all texts
+    likely = materialise(_with_share(own, _others(found.where("seeded is not null"), own)), "likely-patterns")
+    strong = materialise(_with_share(likely, _others(found, likely)).drop("seeds"), "strong-patterns")
     edges = _others(found, strong).groupBy("pattern", "instance").agg(F.lit(False).alias("seed"), F.count("*").alias("places"))
     edges = edges.unionAll(seeds.join(_small(strong.select("pattern")), "pattern", "left_semi").select("pattern", F.concat(F.lit(_MARK), "instance"), F.lit(True), F.lit(0)))
     edges = materialise(edges, "pattern-instance")
-    release(seeds, own)
+    release(seeds, own, likely)
     return strong, edges
 
 
