@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, decontamination, language, pii, quality_model, quality_rules, secrets
+from scriptorium.llm import chat, decontamination, language, pii, quality_model, quality_rules, queries, secrets
 from scriptorium.llm.wordhash import hash_words, windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_words string, kept string, spans string"
@@ -570,3 +571,31 @@ def test_many_spans_in_one_text_take_linear_time():
         secrets.novel_spans(text, secrets.base_spans(text), novelty)
         took.append(time.process_time() - began)
     assert took[1] < 12 * max(took[0], 0.01)
+
+
+# --- held-out figures on the synthetic tables ---
+
+TABLES = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the synthetic tables are not here")
+
+
+@needs_tables
+def test_held_out_languages(spark):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{TABLES}/documents.parquet").where("lang is not null").select("doc_id", "lang").collect()}
+    got = [r for r in queries.op4_language_id(spark, TABLES).collect() if r.held_out and r.lang_pred != "und"]
+    assert len(got) > 200 and sum(lang.get(r.doc_id, r.lang_pred) == r.lang_pred for r in got) >= 0.99 * len(got)
+
+
+@needs_tables
+def test_held_out_quality(spark):
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{TABLES}/labels.parquet").where("quality is not null").collect()}
+    got = [(r.score, label[r.doc_id]) for r in queries.op2_quality_classifier(spark, TABLES).collect() if r.held_out and r.doc_id in label]
+    good, bad = [s for s, q in got if q], [s for s, q in got if not q]
+    assert len(got) > 50 and sum((g > b) + (g == b) / 2 for g in good for b in bad) >= 0.9 * len(good) * len(bad)
+
+
+def test_equal_costs_take_the_first_language():
+    counts = np.array([(10 << 16) | (10 << 8) | 97]), np.array([2])
+    model = language.PpmModel({"b": counts, "a": counts})
+    bits = model.bits(pa.array(["a", "zz"]), model.index())
+    assert (bits[:, 0] == bits[:, 1]).all() and model.languages[int(bits[0].argmin())] == "a"
