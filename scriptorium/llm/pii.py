@@ -216,14 +216,20 @@ def _with_share(patterns: DataFrame, others: DataFrame) -> DataFrame:
     return patterns.join(n, "pattern", "left").where(share).select(*patterns.columns)
 
 
-def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The patterns that say enough (pattern, kind), and their edges (pattern, instance, seed, places) from ``occurrences``."""
+def graph(found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The patterns that say enough (pattern, kind), and their edges (pattern, instance, seed, places) from ``occurrences``.
+
+    None where no pattern has enough seeds: there is nothing to look for then.
+    """
     marked = _slots(found.where("seeded is not null")).where(F.contains("token", F.lit(_MARK)))
     mark = F.regexp_extract("token", f"{_MARK}([0-9]+)/", 1)
     seeds = materialise(marked.select("pattern", mark.alias("instance")).distinct(), "pattern-seeds")
     own = seeds.groupBy("pattern", F.substring("instance", 1, 1).cast("int").alias("kind")).agg(F.count("*").alias("n"))
     own = own.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max(F.struct("n", (-F.col("kind")).alias("kind")))["kind"].alias("kind")).where(F.col("seeds") >= MIN_SEEDS)
     own = materialise(own.select("pattern", "seeds", (-F.col("kind")).alias("kind")), "patterns")
+    if own.isEmpty():
+        release(seeds, own)
+        return None
     # the texts with seeds alone rule out the patterns that everything fits; what is left is asked of all texts
     likely = materialise(_with_share(own, _others(found.where("seeded is not null"), own)), "likely-patterns")
     strong = materialise(_with_share(likely, _others(found, likely)).drop("seeds"), "strong-patterns")
@@ -253,8 +259,14 @@ _NONE = "array<struct<kind:int,start:int,end:int>>"
 
 def _discovered(found: DataFrame) -> DataFrame:
     """key, hash, extra: the spans of new identifiers, of the document rows that have any."""
-    strong, edges = graph(found)
+    nothing = found.sparkSession.createDataFrame([], f"key long, hash long, extra {_NONE}")
+    if (both := graph(found)) is None:
+        return nothing
+    strong, edges = both
     new = materialise(discover(strong, edges), "discovered")
+    if new.isEmpty():
+        release(edges, new)
+        return nothing
     # where they stand: in strong patterns, and everywhere
     whole = F.regexp_replace(F.coalesce("seeded", F.col("row.text"), F.lit("")), _BLANKS, " ")
     tokens = found.select("key", "hash", F.explode(F.split(whole, " ")).alias("token")).select("key", "hash", _instance().alias("instance"))
