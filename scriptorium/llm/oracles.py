@@ -70,3 +70,65 @@ NEAR_DUPLICATES = rf"""
     SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
     FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) USING (doc_id)
 """
+
+
+_HASH = "('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), {}, 8))::BIGINT"
+
+INFILL = rf"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+  {", ".join(f"{_HASH.format(8 * k + 1)} AS h{k + 1}" for k in range(4))} FROM documents),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)))"""
+
+#: States 0 to 3: nothing yet, after s, after u, after a.  Costs to the end first, then the least edit that keeps to them, turn by turn.
+REPAIR = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+e AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE kind <> 0),
+r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM e),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM r),
+v AS (SELECT conv_id, i, n, role, text, ini, fault IN ('blank', 'duplicate') AND fault IS NOT NULL AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM f),
+back AS (
+  SELECT conv_id, n AS i, 0 AS c0, 4 AS c1, 2 AS c2, 0 AS c3 FROM v GROUP BY conv_id, n
+  UNION ALL
+  SELECT conv_id, i, least(d0, 2 + d2, 4 + d3) AS c0, least(d1, 2 + d2, 4 + d3) AS c1, least(d2, 2 + d3) AS c2, least(d3, 2 + d2) AS c3 FROM (
+      SELECT v.conv_id, v.i - 1 AS i,
+        least(3 + b.c0, CASE WHEN gone THEN 1000000000 WHEN ini = 's' THEN least(b.c1, 2 + b.c2) + cut WHEN ini = 'u' THEN b.c2 + cut ELSE 2 + b.c2 + cut END) AS d0,
+        least(3 + b.c1, CASE WHEN gone THEN 1000000000 WHEN ini = 'u' THEN b.c2 + cut ELSE 2 + b.c2 + cut END) AS d1,
+        least(3 + b.c2, CASE WHEN gone THEN 1000000000 WHEN ini = 'a' THEN b.c3 + cut ELSE 2 + b.c3 + cut END) AS d2,
+        least(3 + b.c3, CASE WHEN gone THEN 1000000000 WHEN ini = 'u' THEN b.c2 + cut ELSE 2 + b.c2 + cut END) AS d3
+      FROM back AS b JOIN v ON v.conv_id IS NOT DISTINCT FROM b.conv_id AND v.i = b.i)),
+togo AS (SELECT conv_id, i, s, CASE s WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END AS c FROM back, range(4) AS t(s)),
+walk AS (
+  SELECT conv_id, 0 AS i, 0 AS s, '' AS audit, '' AS done, NULL::VARCHAR AS line, 0 AS step FROM v GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, s, audit || letter, letter, line, step FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY letter) AS best FROM (
+      SELECT w.conv_id, w.audit, w.step + 1 AS step, m.letter, w.i + (m.letter <> 'I')::INT AS i, m.s2 AS s,
+        CASE m.letter WHEN 'I' THEN CASE m.s2 WHEN 2 THEN 'user:' ELSE 'assistant:' END WHEN 'K' THEN v.role || ':' || v.text WHEN 'R' THEN CASE m.s2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || v.text END AS line
+      FROM walk AS w JOIN togo AS g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i AND g.s = w.s
+      JOIN (VALUES ('D', 0, 0), ('D', 1, 1), ('D', 2, 2), ('D', 3, 3), ('I', 0, 2), ('I', 1, 2), ('I', 2, 3), ('I', 3, 2), ('K', 0, 1), ('K', 0, 2), ('K', 1, 2), ('K', 2, 3), ('K', 3, 2), ('R', 0, 2), ('R', 1, 2), ('R', 2, 3), ('R', 3, 2)) AS m(letter, s1, s2) ON m.s1 = w.s
+      JOIN togo AS h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i + (m.letter <> 'I')::INT AND h.s = m.s2
+      LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM w.conv_id AND v.i = w.i + 1
+      WHERE (m.letter = 'I' OR v.i IS NOT NULL) AND (m.letter NOT IN ('K', 'R') OR NOT v.gone)
+        AND (m.letter <> 'K' OR v.ini = CASE m.s2 WHEN 1 THEN 's' WHEN 2 THEN 'u' ELSE 'a' END)
+        AND g.c = h.c + CASE m.letter WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'K' THEN v.cut ELSE 2 + v.cut END))
+  WHERE best = 1),
+a AS (SELECT conv_id, max_by(audit, step) AS audit, string_agg(line, chr(10) ORDER BY step) AS whole FROM walk GROUP BY conv_id),
+k AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prev IS NOT NULL AND (prev || ini) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(k.gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate, coalesce(k.truncated, 0) AS truncated, coalesce(k.illegal, 0) AS illegal,
+  coalesce(g.c, 0)::BIGINT AS cost, coalesce(a.audit, '') AS audit, sha256(coalesce(a.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN togo AS g ON g.conv_id IS NOT DISTINCT FROM c.conv_id AND g.i = 0 AND g.s = 0
+"""

@@ -83,6 +83,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill, restore
+
+    d = infill(read_table(spark, sf_dir, "documents"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    restored = restore(F.col("output"), F.col("form"))
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damage, repair, repaired_text
+
+    conversations = read_table(spark, sf_dir, "conversations")
+    d = repair(damage(conversations), conversations.select("conv_id"))
+    return d.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(repaired_text("repaired").cast("binary"), 256).alias("repaired_sha256"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -90,4 +107,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op1_quality_rules": oracles.quality_rules(), "op5_chat_formatting": oracles.CHAT, "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES}
+    return {"op1_quality_rules": oracles.quality_rules(), "op5_chat_formatting": oracles.CHAT, "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op12_fill_in_middle": oracles.INFILL, "op13_conversation_repair": oracles.REPAIR}
