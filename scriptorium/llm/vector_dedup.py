@@ -12,8 +12,8 @@
    is tied in.  Adjacency lists of all shards are united.
 3. Every node is searched in the shards of its nearest clusters: greedily from the
    medoid, then through all that is in range, which a ball's radius widens.  Where a
-   node in range has edges into a cluster not yet searched, the query goes there in the
-   next round, until no round finds a new place.
+   node in range has an edge into a cluster not yet searched that may end in range, by
+   the angles, the query goes there in the next round, until no round finds a new place.
 4. The recall is audited against brute force on ``AUDIT`` nodes; below ``MIN_RECALL``
    queries go to twice as many clusters, at last to all.
 5. Pairs of balls that are near enough as a whole are linked as a whole, pairs on the
@@ -151,9 +151,9 @@ def _placed(rows: DataFrame, kind: str, centroids, dense, width: int, angle: flo
     return rows.mapInArrow(run, out)
 
 
-def _dealt(rows: DataFrame, cluster: str) -> DataFrame:
+def _dealt(rows: DataFrame, cluster: str, size: int) -> DataFrame:
     """rows with parts: the number of shards of a cluster.  There are at most ``SAMPLE`` / 8 clusters and as many dimensions."""
-    counts = rows.groupBy(cluster).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
+    counts = rows.groupBy(cluster).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     return rows.join(F.broadcast(counts), cluster)
 
 
@@ -191,7 +191,7 @@ def _balls(rows: DataFrame, kind: str, angle: float) -> DataFrame:
             "radius": of(radius, pa.float64()), "least": of(low, pa.int64()), "members": of(members, pa.int64()),
         })
 
-    d = _dealt(rows.select("cls", "m", "node", "blob", F.col("near")[0].alias("cluster")), "cluster")
+    d = _dealt(rows.select("cls", "m", "node", "blob", F.col("near")[0].alias("cluster")), "cluster", SHARD)
     d = d.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("parts")
     return d.groupBy("cluster", "salt").applyInArrow(run, "cls long, ball long, m long, node long, blob binary, size long, radius double, least long, members long")
 
@@ -244,16 +244,22 @@ def _edges(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndar
 
 
 def _graph(nodes: DataFrame, kind: str) -> DataFrame:
-    """id, edges (array of id, home) of all nodes: the united adjacency lists of nodes(cluster, salt, id, home, blob)."""
+    """id, edges of all nodes: the united adjacency lists of nodes(cluster, salt, id, home, blob, radius).
+
+    An edge has the node it leads to, that node's home and off, the angle between both nodes less that node's radius.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        a, b = _edges(_unit_rows(table["blob"].combine_chunks(), kind), np.random.default_rng(len(table)))
+        x = _unit_rows(table["blob"].combine_chunks(), kind)
+        a, b = _edges(x, np.random.default_rng(len(table)))
         ids, homes = table["id"].to_numpy(), table["home"].to_numpy()
-        return pa.table({"id": ids[a], "to": ids[b], "home": homes[b]})
+        turn = np.arccos(np.clip(np.einsum("nd,nd->n", x[a], x[b]), -1, 1))
+        return pa.table({"id": ids[a], "to": ids[b], "home": homes[b], "off": turn - table["radius"].to_numpy()[b]})
 
-    edges = nodes.groupBy("cluster", "salt").applyInArrow(run, "id long, to long, home int")
-    return edges.distinct().groupBy("id").agg(F.collect_list(F.struct("to", "home")).alias("edges"))
+    edges = nodes.groupBy("cluster", "salt").applyInArrow(run, "id long, to long, home int, off double")
+    edges = edges.groupBy("id", "to", "home").agg(F.min("off").alias("off"))
+    return edges.groupBy("id").agg(F.collect_list(F.struct("to", "home", "off")).alias("edges"))
 
 
 def _found(x: np.ndarray, medoid: int, adjacency: np.ndarray, q: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -297,11 +303,10 @@ def _searched(graph: DataFrame, queries: DataFrame, kind: str, cosine: float) ->
             nodes = nodes.sort_by("id")
             x = _unit_rows(nodes["blob"].combine_chunks(), kind)
             ids, radius, size, node, here = (nodes[c].to_numpy() for c in ("id", "radius", "size", "node", "cluster"))
-            own = nodes["home"].to_numpy() == here
             edges = nodes["edges"].combine_chunks()
             tail = pa.compute.list_parent_indices(edges).to_numpy()
             flat = edges.flatten()
-            to, home = flat.field("to").to_numpy(), flat.field("home").to_numpy()
+            to, home, off = (flat.field(c).to_numpy() for c in ("to", "home", "off"))
             place = np.searchsorted(ids, to)
             inside = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == to)
             # cells of the adjacency table: the place of an edge within its list
@@ -309,7 +314,7 @@ def _searched(graph: DataFrame, queries: DataFrame, kind: str, cosine: float) ->
             adjacency = np.full((len(ids), int(rank.max()) + 1 if len(rank) else 1), -1)
             adjacency[tail[inside], rank[inside]] = place[inside]
             cross = ~inside & (home != here[0])
-            leads = [np.unique(home[cross & (tail == i)]) if c else home[:0] for i, c in enumerate(np.bincount(tail[cross], minlength=len(ids)))]
+            leads = np.split(np.flatnonzero(cross), np.cumsum(np.bincount(tail[cross], minlength=len(ids)))[:-1])
             medoid, widest = _medoid(x), radius.max()
             for i in range(0, len(queries), QUERIES):
                 part = queries.slice(i, QUERIES)
@@ -317,8 +322,10 @@ def _searched(graph: DataFrame, queries: DataFrame, kind: str, cosine: float) ->
                 q_id, q_radius, q_size, q_node = (part[c].to_numpy() for c in ("id", "radius", "size", "node"))
                 met = _found(x, medoid, adjacency, q, np.cos(np.minimum(theta + q_radius + widest + MARGIN, math.pi)))
                 a, b = np.nonzero(met >= np.cos(np.minimum(theta + q_radius[:, None] + radius[None, :] + MARGIN, math.pi)) - 1e-12)
-                on = np.unique(np.array([(q_id[r], c) for r, k in zip(a, b) for c in leads[k]], np.int64).reshape(-1, 2), axis=0)
-                other = own[b] & (q_id[a] != ids[b])
+                # an edge that turns off farther than the range can't end in it
+                reach = np.arccos(np.clip(met[a, b], -1, 1)) + theta + q_radius[a] + MARGIN
+                on = np.unique(np.array([(q_id[r], home[e]) for r, k, far in zip(a, b, reach) for e in leads[k] if off[e] <= far], np.int64).reshape(-1, 2), axis=0)
+                other = q_id[a] != ids[b]
                 a, b = a[other], b[other]
                 s = met[a, b]
                 points = (q_radius[a] == 0) & (radius[b] == 0)
@@ -434,9 +441,9 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
     leaders = materialise(_placed(leaders, kind, centroids, {}, width, half).drop("place", "off"), "leaders")
 
     of = leaders.select("id", "blob", "radius", "size", "node", F.col("near")[0].alias("home"), F.explode("near").alias("cluster"))
-    members = _dealt(of, "cluster").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    members = _dealt(of, "cluster", 2 * SHARD).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     edges = _graph(members, kind)
-    none = F.array().cast("array<struct<to:bigint,home:int>>")
+    none = F.array().cast("array<struct<to:bigint,home:int,off:double>>")
     graph = materialise(members.join(edges, "id", "left").withColumn("edges", F.coalesce("edges", none)), "graph")
 
     truth = materialise(_true_pairs(leaders, kind, cosine), "audit")
