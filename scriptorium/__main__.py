@@ -11,7 +11,7 @@ from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .config import API, DEBUG_API, DEBUG_LOCAL, LOCAL, SYSTEM_API, SYSTEM_LOCAL
-from .operators import training
+from .operators import phrases as phrase_operators
 from .plans import pipelines
 from .plans.extractors import chat_service, local_model
 from .sources import readers, sinks
@@ -49,8 +49,7 @@ def _convert(spark: SparkSession, a: argparse.Namespace) -> None:
     """Instruction examples with phrases of a JSON dictionary replaced."""
     with open(a.phrases, encoding="utf-8") as f:
         phrases = json.load(f)
-    rows = readers.jsonl(spark, a.examples, "instruction string, input string, output string")
-    sinks.write_jsonl(training.convert_phrases(rows, phrases), a.out)
+    phrase_operators.convert_records(readers.lines(spark, a.examples), phrases).write.mode("overwrite").text(a.out)
 
 
 def _validate(spark: SparkSession, a: argparse.Namespace) -> None:

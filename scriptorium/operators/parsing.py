@@ -31,6 +31,19 @@ def storable(text: str) -> str:
     return _SURROGATE.sub("\ufffd", text)
 
 
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def strict_object(line: str | None) -> dict | None:
+    """The object that a line of JSON Lines holds; None if it is blank or anything else: no strict JSON, a tail, NaN, a list, a bare value."""
+    try:
+        found = json.loads((line or "").strip(), parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def _text(value) -> str | None:
     return value if value is None else storable(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,29 +79,3 @@ def convert_script(text: Column, pairs: dict[str, str]) -> Column:
     # the replaced without a replacement go last, as the shorter list has no partner for them
     pairs = {k: v for k, v in pairs.items() if v} | {k: v for k, v in pairs.items() if not v}
     return F.translate(text, "".join(pairs), "".join(pairs.values()))
-
-
-def convert_phrases(examples: DataFrame, phrases: dict[str, str], columns: tuple[str, ...] = ("input", "output")) -> DataFrame:
-    """The longest phrase of a dictionary at each place replaced, in the given columns that exist."""
-    longest = max(map(len, phrases), default=0)
-
-    def convert(t: str | None) -> str | None:
-        if not t:
-            return t
-        out, at = [], 0
-        while at < len(t):
-            for size in range(min(longest, len(t) - at), 0, -1):
-                if (to := phrases.get(t[at : at + size])) is not None:
-                    out.append(to)
-                    at += size
-                    break
-            else:
-                out.append(t[at])
-                at += 1
-        return "".join(out)
-
-    @F.arrow_udf("string")
-    def converted(x: pa.Array) -> pa.Array:
-        return pa.array([convert(t) for t in x.to_pylist()], pa.string())
-
-    return examples.withColumns({c: converted(c) for c in columns if c in examples.columns})

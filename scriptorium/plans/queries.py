@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import API, EVENT_TYPES, LOCAL, Profile
 from ..functions import text as tx
-from ..operators import chunking, evidence, items, parsing, segments, tags, training
+from ..operators import chunking, evidence, items, parsing, phrases, segments, tags, training
 from ..shared import shared_path
 from ..sources import readers, sinks
 from ..streaming.chunks import stream_chunks
@@ -225,7 +225,7 @@ def script_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, replace(replace(text, 'tion', '字'), 'th', '詞') AS input FROM documents")
 def phrase_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.convert_phrases(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input")), {"tion": "字", "th": "詞"})
+    return phrases.convert_phrases(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input")), {"tion": "字", "th": "詞"})
 
 
 @_query(f"WITH {_TAG_SQL} SELECT o_orderkey::VARCHAR AS id, 'src' AS source, x AS text_content FROM tagged WHERE o_orderkey % 4 <> 0 UNION ALL SELECT 'a', 'b', 'first' FROM tagged WHERE o_orderkey % 4 = 1")
@@ -503,6 +503,49 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.jsonl(spark, path, "doc_id long, rank string, quote string")
 
 
+_BAD_LINE = """CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN '{''input'': ''single''}' WHEN 2 THEN '{"input": "x"} tail' WHEN 3 THEN '[{"input": "x"}, {"input": "y"}]'
+    WHEN 4 THEN '{"input": NaN}' WHEN 5 THEN '{"input": ' || doc_id || '}' WHEN 6 THEN '{"doc_id": "' || doc_id || '", "input": "x"}' WHEN 7 THEN '{"input": "cut' """
+
+
+@_query("SELECT doc_id, text AS input, CASE WHEN doc_id % 10 = 8 THEN NULL ELSE lang END AS output FROM documents WHERE doc_id % 10 > 7")
+def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as JSON Lines, eight of ten lines blank, quoted wrong, with a tail, a list, NaN, of the wrong kind or cut off."""
+    d = _table(spark, sf_dir, "documents")
+    good = F.to_json(F.struct("doc_id", F.col("text").alias("input"), F.when(F.col("doc_id") % 10 != 8, F.col("lang")).alias("output"), F.lit(1).alias("other")), {"ignoreNullFields": "false"})
+    path = shared_path(spark, "bad-lines")
+    d.select(F.expr(_BAD_LINE + "END").alias("bad"), good.alias("good")).select(F.coalesce("bad", "good").alias("value")).write.text(path)
+    return readers.jsonl(spark, path, "doc_id long, input string, output string")
+
+
+_ITEM_PHRASES = r"""items AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: regexp_matches(x, '^[A-Za-z]{4,}$'))) AS w FROM benchmark),
+    dictionary AS (SELECT w AS phrase, upper(w) AS replacement FROM items UNION SELECT left(w, 4), '<' || left(w, 4) || '>' FROM items WHERE left(w, 4) NOT IN (SELECT w FROM items) UNION SELECT w || ' ', '[' || w || '] ' FROM items)"""
+
+
+def _phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark, their first four letters and themselves with a blank: phrases that begin one another."""
+    words = F.filter(F.split("text", r"[ \n]+"), lambda x: x.rlike("^[A-Za-z]{4,}$"))
+    w = _table(spark, sf_dir, "benchmark").select(F.explode(words).alias("w")).distinct()
+    stems = w.select(F.left("w", F.lit(4)).alias("phrase")).distinct().join(w, F.col("phrase") == F.col("w"), "left_anti")
+    out = w.select(F.col("w").alias("phrase"), F.upper("w").alias("replacement"))
+    out = out.unionAll(stems.select("phrase", F.concat(F.lit("<"), "phrase", F.lit(">"))))
+    return out.unionAll(w.select(F.concat("w", F.lit(" ")), F.concat(F.lit("["), "w", F.lit("] "))))
+
+
+@_query(rf"""WITH RECURSIVE {_ITEM_PHRASES}, longest AS (SELECT max(length(phrase)) AS n FROM dictionary), stems AS (SELECT DISTINCT left(phrase, 4) AS stem FROM dictionary),
+    places AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT doc_id, text AS t FROM documents)),
+    near AS (SELECT doc_id, i, substring(t, i, (SELECT n FROM longest)) AS s FROM places WHERE substring(t, i, 4) IN (SELECT stem FROM stems)),
+    found AS (SELECT doc_id, i, max_by(replacement, length(phrase)) AS r, max(length(phrase)) AS n FROM near JOIN dictionary ON left(phrase, 4) = left(s, 4) AND starts_with(s, phrase) GROUP BY doc_id, i),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM found),
+    jumps AS (SELECT a.doc_id, a.k, a.i, a.n, a.r, min(b.k) AS after FROM numbered a LEFT JOIN numbered b ON b.doc_id = a.doc_id AND b.k > a.k AND b.k <= a.k + a.n AND b.i >= a.i + a.n GROUP BY ALL),
+    taken AS (SELECT doc_id, k, i, n, r, after FROM jumps WHERE k = 1 UNION ALL SELECT j.doc_id, j.k, j.i, j.n, j.r, j.after FROM taken x JOIN jumps j ON j.doc_id = x.doc_id AND j.k = x.after)
+    SELECT doc_id, count(i)::BIGINT AS phrases, coalesce(sum(i * n), 0)::BIGINT AS places, md5(coalesce(string_agg(r, '|' ORDER BY i), '')) AS replaced FROM documents LEFT JOIN taken USING (doc_id) GROUP BY doc_id""")
+def phrase_dictionary_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the leftmost longest phrases of a dictionary of thousands stand in whole texts, and what replaces them."""
+    d = phrases.find_phrases(_table(spark, sf_dir, "documents").select("doc_id", "text"), _phrase_table(spark, sf_dir), "f")
+    total = F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x["at"] * x["size"] + x["size"])
+    return d.select("doc_id", F.size("f").cast("long").alias("phrases"), total.alias("places"), F.md5(F.array_join(F.col("f.replacement"), "|")).alias("replaced"))
+
+
 @_query(_chunk_query(_PAGES, LOCAL))
 def stream_chunks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming form run to its end over the conversations, in one or more micro-batches."""

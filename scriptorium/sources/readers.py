@@ -6,9 +6,13 @@ import importlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..operators.parsing import storable, strict_object
 
 PAGE_SCHEMA = "doc_id string, page_no int, text string, error string"
 
@@ -68,9 +72,56 @@ def tagged_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.select(*[F.when(F.col(f"`{c}`").isin("", "N/A"), None).otherwise(F.col(f"`{c}`")).alias(c) for c in d.columns])
 
 
+class _Misfit(ValueError):
+    pass
+
+
+_LIMITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _fitted(value, kind: T.DataType):
+    """A JSON value as a column's value; _Misfit if it is of another kind.  No value is turned into another kind but a whole number into a fraction."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StringType) and isinstance(value, str):
+        return storable(value)
+    if isinstance(kind, T.BooleanType) and isinstance(value, bool):
+        return value
+    if type(kind) in _LIMITS and type(value) is int and -(1 << _LIMITS[type(kind)] - 1) <= value < 1 << _LIMITS[type(kind)] - 1:
+        return value
+    if isinstance(kind, (T.DoubleType, T.FloatType)) and type(value) in (int, float):
+        return float(value)
+    if isinstance(kind, T.ArrayType) and isinstance(value, list):
+        return [_fitted(v, kind.elementType) for v in value]
+    if isinstance(kind, T.MapType) and isinstance(value, dict):
+        return {k: _fitted(v, kind.valueType) for k, v in value.items()}
+    if isinstance(kind, T.StructType) and isinstance(value, dict):
+        return {f.name: _fitted(value.get(f.name), f.dataType) for f in kind}
+    raise _Misfit(kind)
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON Lines with a given schema; blank and malformed lines are skipped."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    """JSON Lines with a given schema, a row for each line that is one strict JSON object whose fields have the schema's kinds.
+
+    Blank lines, single quotes, tails, NaN, lists, bare values and fields of another
+    kind make a line malformed: it is skipped.  A field that is absent or null is null,
+    fields that the schema lacks are left out, of a repeated one the last counts.
+    """
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    out = to_arrow_type(kind)
+
+    def row(line: str | None) -> dict | None:
+        found = strict_object(line)
+        try:
+            return None if found is None else _fitted(found, kind)
+        except (_Misfit, OverflowError):
+            return None
+
+    @F.arrow_udf(kind)
+    def rows(x: pa.Array) -> pa.Array:
+        return pa.array([row(t) for t in x.to_pylist()], out)
+
+    return spark.read.text(path).select(rows("value").alias("r")).where("r is not null").select("r.*")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import API, EVENT_TYPES, LOCAL, Profile
 from scriptorium.functions import text as tx
-from scriptorium.operators import chunking, evidence, items, parsing, segments, tags, training
+from scriptorium.operators import chunking, evidence, items, parsing, phrases, segments, tags, training
 from scriptorium.plans import pipelines
 from scriptorium.plans.extractors import Retrying, extract
 from scriptorium.sources import readers, sinks
@@ -222,7 +222,7 @@ def test_split_sizes(spark, n):
 
 def test_phrases_take_the_longest(spark):
     d = spark.createDataFrame([("后来皇后", None)], "input string, instruction string")
-    r = training.convert_phrases(d, {"后": "後", "皇后": "皇后", "来": "來"}).first()
+    r = phrases.convert_phrases(d, {"后": "後", "皇后": "皇后", "来": "來"}).first()
     assert r.input == "後來皇后" and r.instruction is None
 
 
