@@ -45,6 +45,8 @@ from .wordhash import hash_words, mix64, slices, windows
 
 COORDINATES = 64
 ROUNDS = 2
+#: 2 MB of edges: their components take one small task instead of some thirty shuffles.
+FEW_EDGES = 1 << 17
 #: Slots of the fixed-size filter that spares texts without any candidate a second reading.
 _SLOTS = 1 << 20
 _rng = np.random.default_rng(64_085)
@@ -150,9 +152,33 @@ def components(edges: DataFrame) -> DataFrame:
     return _stars(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``components`` of edges that are all in one task."""
+    tables = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches if b.num_rows]
+    if not tables:
+        return
+    nodes, ends = np.unique(np.concatenate(tables, 1), return_inverse=True)
+    low, high = np.sort(ends.reshape(2, -1), 0)
+    root = np.arange(len(nodes))
+    while True:
+        # both ends to the lower root of either, and each root to its own
+        least = np.minimum(root[low], root[high])
+        before = root.copy()
+        for end in (root[low], root[high]):
+            np.minimum.at(root, end, least)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    child = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
+
+
 def _stars(edges: DataFrame) -> DataFrame:
-    """``components`` as written: (a, b), b the root of a."""
+    """``components`` as written: (a, b), b the root of a.  Up to ``FEW_EDGES`` edges are one task's work, more go through alternating stars."""
     e, before, last = edges.where("a <> b"), None, []
+    if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        return materialise(e.select("a", "b").coalesce(1).mapInArrow(_roots, "a long, b long"), "stars")
     while True:
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -221,6 +247,9 @@ class _Linker:
         lists = self._lists()
         mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
         left = materialise(lists.join(mixed, "token", "left_semi").select("cls", "comp").distinct(), "left")
+        if left.isEmpty():
+            release(left, self.post, self.wanted, self.sets, *self.tried)
+            return
         each = materialise(self.sets.join(left, "cls").select("cls", "comp", "shingles").mapInArrow(_shingles, "cls long, comp long, n int, shingle long"), "left-shingles")
         frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         own = each.join(frequent, "shingle").groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 import weakref
 
@@ -41,6 +42,9 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
 
 _folders: dict[int, str] = {}
+#: Seconds between two collections in a driver whose heap is too large to fill up by itself.
+COLLECT_S = 30
+_collected = 0.0
 
 
 def release(*tables: DataFrame) -> None:
@@ -49,10 +53,12 @@ def release(*tables: DataFrame) -> None:
         spark, path = table.sparkSession, _folders.pop(id(table))
         whole = spark._jvm.org.apache.hadoop.fs.Path(path)
         whole.getFileSystem(spark._jsc.hadoopConfiguration()).delete(whole, True)
-    if tables:
+    global _collected
+    if tables and time.monotonic() - _collected > COLLECT_S:
         # shuffle files go when the driver collects the plans that made them
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def bounded_batches(spark: SparkSession) -> None:

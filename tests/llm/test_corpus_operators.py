@@ -42,6 +42,21 @@ def brute_force(rows, size, percent):
     return sorted((d, len(s), root(d), root(d) == d) for (d, _), s in zip(rows, sets))
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW_EDGES", few)
+    rng = random.Random(few)
+    edges = [(k, k + 1) for k in range(100, 400)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(250)] + [(7, 7), (9, 8), (8, 9)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.root) for r in found} == {(a, b) for a, b in root.items() if a != b} and len(found) == len({r.node for r in found})
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_near_duplicates_against_brute_force(spark, size, percent):
     rng = random.Random(size)
