@@ -16,7 +16,7 @@ from ..config import API, EVENT_TYPES, LOCAL, Profile
 from ..functions import text as tx
 from ..operators import chunking, evidence, items, parsing, phrases, segments, tags, training
 from ..shared import shared_path
-from ..sources import readers, sinks
+from ..sources import pages, readers, sinks
 from ..streaming.chunks import stream_chunks
 from . import extractors, pipelines
 
@@ -503,6 +503,18 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.jsonl(spark, path, "doc_id long, rank string, quote string")
 
 
+@_query("""SELECT * FROM (SELECT (doc_id % 8)::INT AS bucket, (row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1)::INT AS page_no, translate(text, chr(12), ' ') AS text FROM documents)
+    WHERE page_no >= 2 AND text <> ''""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as the pages of eight files, read back by the page source from the third page on; the bound is pushed down into it."""
+    path = shared_path(spark, "page-files")
+    d = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 8).cast("int").alias("bucket"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\f", " ").alias("value"))
+    d.repartition(8, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.option("lineSep", "\f").partitionBy("bucket").text(path)
+    pages.register(spark)
+    found = readers.page_range(spark.read.format("page_files").option("slice_bytes", 1 << 20).load(path), 2)
+    return found.select(F.regexp_extract("doc_id", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "page_no", "text")
+
+
 _BAD_LINE = """CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN '{''input'': ''single''}' WHEN 2 THEN '{"input": "x"} tail' WHEN 3 THEN '[{"input": "x"}, {"input": "y"}]'
     WHEN 4 THEN '{"input": NaN}' WHEN 5 THEN '{"input": ' || doc_id || '}' WHEN 6 THEN '{"doc_id": "' || doc_id || '", "input": "x"}' WHEN 7 THEN '{"input": "cut' """
 
