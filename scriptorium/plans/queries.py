@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import API, EVENT_TYPES, LOCAL, Profile
 from ..functions import text as tx
-from ..operators import chunking, evidence, items, parsing, phrases, segments, tags, training
+from ..operators import chunking, evidence, items, long_texts, parsing, phrases, segments, tags, training
 from ..shared import shared_path
 from ..sources import pages, readers, sinks
 from ..streaming.chunks import stream_chunks
@@ -515,6 +515,13 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("doc_id", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "page_no", "text")
 
 
+@_query(_chunk_query(_DOCS, LOCAL))
+def chunk_long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts cut in blocks that many tasks share; the same rows as cutting each document in one go."""
+    pages = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_no"), "text")
+    return long_texts.chunk_long_pages(pages, LOCAL, block=1 << 14).select(*_CHUNK_COLUMNS)
+
+
 _BAD_LINE = """CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN '{''input'': ''single''}' WHEN 2 THEN '{"input": "x"} tail' WHEN 3 THEN '[{"input": "x"}, {"input": "y"}]'
     WHEN 4 THEN '{"input": NaN}' WHEN 5 THEN '{"input": ' || doc_id || '}' WHEN 6 THEN '{"doc_id": "' || doc_id || '", "input": "x"}' WHEN 7 THEN '{"input": "cut' """
 
