@@ -18,6 +18,7 @@ from ..operators import chunking, evidence, items, long_texts, parsing, phrases,
 from ..shared import shared_path
 from ..sources import pages, readers, sinks
 from ..streaming.chunks import stream_chunks
+from ..streaming.typed_chunks import rocksdb, stream_chunks_typed
 from . import extractors, pipelines
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -565,18 +566,32 @@ def phrase_dictionary_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("f").cast("long").alias("phrases"), total.alias("places"), F.md5(F.array_join(F.col("f.replacement"), "|")).alias("replaced"))
 
 
-@_query(_chunk_query(_PAGES, LOCAL))
-def stream_chunks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming form run to its end over the conversations, in one or more micro-batches."""
+def _page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "conversations")
     last = pages.groupBy("conv_id").agg(F.max("turn").alias("last"))
     stream = spark.readStream.schema(pages.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
-    rows = stream.join(last, "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text", (F.col("turn") == F.col("last")).alias("is_last"))
+    return stream.join(last, "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text", (F.col("turn") == F.col("last")).alias("is_last"))
+
+
+def _run_stream(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     out = shared_path(spark, "stream")
-    stream_chunks(rows, LOCAL).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    chunks.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("doc_id long, chunk_id int, chunk_text string").parquet(out)
 
 
+@_query(_chunk_query(_PAGES, LOCAL))
+def stream_chunks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming form run to its end over the conversations, in one or more micro-batches."""
+    return _run_stream(spark, stream_chunks(_page_stream(spark, sf_dir), LOCAL))
+
+
+@_query(_chunk_query(_PAGES, LOCAL))
+def stream_chunks_typed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by typed state in RocksDB."""
+    with rocksdb(spark):
+        return _run_stream(spark, stream_chunks_typed(_page_stream(spark, sf_dir), LOCAL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
