@@ -155,13 +155,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
-    """At most MAX_TRAIN_ROWS of the distinct rows: those of least hash, to a limit that a histogram of the hashes gives."""
+    """MAX_TRAIN_ROWS of the distinct rows, or all if there are no more: those of least hash.
+
+    A histogram of the hashes tells the slot in which the limit is met; only rows up to
+    that slot are ranked, so that the rank is exact and no more than one slot too many are.
+    """
     rows = rows.distinct()
     slot = F.pmod(F.xxhash64(*rows.columns), F.lit(_SLOTS))
     found = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
     n = np.zeros(_SLOTS, np.int64)
     n[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return rows.where(slot < int(np.searchsorted(np.cumsum(n), MAX_TRAIN_ROWS, "right")))
+    last = int(np.searchsorted(np.cumsum(n), MAX_TRAIN_ROWS, "left"))
+    return rows.where(slot <= last).orderBy(slot, F.xxhash64(*rows.columns, F.lit(1)), *rows.columns).limit(MAX_TRAIN_ROWS)
 
 
 def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import infill, repair
+from scriptorium.llm import infill, quality_model, repair
 from scriptorium.llm.queries import queries
 
 # --- fill-in-the-middle ---
@@ -147,3 +147,16 @@ def test_repair_of_a_long_conversation_and_none(spark):
 def test_queries_count_all_rows(spark):
     found = queries()["op13_conversation_repair"](spark, "/root/testdata/sf0.001")
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
+
+
+# --- the bound of the rows that teach quality ---
+
+
+@pytest.mark.parametrize("slots, rows, most, want", [(65_536, 900, 1000, 900), (65_536, 3000, 1000, 1000), (2, 3000, 1000, 1000), (1, 5000, 10, 10)])
+def test_quality_learns_from_as_many_rows_as_the_bound_allows(spark, monkeypatch, slots, rows, most, want):
+    monkeypatch.setattr(quality_model, "MAX_TRAIN_ROWS", most)
+    monkeypatch.setattr(quality_model, "_SLOTS", slots)
+    d = spark.range(rows).select("id", (F.col("id") % 2).cast("int").alias("quality"))
+    found = quality_model._bounded(d.unionAll(d))
+    assert found.count() == found.distinct().count() == want
+    assert sorted(found.collect()) == sorted(quality_model._bounded(d.repartition(7)).collect())
