@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import API, EVENT_TYPES, LOCAL, Profile
 from ..functions import text as tx
-from ..operators import chunking, evidence, items, long_texts, parsing, phrases, segments, tags, training
+from ..operators import asof, chunking, evidence, items, long_texts, open_fields, parsing, phrases, segments, spans, tags, training
 from ..shared import shared_path
 from ..sources import pages, readers, sinks
 from ..streaming.chunks import stream_chunks
@@ -199,6 +199,48 @@ def tag_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", F.col("idx").cast("int").alias("idx"), "e.*")
 
 
+@_query(f"WITH {_TAG_SQL} SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderkey ORDER BY i) - 1)::INT AS idx, name, rank FROM entities")
+def token_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as three documents of rows of tokens, each order's at its own place: offices are looked up among the rows."""
+    stride = 1000
+    d = tags.token_rows(_tagged(spark, sf_dir)).withColumn("doc_id", F.col("o_orderkey") % 3)
+    d = d.select("doc_id", *[(F.col("o_orderkey") * stride + F.col(c)).alias(c) for c in ("start", "end")], "kind", "inner")
+    found = tags.entities_of_tokens(d).withColumn("o_orderkey", F.floor(F.col("start") / stride))
+    w = Window.partitionBy("o_orderkey").orderBy("start")
+    return found.select("o_orderkey", (F.row_number().over(w) - 1).alias("idx"), "name", "rank")
+
+
+_EVENT_ROWS = "SELECT event_id, event_type, epoch_us(ts) // 60000000 AS minute, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id % 5 END AS grp FROM events"
+
+
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
+    return _table(spark, sf_dir, "events").select("event_id", "event_type", minute.alias("minute"), F.when(F.col("event_id") % 11 != 0, F.col("user_id") % 5).alias("grp"))
+
+
+def _asof_sql(tolerance: int) -> str:
+    return f"""WITH e AS ({_EVENT_ROWS}), v AS (SELECT grp, minute, max(event_id) AS seen FROM e WHERE event_type = 'view' AND grp IS NOT NULL GROUP BY grp, minute)
+    SELECT e.event_id, e.minute, e.grp, CASE WHEN e.minute - v.minute <= {tolerance} THEN v.seen END AS last_view FROM (SELECT * FROM e WHERE event_type <> 'view') e ASOF LEFT JOIN v ON e.grp = v.grp AND e.minute >= v.minute"""
+
+
+def _last_view(spark: SparkSession, sf_dir: str, tolerance: int | None) -> DataFrame:
+    d = _event_rows(spark, sf_dir)
+    others = d.where("event_type <> 'view'").select("event_id", "minute", "grp")
+    return asof.asof(others, d.where("event_type = 'view'"), ("grp",), "minute", "minute", {"event_id": "last_view"}, tolerance, block=1440)
+
+
+@_query(_asof_sql(1 << 40))
+def asof_last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last view in a group of users at or before each other event; five groups hold all events, days are blocks."""
+    return _last_view(spark, sf_dir, None)
+
+
+@_query(_asof_sql(5))
+def asof_recent_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where it is at most five minutes old."""
+    return _last_view(spark, sf_dir, 5)
+
+
 _EXAMPLES = f"""{_TAG_SQL}, examples AS (SELECT o_orderkey, '{training.INSTRUCTION}' AS instruction, regexp_replace(any_value(x), '<[^>]+>', '', 'g') AS input,
     '[' || string_agg('{{"name": ' || to_json(name)::VARCHAR || ', ' || coalesce('"rank": ' || to_json(rank)::VARCHAR || ', ', '') || '"event_type": "N/A", "action": "N/A"}}', ', ' ORDER BY i) || ']' AS output FROM entities GROUP BY o_orderkey)"""
 
@@ -276,6 +318,48 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.dead_letters(parsing.parse_responses(_responses(spark, sf_dir)))
 
 
+_OPEN = (
+    """'[{"name":"a","page":' || {0} || ',"source":{"kind":"roll"}}]'""",
+    """'[{"name":"a","page":null,"title":"t' || {0} || '"},{"name":"b","odd key":' || {0} || '.5}]'""",
+    """'[{"name":"a","page":"' || {0} || '","title":null,"office":"o"}]'""",
+    """'[{"name":"a"}]'""",
+    """'[{"name":"a","page":"p' || {0} || '","office":"o' || {0} || '"}]'""",
+)
+_OPEN_RAW = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN {r}" for k, r in enumerate(_OPEN)) + " END"
+
+
+def _open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr(_OPEN_RAW.replace("{0}", "string(doc_id)")).alias("raw")
+    parsed = parsing.parse_responses(_table(spark, sf_dir, "documents").select("doc_id", raw))
+    return open_fields.open_items(parsing.explode_items(parsed).select("doc_id", "item_idx", "extra"))
+
+
+_OPEN_SQL = f"items AS (SELECT doc_id, generate_subscripts(js, 1) - 1 AS item_idx, unnest(js) AS j FROM (SELECT doc_id, from_json({_OPEN_RAW.replace('{0}', 'doc_id::VARCHAR')}, '[\"JSON\"]') AS js FROM documents))"
+
+
+def _state(name: str) -> str:
+    return f"CASE coalesce(json_type(j, '$.\"{name}\"'), '') WHEN '' THEN 'absent' WHEN 'NULL' THEN 'null' ELSE 'value' END"
+
+
+@_query(
+    f"""WITH {_OPEN_SQL} SELECT doc_id, item_idx::INT AS item_idx, try_cast(j->>'page' AS BIGINT) AS page, {_state("page")} AS page_state, try_cast(j->>'$."odd key"' AS DOUBLE) AS "odd key", {_state("odd key")} AS "odd key_state",
+    CASE WHEN {_state("title")} = 'absent' THEN j->>'office' ELSE j->>'title' END AS title FROM items"""
+)
+def open_typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields of open items, those that are null told from those that aren't there; ``office`` stands in where there is no ``title``."""
+    d = open_fields.typed_fields(_open_items(spark, sf_dir), {"page": "bigint", "odd key": "double"})
+    return d.withColumn("title", open_fields.renamed_field(F.col("extra"), "office", "title")).drop("extra")
+
+
+@_query(
+    f"""WITH {_OPEN_SQL}, f AS (SELECT unnest(json_keys(j)) AS field, j FROM items), k AS (SELECT field, json_type(j, '$."' || field || '"') AS t FROM f WHERE field <> 'name')
+    SELECT field, count(*) AS n, count(*) FILTER (t = 'NULL') AS n_null, CASE field WHEN 'page' THEN 'VARIANT' WHEN 'source' THEN 'OBJECT<kind: STRING>' WHEN 'odd key' THEN 'DECIMAL' ELSE 'STRING' END AS kind FROM k GROUP BY field"""
+)
+def open_field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which open fields the items have, how often, how often null, and of what kind over all items."""
+    return open_fields.field_profile(_open_items(spark, sf_dir)).withColumn("kind", F.regexp_replace("kind", r"^DECIMAL.*", "DECIMAL"))
+
+
 _TYPES = {"click": "Appointment", "view": "Military", "purchase": "Death"}
 _EVENT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " ELSE event_type END"
 
@@ -476,6 +560,23 @@ def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_lookup(pages.select("doc_id", F.col("page_no").alias("chunk_id")), chunking.chunk_pages(pages, LOCAL))
 
 
+@_query(
+    f"""WITH RECURSIVE {_chunks(_PAGES, LOCAL)}, places AS (SELECT doc_id, pos, coalesce(e, length(t)) AS stop, {_strip("CASE WHEN e IS NULL THEN substring(t, pos + 1) ELSE substring(t, pos + 1, e - pos) END")} AS c FROM cuts),
+    numbered AS (SELECT doc_id, pos, stop, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS chunk_id FROM places WHERE c <> ''),
+    p AS (SELECT conv_id AS doc_id, turn, {_norm("text")} AS p FROM conversations),
+    offsets AS (SELECT doc_id, turn, p, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k FROM p WHERE p <> ''),
+    s AS (SELECT doc_id, turn, k + strpos(p, q) - 1 AS b, k + strpos(p, q) - 1 + length(q) AS z FROM (SELECT *, substring(p, length(p) // 3 + 1, 200) AS q FROM offsets))
+    SELECT doc_id, turn::INT AS page_no, b AS "start", z AS "end", chunk_id, pos <= b AND z <= stop AS whole FROM s JOIN numbered USING (doc_id) WHERE b < stop AND pos < z"""
+)
+def evidence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk that holds a part of a quote from a page; quotes across a border, or where chunks overlap, get all theirs."""
+    pages = _conversation_pages(spark, sf_dir)
+    p = spans.page_offsets(pages)
+    quotes = p.select("doc_id", "page_no", F.substring("text", F.floor(F.length("text") / 3).cast("int") + 1, F.lit(200)).alias("quote"))
+    found = spans.quote_spans(quotes, pages).drop("quote")
+    return spans.chunks_of_spans(found, chunking.chunk_pages(pages, LOCAL), bucket=512)
+
+
 @_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'a\"b' || chr(10) || 'c, ' || lang END AS cell, source FROM documents")
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with quotes, commas and line feeds, written and read as CSV; N/A is null."""
