@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..config import API, EVENT_TYPES, LOCAL, Profile
 from ..functions import text as tx
 from ..operators import asof, chunking, evidence, items, long_texts, open_fields, parsing, phrases, segments, spans, tags, training
-from ..shared import shared_path
-from ..sources import pages, readers, sinks
+from ..shared import shared_path, written
+from ..sources import append, pages, readers, sinks
 from ..streaming.chunks import stream_chunks
 from ..streaming.typed_chunks import rocksdb, stream_chunks_typed
 from . import extractors, pipelines
@@ -445,6 +445,16 @@ def dedup_items_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.dedup(_line_items(spark, sf_dir))
 
 
+@_query(f"""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(items.KEY)} ORDER BY (chunk_id + 1) % 3, doc_id, chunk_id) AS n, (chunk_id + 1)::BIGINT % 3 AS batch FROM ({_LINE_ITEMS})) WHERE n = 1""")
+def append_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items appended in three batches of two runs, the second batch twice: the first of each key stays."""
+    d, path = _line_items(spark, sf_dir), shared_path(spark, "append-table")
+    table = append.AppendTable(spark, path, items.KEY, ("doc_id", "chunk_id"), bits=1 << 20)
+    for run, batch in (("a", 0), ("a", 1), ("a", 1), ("b", 2)):
+        table.append(d.where((F.col("chunk_id") + 1) % 3 == batch), run, batch)
+    return table.rows(", ".join(f"{n} {t}" for n, t in d.dtypes)).drop("run")
+
+
 _EVIDENCE = """SELECT conv_id AS doc_id, (turn + CASE WHEN turn % 5 = 4 THEN 100 ELSE 1 END)::INT AS page, CASE turn % 5 WHEN 0 THEN substring(text, 4, 12) WHEN 1 THEN translate(substring(text, 4, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' WHEN 2 THEN '' ELSE 'absent#' END AS evidence,
     CASE turn % 5 WHEN 2 THEN substring(text, 2, 5) ELSE 'unused' END AS text FROM conversations"""
 
@@ -586,14 +596,14 @@ def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.tagged_csv(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-@_query(f"""WITH {_TAG_SQL}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT o_orderkey FROM entities))
-    SELECT 'train' AS part, n::BIGINT AS rows FROM n UNION ALL SELECT 'valid', (n - floor(n * 0.9::DOUBLE))::BIGINT FROM n UNION ALL SELECT 'test', (n - floor(n * 0.9::DOUBLE))::BIGINT FROM n""")
+@_query(f"""WITH {_EXAMPLES}, placed AS (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '#42'), o_orderkey) AS place, floor((count(*) OVER ())::DOUBLE * 0.9::DOUBLE) AS cut FROM examples)
+    SELECT part, o_orderkey, instruction || chr(10) || chr(10) || input AS text, output AS completion FROM placed, (SELECT unnest(['train', 'valid', 'test']) AS part) WHERE part = 'train' OR place > cut""")
 def split_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, valid and test written as JSON Lines and counted again."""
+    """Train, valid and test written as JSON Lines and read again, whole."""
     path = shared_path(spark, "split")
-    examples = training.prompt_completion(training.training_examples(_tagged(spark, sf_dir)))
+    examples = written(training.prompt_completion(training.training_examples(_tagged(spark, sf_dir)).drop("text_content")), "examples")
     sinks.write_split(*training.split(examples, "o_orderkey"), path)
-    parts = [readers.lines(spark, f"{path}/{p}.jsonl").agg(F.count("*").alias("rows")).select(F.lit(p).alias("part"), "rows") for p in ("train", "valid", "test")]
+    parts = [readers.jsonl(spark, f"{path}/{p}.jsonl", "o_orderkey long, text string, completion string").withColumn("part", F.lit(p)) for p in ("train", "valid", "test")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
