@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .config import API, DEBUG_API, DEBUG_LOCAL, LOCAL, SYSTEM_API, SYSTEM_LOCAL
 from .operators import phrases as phrase_operators
 from .plans import pipelines
+from .plans.client import Client
 from .plans.extractors import chat_service, local_model
 from .sources import readers, sinks
 
@@ -27,6 +28,8 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
     pages = readers.page_range(pages, first, most)
     profile = LOCAL if local else API
 
+    if not Client(a.url).reachable():
+        raise SystemExit(f"nothing answers at {a.url}")
     if local:
         items, bad = pipelines.local_extraction(pages, lambda: local_model(a.url, a.model, profile), profile, a.system or SYSTEM_LOCAL)
         sinks.write_dead_letters(bad, f"{a.out}-bad")

@@ -17,6 +17,7 @@ class Profile:
     markers_per_request: int = 6
     exclude_title_like: bool = False
     normalize_kinship: bool = True
+    context_tokens: int = 4096
 
 
 #: Local model: parsed leniently, kept as it comes.

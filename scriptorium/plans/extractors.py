@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 from ..config import EVENT_TYPES, Profile
 from ..operators.parsing import storable
+from .client import Client
 
 
 class Extractor(Protocol):
@@ -56,16 +56,12 @@ class Retrying:
 class HttpExtractor:
     """Posts a prompt as JSON and reads one field of the answer, by the keys and places that lead to it."""
 
-    def __init__(self, url: str, body: Callable[[str], dict], path: tuple[str | int, ...] = ("response",), timeout_s: float = 900.0, headers: dict[str, str] | None = None):
-        self.url, self.body, self.path, self.timeout_s = url, body, path, timeout_s
+    def __init__(self, client: Client, body: Callable[[str], dict], path: tuple[str | int, ...] = ("response",), headers: dict[str, str] | None = None):
+        self.client, self.body, self.path = client, body, path
         self.headers = {"Content-Type": "application/json"} | (headers or {})
 
     def generate(self, text: str) -> str:
-        import urllib.request
-
-        request = urllib.request.Request(self.url, json.dumps(self.body(text)).encode(), self.headers)
-        with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:
-            found = json.loads(answer.read())
+        found = json.loads(self.client.send("POST", json.dumps(self.body(text)).encode(), self.headers))
         for key in self.path:
             found = found[key]
         return found
@@ -73,18 +69,23 @@ class HttpExtractor:
 
 def local_model(url: str, model: str, profile: Profile) -> HttpExtractor:
     """A local model that takes plain prompts."""
-    options = {"num_predict": profile.max_output_tokens, "temperature": 0}
-    return HttpExtractor(url, lambda text: {"model": model, "prompt": text, "stream": False, "options": options}, timeout_s=profile.timeout_s)
+    options = {"num_predict": profile.max_output_tokens, "num_ctx": profile.context_tokens, "temperature": 0}
+    return HttpExtractor(Client(url, read_s=profile.timeout_s), lambda text: {"model": model, "prompt": text, "stream": False, "options": options})
 
 
 def chat_service(url: str, models: tuple[str, ...], profile: Profile, key: str | None = None, sleep: Callable[[float], None] = time.sleep) -> Retrying:
-    """A chat service: prompts are JSON lists of messages; each model in turn is tried again before the next one is."""
+    """A chat service: prompts are JSON lists of messages; each model in turn is tried again before the next one is.
+
+    The models share one client, with its connections and its rate.
+    """
     from ..operators.parsing import parse_structured
 
+    client = Client(url, read_s=profile.timeout_s, sleep=sleep)
+
     def call(model: str, text: str) -> str:
         body = lambda t: {"model": model, "messages": json.loads(t), "temperature": 0, "max_tokens": profile.max_output_tokens, "response_format": {"type": "json_object"}}
         headers = {"Authorization": f"Bearer {key}"} if key else None
-        return HttpExtractor(url, body, ("choices", 0, "message", "content"), profile.timeout_s, headers).generate(text)
+        return HttpExtractor(client, body, ("choices", 0, "message", "content"), headers).generate(text)
 
     return Retrying(call, models, sleep=sleep, accept=lambda answer: parse_structured(answer, EVENT_TYPES)[0])
 

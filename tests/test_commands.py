@@ -79,5 +79,7 @@ def test_extract_with_both_profiles(spark, tmp_path, service, monkeypatch):
     assert [(r["doc_id"], r["name"], r["quote"]) for r in lines(tmp_path / "api")] == [(1, "蹇义", "少师蹇义卒")]
     assert {b["model"] for b, _ in asked} == {"small", "large"} and all(k == "Bearer k" for _, k in asked)
     asked.clear()
+    with pytest.raises(SystemExit, match="nothing answers"):
+        main([*options[:-1], "http://127.0.0.1:9", "--out", str(tmp_path / "none"), "--model", "m"])
     main([*options, "--out", str(tmp_path / "debug"), "--model", "m", "--debug"])
     assert len(asked) == 1 and "debug page" in asked[0][0]["prompt"]
