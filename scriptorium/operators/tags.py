@@ -50,17 +50,24 @@ def entities_of(tagged: DataFrame, text: str = "text_content") -> DataFrame:
 _TOKEN_ROW = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("inner", pa.string())])
 
 
+# dots stop at line feeds here anyway
+_TOKEN = re.compile(TOKEN.removeprefix("(?d)"))
+
+
+def tokens_of(text: str | None) -> list[dict]:
+    """start, end, kind and inner text of each token of a text."""
+    row = lambda m: {"start": m.start(), "end": m.end(), "kind": "person" if m[2] is None else "office", "inner": m[4] if m[2] is None else m[2]}
+    return [row(m) for m in _TOKEN.finditer(text or "")]
+
+
 def token_rows(tagged: DataFrame, text: str = "text_content") -> DataFrame:
     """A row for each token of each text: the other columns, start, end, kind (``office`` or ``person``) and inner text.
 
     Text without a token, and null, gives no row.
     """
-    token = re.compile(TOKEN.removeprefix("(?d)"))  # dots stop at line feeds here anyway
-
     @F.arrow_udf("array<struct<start:bigint,end:bigint,kind:string,inner:string>>")
     def tokens(texts: pa.Array) -> pa.Array:
-        row = lambda m: {"start": m.start(), "end": m.end(), "kind": "person" if m[2] is None else "office", "inner": m[4] if m[2] is None else m[2]}
-        return pa.array([[row(m) for m in token.finditer(t or "")] for t in texts.to_pylist()], pa.list_(_TOKEN_ROW))
+        return pa.array([tokens_of(t) for t in texts.to_pylist()], pa.list_(_TOKEN_ROW))
 
     # the outer form keeps the optimiser from writing the array expression twice
     d = tagged.select(*[c for c in tagged.columns if c != text], F.explode_outer(tokens(text)).alias("_t")).where("_t is not null")

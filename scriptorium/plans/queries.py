@@ -12,6 +12,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..config import API, EVENT_TYPES, LOCAL, Profile
 from ..functions import text as tx
 from ..operators import asof, chunking, evidence, items, long_texts, open_fields, parsing, phrases, segments, spans, tags, training
@@ -703,6 +704,34 @@ def stream_chunks_typed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _run_stream(spark, stream_chunks_typed(_page_stream(spark, sf_dir), LOCAL))
 
 
+# --- in SQL ---
+
+
+@_query(_chunk_query(_PAGES, LOCAL))
+def sql_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of pages by a table function over a partitioned table."""
+    sql.register(spark)
+    pages = _conversation_pages(spark, sf_dir)
+    return spark.sql("SELECT * FROM page_chunks(TABLE(SELECT doc_id, page_no, normalized_text(text) AS text FROM {pages}), 900, 120)", pages=pages)
+
+
+@_query(f"WITH RECURSIVE {_chunks(_DOCS, API)} SELECT doc_id, chunk_id, 0 AS seg_id, {_norm('chunk_text')} AS seg_text FROM chunks")
+def sql_lateral_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and their segments by lateral calls."""
+    sql.register(spark)
+    return spark.sql(
+        "WITH d AS (SELECT doc_id, normalized_text(text) AS t FROM {d}), c AS (SELECT d.doc_id, c.chunk_id, c.chunk_text FROM d, LATERAL text_chunks(d.t, 1200, 80) c), "
+        "n AS (SELECT doc_id, chunk_id, normalized_text(chunk_text) AS t FROM c) SELECT n.doc_id, n.chunk_id, s.seg_id, s.seg_text FROM n, LATERAL text_segments(n.t, 6) s",
+        d=_table(spark, sf_dir, "documents"),
+    )
+
+
+@_query(_ITEMS_SQL)
+def sql_answer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql("SELECT d.doc_id, d.chunk_id, i.item_idx, i.name, i.rank, i.extra FROM {d} d, LATERAL answer_items(d.raw, 'lenient') i WHERE i.parsed_ok", d=_responses(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
