@@ -13,11 +13,13 @@ words around long tokens, counted over all texts, ``DICTIONARY_BYTES`` of them.
 Its words are shorter than any token that is scored, so that no secret, however
 often copied, gets into it.
 
-    score = novelty a character * nearness * mixture
+    score = novelty a character * nearness * surprise
 
 nearness: 1 within ``NEAR`` characters of a sensitive word on either side, falling to
-0 at ``FAR``; mixture: a half for tokens of one kind of character, as of single
-words, else 1.  Tokens of at least ``MIN_SCORE`` and ``MIN_NOVELTY`` bytes that no base
+0 at ``FAR``; surprise: how far the token's bits a character, under the dictionary's
+letter pairs, lie on the way from those of words to those of random letters (0 to
+1; a long word that the compressor has not met is as new to it as a key, but not as
+surprising).  Tokens of at least ``MIN_SCORE`` and ``MIN_NOVELTY`` bytes that no base
 span overlaps are reported as ``novel`` spans.
 """
 
@@ -30,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +60,10 @@ _WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,13}[0-9]{0,2}(?![A-Za-z0-9
 DICTIONARY_BYTES = 16_384
 _FLUSH = 200_000
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, n_scored long, base_sha256 string, spans string, novelty string"
-_IDENTIFIERS = " ".join(
-    a + sep + b
-    for sep in ("_", "", "-")
-    for a in ("access", "account", "api", "auth", "aws", "base", "client", "config", "database", "default", "github", "google", "private", "public", "secret", "service", "session", "user")
-    for b in ("address", "code", "credentials", "id", "identifier", "key", "name", "number", "password", "path", "secret", "string", "token", "url", "value", "version")
-)
+_FIRST = ("access", "account", "api", "auth", "aws", "base", "client", "config", "database", "default", "github", "google", "private", "public", "secret", "service", "session", "user")
+_SECOND = ("address", "code", "credentials", "id", "identifier", "key", "name", "number", "password", "path", "secret", "string", "token", "url", "value", "version")
+_NAMES = _FIRST + _SECOND
+_IDENTIFIERS = " ".join(a + sep + b for sep in ("_", "", "-") for a in _FIRST for b in _SECOND)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -77,12 +78,59 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+class Surprise:
+    """Bits a character of a token under the letter pairs of words, on a scale from words (0) to random letters (1).
+
+    Letters fold to lower case; a name starts anew after a sign, a digit or where
+    capitals begin.  Digits are as surprising as random letters, since words hold two
+    at most; signs join words and count 0; a change to capitals costs what ``CAPITALS``
+    of them a letter makes it.
+    """
+
+    CAPITALS = 1 / 8
+    _START = 26
+
+    def __init__(self, words: list[str]):
+        counts = np.zeros((27, 26))
+        for word in words:
+            np.add.at(counts, self._pairs(word)[:2], 1)
+        single = counts.sum(0) + 1
+        single /= single.sum()
+        # pairs never met fall back to single letters
+        chance = (counts + 8 * single) / (counts.sum(1, keepdims=True) + 8)
+        self._bits = -np.log2(chance)
+        seen = counts.sum()
+        self._low = float((counts * self._bits).sum() / seen) if seen else 0.0
+        self._scale = max(float(self._bits[:26].mean()) - self._low, 1e-9)
+        self._capital = -np.log2(self.CAPITALS) / self._scale
+
+    def _pairs(self, token: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Letter or start before each letter, the letter, how often capitals begin inside a name, and digits."""
+        code = np.frombuffer(token.encode("ascii", "replace"), np.uint8).astype(np.int64)
+        upper, lower = (code >= 65) & (code <= 90), (code >= 97) & (code <= 122)
+        letter = upper | lower
+        folded = np.where(upper, code - 65, code - 97)
+        before = np.full(len(code), self._START)
+        turn = np.zeros(len(code), bool)
+        turn[1:] = upper[1:] & lower[:-1]
+        joined = np.zeros(len(code), bool)
+        joined[1:] = letter[:-1] & ~turn[1:]
+        before[joined] = folded[:-1][joined[1:]]
+        return before[letter], folded[letter], int(turn.sum()), int(((code >= 48) & (code <= 57)).sum())
+
+    def __call__(self, token: str) -> float:
+        before, letters, turns, digits = self._pairs(token)
+        total = (self._bits[before, letters] - self._low).sum() / self._scale + turns * self._capital + digits
+        return min(1.0, max(0.0, float(total) / max(len(token), 1)))
+
+
 class Novelty:
     """Marginal compressed bytes of a token in its surroundings."""
 
     def __init__(self, words: list[str] = ()):
         import zstandard
 
+        self.surprise = Surprise([*words, *_NAMES])
         self._zstd = zstandard
         # what stands last is found soonest
         self._base = " ".join([*reversed(words), _IDENTIFIERS]).encode()
@@ -96,19 +144,24 @@ class Novelty:
 
 
 def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
-    """The ``WINDOW`` code points before a and after b, every other occurrence of the token, or of a long value it sets, blanked."""
-    n = WINDOW + b - a  # an occurrence that the window's edge cuts is met whole
-    before, after = text[max(0, a - n) : a], text[b : b + n]
-    for own in (text[a:b], *text[a:b].split("=")):
-        if len(own) >= MIN_TOKEN:
-            before, after = before.replace(own, " " * len(own)), after.replace(own, " " * len(own))
-    return before[-WINDOW:], after[:WINDOW]
-
+    """The ``WINDOW`` code points before a and after b, every other occurrence of the token, or of a long value it sets, blanked.
 
-def _mixture(token: str) -> float:
-    """A half for a token of one kind of character: lower, upper or capitalised letters, digits or signs."""
-    kinds = (any(c.islower() for c in token), any(c.isupper() for c in token[1:]), any(c.isdigit() for c in token))
-    return 1.0 if sum(kinds) > 1 else 0.5
+    Each value is looked for as far as one that the window's edge cuts can reach, so that a
+    token of many values costs their lengths and a window each.
+    """
+    low, high = max(0, a - WINDOW), min(len(text), b + WINDOW)
+    before, after = list(text[low:a]), list(text[b:high])
+    for own in dict.fromkeys((text[a:b], *text[a:b].split("="))):
+        n = len(own)
+        if n >= MIN_TOKEN:
+            for side, first, end in ((before, low, a), (after, b, high)):
+                begin, stop = (max(0, first - n), a) if side is before else (b, min(len(text), end + n))
+                at = text.find(own, begin, stop)
+                while at >= 0:
+                    for k in range(max(at, first), min(at + n, end)):
+                        side[k - first] = " "
+                    at = text.find(own, at + n, stop)
+    return "".join(before), "".join(after)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> tuple[list[tuple[int, int, int]], int]:
@@ -131,7 +184,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
             continue
         scored += 1
         new = novelty(*_put(text, a, b))
-        if new >= MIN_NOVELTY and new / (b - a) * nearness * _mixture(m[0]) >= MIN_SCORE:
+        if new >= MIN_NOVELTY and new / (b - a) * nearness * novelty.surprise(m[0]) >= MIN_SCORE:
             out.append((a, b, new))
     return out, scored
 

@@ -554,6 +554,50 @@ def test_planted_secrets_are_found(spark):
     assert [got[k].spans for k in range(n, len(texts))] == [""] * 4
 
 
+def test_keys_of_every_kind_of_character_are_found():
+    """Recall by kind of key beside a sensitive word, with a dictionary of plain words; long words and names in the same place are left alone."""
+    rng = random.Random(31)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"lower": lower, "upper": upper, "digits": digits, "base32": upper + "234567", "upper hex": digits + "ABCDEF", "lower hex": digits + "abcdef", "letters": lower + upper, "mixed": lower + upper + digits}
+    novelty = secrets.Novelty("with that from this have which their there would about other after could these first between under where through before while service request response number person world government information development system general national public school business different example history process".split())
+    for kind, letters in kinds.items():
+        for n in (16, 20, 31, 40):
+            found = 0
+            for _ in range(40):
+                key = "".join(rng.choice(letters) for _ in range(n))
+                found += [s[:2] for s in secrets.novel_spans(f"authorization bearer {key} for the job", [], novelty)[0]] == [(21, 21 + n)]
+            assert found >= 36, (kind, n, found)
+    for name in "internationalisation configuration_of_service access_token_identifier_name documentation/reference responsibilities counterrevolutionary getAuthenticationToken CERTIFICATE_VERIFY_FAILED SessionAuthenticationMiddleware telecommunications multi-factor-authentication ---------------- ================ 0000000000000000".split():
+        assert secrets.novel_spans(f"the secret {name} of the job", [], novelty)[0] == [], name
+
+
+def test_surprise_of_words_and_odd_tokens():
+    surprise = secrets.Surprise(["reader", "writer", "header"])
+    assert surprise("readerwriter") < 0.2 < 0.55 < surprise("xqzvkjwpgzqxvkjw")
+    assert surprise("") == 0.0 and surprise("====") == 0.0 and surprise("0123456789") == 1.0
+    assert secrets.Surprise([])("readerwriter") >= 0.0
+    assert surprise("reader_writer") == surprise("READER_WRITER") < surprise("reAdErwRiTEr")
+
+
+def test_values_of_a_long_token_are_blanked_in_linear_time():
+    import time
+
+    rng, took = random.Random(8), []
+    for n in (2_000, 8_000):
+        token = "=".join("".join(rng.choice("abcdefghijklmnop") for _ in range(17)) for _ in range(n))
+        text = "some prose " * 3_000 + token + " some prose" * 3_000
+        began = time.process_time()
+        before, after = secrets.surroundings(text, 33_000, 33_000 + len(token))
+        took.append(time.process_time() - began)
+        assert before == text[33_000 - secrets.WINDOW : 33_000] and after == text[33_000 + len(token) :][: secrets.WINDOW]
+    assert took[1] < 8 * took[0] + 0.1
+    key = "7xQw9Xv7Lp2Rt8Yb5N"
+    text = f"{key} bearer id={key} and {key}" + "é" * 390 + key  # the last one is cut by the window's edge
+    a = text.index("id=")
+    before, after = secrets.surroundings(text, a, a + 3 + len(key))
+    assert key not in before + after and before == " " * len(key) + " bearer " and after == " and " + " " * len(key) + "é" * (secrets.WINDOW - 5 - len(key))
+
+
 def test_copied_secrets_stay_out_of_the_dictionary(spark):
     key = "Zk3Qw9Xv7Lp2Rt8Yb5Nc1Md6Hf4Gj0Sa"
     d = docs(spark, [f"the secret session_reader uses {key} now"] * 500)
