@@ -9,8 +9,13 @@ its language the one of least cost.
 
 The trees are flattened once: every byte triple that any language has seen gets
 a row with each language's cost; all other triples cost (escape of the pair) +
-(cost in the order-1 context), two tables over all 65,536 pairs.  So the model
-has at most 2**24 rows, whatever the corpus.
+(cost in the order-1 context), two tables over all 65,536 pairs.  So a group of
+languages has at most 2**24 rows, whatever the corpus.
+
+Tables of more than ``MODEL_BYTES`` are split into groups of languages.  Texts are
+costed by one group after the other, each broadcast for itself, and carry along the
+least cost so far, its language and the weight of all costs against it; so the
+languages of any number are told, and the driver and a worker hold one group.
 """
 
 from __future__ import annotations
@@ -22,14 +27,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import bounded_batches
+from .storage import bounded_batches, materialise, release
 from .wordhash import slices, text_buffer
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
-_PART = 1 << 20
-#: Most bytes of the flattened tables, which every worker holds.
+#: Bytes of text, or costs of bytes by language, that are held at once.
+_PART, _CELLS = 1 << 20, 1 << 23
+#: Languages' triples that a task counts before it hands them on.
+_FLUSH = 1 << 22
+#: Most bytes of the flattened tables of a group of languages, which every worker holds (or those of one language).
 MODEL_BYTES = 1 << 30
 
 
@@ -55,6 +64,12 @@ def count_triples(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, n) in total.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "triple": pa.array(codes, pa.int32()), "n": pa.array(n, pa.int64())})
+            total.clear()
+
         for batch in slices(batches):
             table = pa.Table.from_batches([batch])
             for lang in set(batch.column("lang").to_pylist()):
@@ -67,8 +82,9 @@ def count_triples(documents: DataFrame) -> DataFrame:
                     codes, where = np.unique(np.concatenate([total[lang][0], codes]), return_inverse=True)
                     n = np.bincount(where, np.concatenate([total[lang][1], n])).astype(np.int64)
                 total[lang] = codes, n
-        for lang, (codes, n) in total.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "triple": pa.array(codes, pa.int32()), "n": pa.array(n, pa.int64())})
+            if sum(len(codes) for codes, _ in total.values()) > _FLUSH:
+                yield from flush()
+        yield from flush()
 
     known = documents.where(F.col("lang").isNotNull()).select("text", "lang")
     return known.mapInArrow(run, "lang string, triple int, n long").groupBy("lang", "triple").agg(F.sum("n").alias("n"))
@@ -118,6 +134,9 @@ class PpmModel:
             self.cost[:, k] = self.escape[self.triples >> 8, k] + self.pair[self.triples & 0xFFFF, k]
             self.cost[np.searchsorted(self.triples, codes), k] = -np.log2(n / (total + u)[context])
 
+    def parts(self) -> Iterator[PpmModel]:
+        yield self
+
     def index(self) -> np.ndarray:
         """Row of each of the 2**24 triples, -1: none."""
         out = np.full(1 << 24, -1, np.int32)
@@ -128,8 +147,9 @@ class PpmModel:
         """Code lengths [text, language] in bits."""
         data, offsets = text_buffer(column)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for at in range(0, len(data), _PART):
-            end = min(at + _PART, len(data))
+        part = min(_PART, max(1, _CELLS // max(1, len(self.languages))))
+        for at in range(0, len(data), part):
+            end = min(at + part, len(data))
             codes = _triples(data, offsets, at, end)
             row = index[codes]
             cost = self.cost[row] if len(self.cost) else np.zeros((len(row), len(self.languages)), np.float32)
@@ -144,23 +164,100 @@ class PpmModel:
         return out
 
 
-def train(documents: DataFrame) -> PpmModel:
-    """The model of documents(text, lang).
+class GroupedModel:
+    """Models of groups of languages in order, each built from the written counts (lang, triple, n) when it is asked for."""
 
-    To the driver goes at most one row a language and triple.  The tables are
-    broadcast; languages and triples that would need more than ``MODEL_BYTES`` are
-    an error, as no worker should hold them.  Rows without text or language teach nothing.
-    """
-    bounded_batches(documents.sparkSession)
-    found = count_triples(documents).toArrow()
+    def __init__(self, counts: DataFrame, groups: list[list[str]]):
+        self._counts, self._groups = counts, groups
+        self.languages = [lang for group in groups for lang in group]
+
+    def parts(self) -> Iterator[PpmModel]:
+        for group in self._groups:
+            yield _model(self._counts.where(F.col("lang").isin(group)))
+
+
+def _model(counts: DataFrame) -> PpmModel:
+    found = counts.toArrow()
     lang, codes, n = found["lang"].to_numpy(), found["triple"].to_numpy(), found["n"].to_numpy()
-    needed = 4 * len(set(lang.tolist())) * (len(np.unique(codes)) + (2 << 16))
-    if needed > MODEL_BYTES:
-        raise ValueError(f"the language model would take {needed} bytes, more than {MODEL_BYTES}")
     return PpmModel({x: (codes[lang == x], n[lang == x]) for x in set(lang.tolist())})
 
 
-def predict(documents: DataFrame, model: PpmModel) -> DataFrame:
+def train(documents: DataFrame) -> PpmModel | GroupedModel:
+    """The model of documents(text, lang).
+
+    To the driver goes at most one row a triple and language of a group.  A group has as
+    many languages as ``MODEL_BYTES`` hold, one at least, in order of their names; where
+    one group holds all, it is the model.  Rows without text or language teach nothing.
+    """
+    bounded_batches(documents.sparkSession)
+    counts = materialise(count_triples(documents), "triples")
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    rows = counts.select("triple").distinct().count() + (2 << 16)
+    size = max(1, MODEL_BYTES // (4 * rows))
+    if len(languages) > size:
+        return GroupedModel(counts, [languages[k : k + size] for k in range(0, len(languages), size)])
+    model = _model(counts)
+    release(counts)
+    return model
+
+
+def _merged(model: PpmModel, bits: np.ndarray, best: np.ndarray, lang: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least cost, its language and the weight 2**(least - cost) of all languages, after those of ``model`` too; the first of equal costs stays."""
+    if not model.languages:
+        return best, lang, weight
+    least = np.minimum(best, bits.min(1))
+    names = np.array(model.languages, object)[bits.argmin(1)]
+    weight = weight * np.exp2(np.maximum(least - best, -1000)) + np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+    return least, np.where(least < best, names, lang), weight
+
+
+def _told(documents: DataFrame, model: PpmModel | GroupedModel, finish, schema: T.StructType | str) -> DataFrame:
+    """What ``finish(batch, language, score)`` makes of each batch of documents(text, ...), score 0 and no language where none was learned.
+
+    What one group of languages told of the texts is written before the next is asked.
+    """
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    names = [c.lower() for c in documents.columns]
+    state = []
+    for name, kind in (("least_bits", T.DoubleType()), ("least_lang", T.StringType()), ("weight", T.DoubleType())):
+        while name in names:
+            name += "_"
+        state.append(T.StructField(name, kind))
+    wider = T.StructType([*documents.schema.fields, *state])
+
+    def step(shared, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            index = model.index()
+            for batch in slices(batches):
+                n = batch.num_rows
+                bits = model.bits(batch.column("text"), index)
+                rows = batch if first else batch.select(range(batch.num_columns - 3))
+                held = (np.full(n, np.inf), np.full(n, None, object), np.zeros(n)) if first else tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns[-3:])
+                best, lang, weight = _merged(model, bits, *held)
+                if last:
+                    yield finish(rows, lang, np.where(weight > 0, 1 / np.maximum(weight, 1), 0.0))
+                else:
+                    kept = [pa.array(best), pa.array(lang, pa.string()), pa.array(weight)]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *kept], names=wider.names)
+
+        return run
+
+    parts, first, held = model.parts(), True, None
+    part = next(parts)
+    while True:
+        after = next(parts, None)
+        out = (documents if held is None else held).mapInArrow(step(spark.sparkContext.broadcast(part), first, after is None), schema if after is None else wider)
+        if after is None:
+            return out
+        out = materialise(out, "language-costs")
+        if held is not None:
+            release(held)
+        part, first, held = after, False, out
+
+
+def predict(documents: DataFrame, model: PpmModel | GroupedModel) -> DataFrame:
     """doc_id, lang_pred, score of every row of documents(doc_id, text).
 
     score: the posterior of the predicted language under equal priors.  Null
@@ -169,52 +266,30 @@ def predict(documents: DataFrame, model: PpmModel) -> DataFrame:
     Very long texts are costed part by part.  Repeated rows get a row each; other
     columns are ignored; an empty table gives no rows.
     """
-    spark = documents.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        index = model.index()
-        for batch in slices(batches):
-            text = batch.column("text")
-            letters = _with_letter(text)
-            lang, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            if model.languages:
-                bits = model.bits(text, index)
-                best = bits.argmin(1)
-                score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                lang = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters)]
-                score = np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+    def finish(batch: pa.RecordBatch, lang: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        known = _with_letter(batch.column("text")) & (score > 0)
+        names = [x if ok else UNDETERMINED for x, ok in zip(lang, known)]
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(known, score, 0.0), pa.float64())})
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return _told(documents.select("doc_id", "text"), model, finish, SCHEMA)
 
 
 #: A document whose language is less certain than this is rejected.
 MIN_SCORE = 0.5
 
 
-def keep_identified(documents: DataFrame, model: PpmModel) -> DataFrame:
+def keep_identified(documents: DataFrame, model: PpmModel | GroupedModel) -> DataFrame:
     """The rows of documents whose language the model tells with ``MIN_SCORE``; same columns.
 
     Null text, text without a letter and doubtful text go.  A model without
     languages can't reject: every row with a letter stays.  Repeated rows are
     judged each; an empty table stays empty.
     """
-    spark = documents.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    learned = bool(model.languages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        index = model.index()
-        for batch in slices(batches):
-            text = batch.column("text")
-            keep = _with_letter(text)
-            if model.languages:
-                bits = model.bits(text, index)
-                keep = keep & (1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) >= MIN_SCORE)
-            yield batch.filter(pa.array(keep))
-
-    return documents.mapInArrow(run, documents.schema)
+    def finish(batch: pa.RecordBatch, lang: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        keep = _with_letter(batch.column("text"))
+        return batch.filter(pa.array(keep & (score >= MIN_SCORE) if learned else keep))
+
+    return _told(documents, model, finish, documents.schema)

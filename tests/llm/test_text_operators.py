@@ -172,6 +172,39 @@ def test_code_lengths_over_parts(monkeypatch):
     assert parts == pytest.approx(model.bits(pa.array(texts), model.index()))
 
 
+def test_groups_of_languages_tell_the_same(spark, monkeypatch):
+    """Two hundred languages, costed by groups or at once; ties over groups, null, empty and repeated rows, clashing names."""
+    rng = random.Random(44)
+    spellings = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzéüß", 6)) for _ in range(200)]
+
+    def written(k, n):
+        return " ".join("".join(rng.choice(spellings[k]) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+    rows = [(k, written(k, 60), f"l{k:03}", None, "", "", "") for k in range(200)]
+    # the last language learns what the first does: equal costs in the first and the last group
+    rows += [(200, rows[0][1], "l999", None, "", "", ""), (201, "nothing", None, None, "", "", "")]
+    training = spark.createDataFrame(rows, DOCS)
+    whole = language.train(training)
+    asked = docs(spark, [written(k, 40) for k in range(0, 200, 4)] + [rows[0][1], None, "", "12 + 3", written(7, 40_000)]).withColumns({"least_bits": F.lit(1), "Weight": F.lit("w")})
+    asked = asked.unionAll(asked.limit(3))
+    monkeypatch.setattr(language, "_FLUSH", 5_000)
+    monkeypatch.setattr(language, "MODEL_BYTES", 4 * 60 * ((2 << 16) + training.count() * 100))
+    grouped = language.train(training)
+    assert isinstance(whole, language.PpmModel) and isinstance(grouped, language.GroupedModel)
+    assert grouped.languages == whole.languages and len(grouped.languages) == 201
+    sizes = [4 * len(m.languages) * (len(m.triples) + (2 << 16)) for m in grouped.parts()]
+    assert len(sizes) >= 3 and max(sizes) <= language.MODEL_BYTES
+    want = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(asked, whole).collect()}
+    got = language.predict(asked, grouped).collect()
+    assert len(got) == asked.count() and {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in got} == want
+    told = {r.doc_id: r for r in got}
+    assert all(told[k].lang_pred == f"l{4 * k:03}" for k in range(1, 50)) and told[54].lang_pred == "l007"
+    assert told[50].lang_pred == "l000" and told[50].score == pytest.approx(0.5) and [told[k].lang_pred for k in (51, 52, 53)] == ["und"] * 3
+    kept = language.keep_identified(asked, grouped)
+    assert kept.columns == asked.columns and sorted(kept.collect(), key=str) == sorted(language.keep_identified(asked, whole).collect(), key=str)
+    assert language.keep_identified(asked.limit(0), grouped).count() == 0
+
+
 # --- chat ---
 
 
