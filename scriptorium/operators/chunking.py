@@ -28,12 +28,17 @@ def find_good_cut(text: str, start: int, hard_end: int, lookback: int = CUT_LOOK
     return hard_end if last < 0 else last + 1
 
 
+def next_start(start: int, end: int, overlap: int) -> int:
+    """Where the chunk after [start, end) begins: ``overlap`` before its end, or at its end where it is no longer than the overlap."""
+    return end - overlap if end - overlap > start else end
+
+
 def cut(text: str, size: int, overlap: int, at: int = 0) -> Iterator[tuple[int, int]]:
-    """[start, end) of all full chunks from ``at`` on; the rest from the last end - overlap on is the tail."""
+    """[start, end) of all full chunks from ``at`` on; the rest from the next start on is the tail."""
     while len(text) - at >= size:
         end = find_good_cut(text, at, at + size)
         yield at, end
-        at = max(at, end - overlap)
+        at = next_start(at, end, overlap)
 
 
 def chunks_of(text: str | None, size: int, overlap: int) -> list[tuple[int, int, str]]:
@@ -43,7 +48,7 @@ def chunks_of(text: str | None, size: int, overlap: int) -> list[tuple[int, int,
     out, at = [], 0
     for start, end in cut(text, size, overlap):
         out.append((start, end, text[start:end].strip()))
-        at = max(start, end - overlap)
+        at = next_start(start, end, overlap)
     out.append((at, len(text), text[at:].strip()))
     return [c for c in out if c[2]]
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..config import CUT_LOOKBACK, Profile
 from ..functions.text import normalize_text
 from ..shared import written
-from .chunking import CUT_MARKS, cut
+from .chunking import CUT_MARKS, cut, next_start
 
 #: Characters of a block, and blocks whose tables one task chains.
 BLOCK, GROUP = 1 << 16, 1 << 10
@@ -39,7 +39,7 @@ def next_starts(text: str, own: int, size: int, overlap: int) -> np.ndarray:
     whole = hard <= len(points)
     mark = last[np.minimum(hard, len(points))]
     end = np.where(mark >= np.maximum(at + 1, hard - CUT_LOOKBACK), mark + 1, hard)
-    return np.where(whole, np.maximum(at, end - overlap), _LAST)
+    return np.where(whole, np.where(end - overlap > at, end - overlap, end), _LAST)
 
 
 def exits(text: str, own: int, size: int, overlap: int) -> np.ndarray:
@@ -127,7 +127,7 @@ def _cut(profile: Profile, block: int):
                     if start >= own:
                         break
                     found.append((start, end))
-                    at = max(start, end - overlap)
+                    at = next_start(start, end, overlap)
                 else:
                     # the text ends before another full chunk: its tail, if that begins here
                     if at < own:

@@ -22,7 +22,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, Par
 from .config import CUT_LOOKBACK, EVENT_TYPES, MARKERS
 from .functions.text import BLANKS
 from .operators import parsing
-from .operators.chunking import chunks_of, cut
+from .operators.chunking import chunks_of, cut, next_start
 from .operators.segments import grouper
 from .operators.tags import tokens_of
 
@@ -94,7 +94,7 @@ class PageChunks:
         self.held, at = (self.held + "\n" if self.held else "") + page["text"], 0
         for start, end in cut(self.held, size, overlap):
             yield from self._emit(self.held[start:end])
-            at = max(start, end - overlap)
+            at = next_start(start, end, overlap)
         self.held = self.held[at:]
 
     def terminate(self) -> Iterator[tuple]:

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Profile
 from ..functions.text import normalize_text
-from ..operators.chunking import cut
+from ..operators.chunking import cut, next_start
 
 OUTPUT = "doc_id long, chunk_id int, chunk_text string"
 
@@ -46,7 +46,7 @@ def advance(state: dict, pages: list[tuple[int, str, bool]], size: int, overlap:
         at = 0
         for start, end in cut(state["buffer"], size, overlap):
             emit(state["buffer"][start:end])
-            at = max(start, end - overlap)
+            at = next_start(start, end, overlap)
         state["buffer"] = state["buffer"][at:]
         if page[1]:
             emit(state["buffer"])

@@ -55,3 +55,25 @@ def test_one_long_text_is_many_tasks(spark):
     blocks = long_texts._blocks(d, LOCAL.chunk_size, 1 << 16)
     assert blocks.count() == -(-len(text.strip()) // (1 << 16))
     assert blocks.agg(F.max(F.length("text"))).first()[0] == (1 << 16) + LOCAL.chunk_size
+
+
+def test_chunks_shorter_than_the_look_back_end(spark):
+    """A mark right behind a chunk's start cuts it within the overlap: the next chunk begins at the cut, in all forms alike."""
+    from scriptorium.streaming.chunks import advance, finish
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab。\n", weights=[9, 9, 2, 1], k=n)) for n in (0, 1, 59, 60, 61, 500, 4000)] + ["。" * 300, "a。" + "b" * 300, "a" * 59 + "。" + "b" * 200]
+    for size, overlap in ((60, 20), (60, 59), (3, 2), (1, 0), (60, 0)):
+        for text in texts:
+            chunks = list(chunking.cut(text, size, overlap))
+            for (a, b), (c, _) in zip(chunks, chunks[1:]):
+                assert c == (b - overlap if b - overlap > a else b) and a < c <= b <= a + size
+            state = {"done": False, "chunk": 0, "page": 1, "buffer": "", "waiting": {}}
+            got = advance(state, [(1, text, False)], size, overlap) + finish(state, size, overlap)
+            assert [t for _, t in got] == [t for _, _, t in chunking.chunks_of(text, size, overlap)]
+    profile = Profile(60, 20, 1, 1.0)
+    d = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, page_no int, text string")
+    columns = ("doc_id", "chunk_id", "chunk_text", "start", "end")
+    want = sorted(map(tuple, chunking.chunk_pages(d, profile).select(*columns).collect()))
+    assert sorted(map(tuple, long_texts.chunk_long_pages(d, profile, 100, 2).select(*columns).collect())) == want
+    assert {x[0] for x in want} == set(range(1, len(texts)))
