@@ -24,7 +24,7 @@ which everything fits never send their edges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise, release
@@ -275,19 +275,34 @@ def _discovered(found: DataFrame) -> DataFrame:
     inside = edges.groupBy("instance").agg(F.max("places").alias("inside"))
     total = places.groupBy("instance").agg(F.count("*").alias("total"))
     sure = total.join(inside, "instance").where(F.col("inside") >= MIN_OWN * F.col("total")).select("instance")
-    per_row = materialise(places.join(_small(materialise(sure, "sure")), "instance", "left_semi").select("key", "hash", "instance", "kind").distinct().groupBy("key", "hash").agg(F.map_from_entries(F.collect_set(F.struct("instance", "kind"))).alias("own")), "rows-with-new")
+    kinds = materialise(new.join(sure, "instance", "left_semi").select("instance", "kind"), "sure")
+    wanted = materialise(places.join(_small(kinds.select("instance")), "instance", "left_semi").select("key", "hash").distinct(), "rows-with-new")
     release(edges, places, new)
-    rows = found.join(_small(per_row), ["key", "hash"]).dropDuplicates(["key", "hash"]).select("key", "hash", F.coalesce(F.col("row.text"), F.lit("")).alias("t"), "spans", "own")
+    rows = found.join(_small(wanted), ["key", "hash"], "left_semi")
+    text = F.coalesce(F.col("row.text"), F.lit(""))
     token = _find("t", r"[^\x20\x09-\x0D]+", F.lit(True))
+    tokens = rows.select("key", "hash", text.alias("t")).dropDuplicates(["key", "hash"]).select("key", "hash", F.explode(token).alias("m"))
+    inner = F.btrim("m.found", F.lit(_EDGES))
+    left = F.col("m.start") + F.length("m.found") - F.length(F.ltrim("m.found", F.lit(_EDGES)))
+    at = tokens.select("key", "hash", inner.alias("instance"), left.alias("start")).join(_small(kinds), "instance")
+    at = at.select("key", "hash", "kind", "start", (F.col("start") + F.length("instance")).alias("end"))
+    spans = rows.select("key", "hash", "spans").dropDuplicates(["key", "hash"]).select("key", "hash", F.explode("spans").alias("s")).select("key", "hash", F.lit(None).cast("int").alias("kind"), "s.start", "s.end")
+    return _free(at, spans)
+
 
-    def trimmed(m: Column) -> Column:
-        left = m["start"] + F.length(m["found"]) - F.length(F.ltrim(m["found"], F.lit(_EDGES)))
-        inner = F.btrim(m["found"], F.lit(_EDGES))
-        return F.struct(F.element_at("own", inner).alias("kind"), left.alias("start"), (left + F.length(inner)).alias("end"))
+def _free(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """key, hash, extra: the places found(key, hash, kind, start, end) that none of spans(..., kind null) overlaps, by kind, then start.
 
-    free = lambda m: m["kind"].isNotNull() & ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
-    named = lambda m: F.struct((m["kind"] + len(BASE_KINDS)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
-    return rows.select("key", "hash", F.sort_array(F.transform(F.filter(F.transform(token, trimmed), free), named)).cast(_NONE).alias("extra"))
+    A place meets a span that begins before the place ends and ends after it begins, so the
+    farthest end of the spans before a place's end tells; a text's places are sorted once.
+    """
+    both = found.select("*", F.col("end").alias("at")).unionAll(spans.select("*", F.col("start").alias("at")))
+    # a span that begins where a place ends comes after it
+    before = Window.partitionBy("key", "hash").orderBy("at", F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("kind").isNull(), F.col("end"))).over(before)
+    free = both.withColumn("reach", reach).where(F.col("kind").isNotNull() & (F.coalesce("reach", F.lit(0)) <= F.col("start")))
+    own = F.struct((F.col("kind") + len(BASE_KINDS)).alias("kind"), "start", "end")
+    return free.groupBy("key", "hash").agg(F.sort_array(F.collect_list(own)).cast(_NONE).alias("extra"))
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:

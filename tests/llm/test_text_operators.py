@@ -505,6 +505,27 @@ def test_long_runs_take_linear_time(spark):
     assert took[1] < 8 * took[0]
 
 
+def test_free_places_against_brute_force(spark):
+    rng = random.Random(52)
+    found, spans = [], []
+    for key in range(60):
+        at = 0
+        while at < 200 and key % 9:
+            a = at + rng.randint(0, 9)
+            at = a + rng.randint(1, 9)
+            found.append((key % 20, key, rng.randint(0, 3), a, at))
+        for _ in range(rng.choice([0, 1, 12])):
+            a = rng.randint(0, 200)
+            spans.append((key % 20, key, None, a, a + rng.randint(1, 40)))
+    schema = "key long, hash long, kind int, start int, end int"
+    got = {(r.key, r.hash): [tuple(x) for x in r.extra] for r in pii._free(spark.createDataFrame(found, schema), spark.createDataFrame(spans, schema)).collect()}
+    want = {}
+    for key, h, kind, a, b in found:
+        if not any(s[1] == h and s[3] < b and s[4] > a for s in spans):
+            want.setdefault((key, h), []).append((kind + 4, a, b))
+    assert got == {k: sorted(v) for k, v in want.items()} and len(want) > 20
+
+
 # --- secrets ---
 
 
