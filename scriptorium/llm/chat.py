@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own (``expand``): all turns before
-it are context, only its own text is trainable.  All contexts of a conversation
-are prefixes of its one formatted text, so an example holds its context as an
-offset into that text - rows that repeated the contexts would grow with the
-square of a conversation's length.  ``example_texts`` writes them out where wanted.
+it are context, only its own text is trainable.  An example is a row of its own
+text: the prefix of the formatted conversation before its target, and the target
+under the mask.  The prefixes of one conversation sum up to the square of its
+turns; they are made and read a row at a time, and no shuffle carries them.
 
 Template of a turn:  <|start|>ROLE, line feed, TEXT, <|end|>, line feed.
 In texts and roles ``%``, ``<`` and ``[`` are percent-escaped, so that no control
@@ -76,28 +76,30 @@ def _segments() -> Column:
     return F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), lambda s: F.concat(s, F.lit(END)))
 
 
+def _examples(formatted: DataFrame) -> DataFrame:
+    """The columns of formatted beside its text and masks, m (an assistant turn's mask), context and body (the escaped target), both cut out of the formatted text at the mask's offsets."""
+    rest = [c for c in formatted.columns if c not in ("formatted", "masks")]
+    d = formatted.select(*rest, "formatted", F.explode_outer("masks").alias("m"))
+    b, e = F.col("m.loss_begin").cast("int"), F.col("m.loss_end").cast("int")
+    return d.select(*rest, "m", F.substring("formatted", F.lit(1), b).alias("context"), F.substring("formatted", b + 1, e - b).alias("body"))
+
+
 def expand(formatted: DataFrame) -> DataFrame:
     """One row for each assistant turn, its example; a conversation without one has a row without an example.
 
     conv_id, the other columns of formatted(conv_id, formatted, masks, ...), example
-    (the turn's place), context_chars (all turns before it and its own head, the
-    first so many of the formatted text) and target (the text under its loss mask,
-    unescaped).  A target is cut out of its turn's segment at the mask's offsets, so
-    that a conversation's examples cost as much as its length, not its square.
+    (the turn's place), context (all turns before it and its own head, escaped),
+    context_chars (its length) and target (the text under its loss mask, unescaped).
+    Contexts are whole prefixes, so a conversation of n turns takes the square of n; a
+    row is made at a time.
     """
-    d = formatted.withColumn("segments", _segments())
-    begin = F.col("m.loss_begin") - F.col("m.begin")
-    target = F.substring(F.get("segments", F.col("m.place") - 1), (begin + 1).cast("int"), (F.col("m.loss_end") - F.col("m.loss_begin")).cast("int"))
     rest = [c for c in formatted.columns if c not in ("formatted", "masks")]
-    d = d.select(*rest, "segments", F.explode_outer("masks").alias("m"))
-    return d.select(*rest, F.col("m.place").alias("example"), F.col("m.loss_begin").alias("context_chars"), unescape(target).alias("target"))
+    return _examples(formatted).select(*rest, F.col("m.place").alias("example"), "context", F.length("context").cast("long").alias("context_chars"), unescape(F.col("body")).alias("target"))
 
 
 def example_texts(turns: DataFrame) -> DataFrame:
-    """The examples written out: conv_id, example, context, target (both escaped).  Its size is the sum of all prefixes."""
-    d = conversations_text(turns).select("conv_id", "formatted", F.explode("masks").alias("m"))
-    b, e = F.col("m.loss_begin").cast("int"), F.col("m.loss_end").cast("int")
-    return d.select("conv_id", F.col("m.place").alias("example"), F.substring("formatted", F.lit(1), b).alias("context"), F.substring("formatted", b + 1, e - b).alias("target"))
+    """The examples as they are trained on: conv_id, example, context, target (both escaped)."""
+    return _examples(conversations_text(turns)).where("m is not null").select("conv_id", F.col("m.place").alias("example"), "context", F.col("body").alias("target"))
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:

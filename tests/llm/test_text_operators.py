@@ -253,6 +253,15 @@ def test_targets_are_cut_out_by_the_mask(spark):
     assert targets(text.withColumn("masks", moved)) == ["t\n100% <b>[é𠀀", "t"]
 
 
+def test_an_example_holds_its_prefix_and_its_target(spark):
+    rows = [(1, 0, "user", "ask <"), (1, 1, "assistant", "one"), (1, 2, "user", "more"), (1, 3, "assistant", "two%"), (2, 0, "user", "alone")]
+    text = chat.conversations_text(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    head = "<|start|>user\nask %3C<|end|>\n<|start|>assistant\n"
+    found = chat.expand(text).orderBy("conv_id", "example").select("conv_id", "context", "context_chars", "target").collect()
+    second = head + "one<|end|>\n<|start|>user\nmore<|end|>\n<|start|>assistant\n"
+    assert [tuple(r) for r in found] == [(1, head, len(head), "one"), (1, second, len(second), "two%"), (2, None, None, None)]
+
+
 def test_a_long_conversation_costs_its_length(spark):
     n = 20_000
     rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('turn ', id, ' of it') text")
