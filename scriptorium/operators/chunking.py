@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import CUT_LOOKBACK, Profile
 from ..functions.text import normalize_text
+from ..shared import bounded_batches
 
 #: Fixed value: a chunk may end after one of these.
 CUT_MARKS = "。！？；\n"
@@ -66,6 +67,7 @@ def _chunker(size: int, overlap: int):
 
 def chunk_documents(documents: DataFrame, profile: Profile, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, chunk_id, chunk_text, start, end, *keep) of documents with one text each; chunk ids run from 0."""
+    bounded_batches(documents.sparkSession)
     pieces = _chunker(profile.chunk_size, profile.overlap)(normalize_text(F.col(text)))
     # the outer form keeps the optimiser from writing the array expression twice
     out = documents.select("doc_id", *keep, F.posexplode_outer(pieces).alias("chunk_id", "c")).where("c is not null")
@@ -86,6 +88,7 @@ def chunk_lookup(keys: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def chunk_pages(pages: DataFrame, profile: Profile) -> DataFrame:
     """Chunks of documents given as pages (doc_id, page_no, text); chunks may span pages."""
+    bounded_batches(pages.sparkSession)
     pieces = _chunker(profile.chunk_size, profile.overlap)(F.col("text"))
     out = join_pages(pages).select("doc_id", F.posexplode_outer(pieces).alias("chunk_id", "c")).where("c is not null")
     return out.select("doc_id", F.col("chunk_id").cast("int").alias("chunk_id"), "c.chunk_text", "c.start", "c.end")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import bounded_batches
+
 KNOWN = ("name", "rank", "action", "event_type", "time", "quote")
 ITEM_TYPE = "struct<" + ",".join(f"{k}:string" for k in (*KNOWN, "extra")) + ">"
 PARSED_TYPE = f"struct<parsed_ok:boolean,items:array<{ITEM_TYPE}>>"
@@ -124,6 +126,7 @@ def _column(parse):
 
 def parse_responses(responses: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
     """responses with ``raw`` to the same columns, parsed_ok and items; ``allowed`` event types select the structured form."""
+    bounded_batches(responses.sparkSession)
     parse = _column(parse_json_list if allowed is None else lambda r: parse_structured(r, allowed))
     return responses.withColumn("_p", parse("raw")).select(*responses.columns, "_p.parsed_ok", "_p.items")
 
@@ -159,6 +162,7 @@ def literal_texts(cell: str | None) -> list[tuple[str, str, str]]:
 
 def parse_cells(rows: DataFrame, column: str = "Related Texts") -> DataFrame:
     """(id, source, text_content) of the literal cells of a column."""
+    bounded_batches(rows.sparkSession)
     kind = pa.list_(pa.struct([("id", pa.string()), ("source", pa.string()), ("text_content", pa.string())]))
 
     @F.arrow_udf("array<struct<id:string,source:string,text_content:string>>")
