@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import MARKERS
 from ..functions.text import BLANKS, normalize_text
+from ..shared import bounded_batches
 
 
 def grouper(per_request: int, markers: tuple[str, ...]) -> Callable[[str], list[str]]:
@@ -46,6 +47,7 @@ def marker_segments(chunks: DataFrame, enabled: bool = False, per_request: int =
     d = chunks.select("doc_id", "chunk_id", normalize_text(F.col("chunk_text")).alias("t"))
     if not enabled:
         return d.select("doc_id", "chunk_id", F.lit(0).alias("seg_id"), F.col("t").alias("seg_text"))
+    bounded_batches(chunks.sparkSession)
     groups = grouper(per_request, tuple(markers))
 
     @F.arrow_udf("array<string>")

@@ -28,3 +28,10 @@ def test_chunks_of_pages(texts):
 
 def test_rule_extraction(texts):
     assert pipelines.rule_extraction(texts).count() == 3000
+
+
+def test_segments(texts):
+    from scriptorium.operators import segments
+
+    d = texts.select("doc_id", F.lit(0).alias("chunk_id"), F.lit("head ○ one ○ two").alias("chunk_text"))
+    assert segments.marker_segments(d, enabled=True).count() == 3000
