@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import bounded_batches
+
 #: A dictionary is sent to every worker, so its tables have a bound.
 MAX_TABLE_BYTES = 256 << 20
 #: Code points of texts that walk the trie together, at least one text.
@@ -82,13 +84,16 @@ class PhraseTable:
 
     def taken(self, text: str) -> list[dict]:
         """at, size, replacement of the phrases that are replaced in a text, from the left."""
+        return [{"at": at, "size": size, "replacement": self.targets[k]} for at, size, k in zip(*(x.tolist() for x in self.places(text)))]
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``taken`` as columns: at, size and the phrase's number."""
         places, sizes, found = self.longest(_points(text))
-        out, end = [], 0
-        for at, size, k in zip(places.tolist(), sizes.tolist(), found.tolist()):
-            if at >= end:
-                out.append({"at": at, "size": size, "replacement": self.targets[k]})
-                end = at + size
-        return out
+        after, own, k = np.searchsorted(places, places + sizes).tolist(), [], 0
+        while k < len(places):
+            own.append(k)
+            k = after[k]
+        return places[own], sizes[own], found[own]
 
     def _converted(self, texts: list[str]) -> list[str]:
         whole = np.concatenate([x for t in texts for x in (_points(t), [_BORDER])]).astype(np.uint32)
@@ -131,6 +136,7 @@ def phrase_dictionary(rows: DataFrame, phrase: str = "phrase", replacement: str
 
 
 def _shared(rows: DataFrame, phrases: dict[str, str] | DataFrame):
+    bounded_batches(rows.sparkSession)
     table = PhraseTable(phrase_dictionary(phrases) if isinstance(phrases, DataFrame) else phrases)
     return rows.sparkSession.sparkContext.broadcast(table)
 
@@ -138,11 +144,15 @@ def _shared(rows: DataFrame, phrases: dict[str, str] | DataFrame):
 def find_phrases(rows: DataFrame, phrases: dict[str, str] | DataFrame, name: str, text: str = "text") -> DataFrame:
     """rows with ``name``: array of at (from 0), size, replacement of the phrases that ``convert_phrases`` replaces in ``text``; empty for null."""
     shared = _shared(rows, phrases)
-    kind = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64()), ("replacement", pa.string())]))
+    empty = [np.zeros(0, np.int64)] * 3
 
     @F.arrow_udf("array<struct<at:long,size:long,replacement:string>>")
     def found(x: pa.Array) -> pa.Array:
-        return pa.array([shared.value.taken(t or "") for t in x.to_pylist()], kind)
+        each = [shared.value.places(t.as_py()) if t.is_valid else empty for t in x]
+        offsets = np.concatenate([[0], np.cumsum([len(at) for at, _, _ in each])]).astype(np.int32)
+        at, size, number = (np.concatenate([empty[0], *column]).astype(np.int64) for column in (zip(*each) if each else [[]] * 3))
+        names = pa.array([shared.value.targets[k] for k in number.tolist()], pa.string())
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(at), pa.array(size), names], names=["at", "size", "replacement"]))
 
     return rows.withColumn(name, found(text))
 

@@ -35,3 +35,11 @@ def test_segments(texts):
 
     d = texts.select("doc_id", F.lit(0).alias("chunk_id"), F.lit("head ○ one ○ two").alias("chunk_text"))
     assert segments.marker_segments(d, enabled=True).count() == 3000
+
+
+def test_phrases(texts):
+    from scriptorium.operators import phrases
+
+    found = phrases.find_phrases(texts, {"text": "T", "of it": "O"}, "f")
+    assert found.where("f[0].at = 5 and f[1].replacement = 'O' and size(f) = 2").count() == 3000
+    assert phrases.find_phrases(texts.withColumn("text", F.lit(None).cast("string")), {"a": "b"}, "f").where("size(f) = 0").count() == 3000
