@@ -43,3 +43,10 @@ def test_phrases(texts):
     found = phrases.find_phrases(texts, {"text": "T", "of it": "O"}, "f")
     assert found.where("f[0].at = 5 and f[1].replacement = 'O' and size(f) = 2").count() == 3000
     assert phrases.find_phrases(texts.withColumn("text", F.lit(None).cast("string")), {"a": "b"}, "f").where("size(f) = 0").count() == 3000
+
+
+def test_json_lines(texts, tmp_path):
+    from scriptorium.sources import readers
+
+    texts.select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(str(tmp_path / "lines"))
+    assert readers.jsonl(texts.sparkSession, str(tmp_path / "lines"), "doc_id long, text string").count() == 3000
