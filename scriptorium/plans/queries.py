@@ -623,8 +623,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "page-files")
     d = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 8).cast("int").alias("bucket"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\f", " ").alias("value"))
     d.repartition(8, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.option("lineSep", "\f").partitionBy("bucket").text(path)
-    pages.register(spark)
-    found = readers.page_range(spark.read.format("page_files").option("slice_bytes", 1 << 20).load(path), 2)
+    found = readers.page_range(pages.load(spark, path, slice_bytes=1 << 20), 2)
     return found.select(F.regexp_extract("doc_id", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "page_no", "text")
 
 

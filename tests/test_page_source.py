@@ -58,3 +58,49 @@ def test_a_bad_page_is_a_row(spark, source, tmp_path):
     assert [(r.page_no, r.text, r.error) for r in found] == [(0, "good", None), (1, None, "ValueError: a bad page"), (2, "last", None)]
     with pytest.raises(Exception, match="path"):
         spark.read.format("page_files").load().collect()
+
+
+def test_a_slice_reads_its_own_bytes(spark, tmp_path, monkeypatch):
+    """Slices of every size give the pages of the whole file, by an index or without; a task reads no more than its slice and its last page."""
+    (tmp_path / "sub").mkdir()
+    texts = {"a": "one\f\fthree 漢\f\f", "b": "no end", "c": "\f", "d": "é" * 50 + "\f" + "x" * 30, "e": ""}
+    for name, text in texts.items():
+        (tmp_path / "sub" / name).write_text(text, encoding="utf-8")
+    (tmp_path / "sub" / "f").write_bytes(b"good\fgood too\f\xff\fgood")
+    want = sorted((n, k, t) for n, x in texts.items() for k, t in enumerate(pages.form_feed_pages(x.encode()) if x else []))
+    for size in (2, 7, 1000):
+        for how in (pages.load(spark, str(tmp_path), slice_bytes=size), spark.read.format("page_files").option("slice_bytes", size).load(str(tmp_path))):
+            found = [(r.doc_id[-1], r.page_no, r.text, r.error) for r in how.collect()]
+            assert sorted(r[:3] for r in found if r[0] != "f") == want
+            bad = [r for r in found if r[0] == "f"]
+            assert [r[1:3] for r in bad] == [(None, None)] and bad[0][3].startswith("UnicodeDecodeError")
+
+    class Counting:
+        def __init__(self, f):
+            self.f, self.read_bytes = f, 0
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *x):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            self.read_bytes += n
+            return self.f.read(n)
+
+    (tmp_path / "large").write_text("a page of it\f" * 100_000)
+    opened = []
+    monkeypatch.setattr(pages.PageReader, "_opened", lambda self, name: opened.append(Counting(open(name, "rb"))) or opened[-1])
+    begins = [-(-100_000 * k // 13) for k in range(14)]  # pages that begin before slice k
+    counts = [b - a for a, b in zip(begins, begins[1:])]
+    reader = pages.PageReader({"path": str(tmp_path / "large"), "slice_bytes": "100000"})
+    reader.index = {str(tmp_path / "large"): {"size": 1_300_000, "counts": counts, "error": None}}
+    reader.first = 90_000
+    slices = reader.partitions()
+    assert len(slices) == 2
+    assert [r[2] for s in slices for r in reader.read(s)] == ["a page of it"] * 10_000
+    assert max(f.read_bytes for f in opened) <= 100_001 + (1 << 20)
