@@ -65,6 +65,11 @@ def _chunker(size: int, overlap: int):
     return chunks
 
 
+def chunks_of_texts(profile: Profile):
+    """A function of a text column: the array of its chunks (start, end, chunk_text)."""
+    return _chunker(profile.chunk_size, profile.overlap)
+
+
 def chunk_documents(documents: DataFrame, profile: Profile, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, chunk_id, chunk_text, start, end, *keep) of documents with one text each; chunk ids run from 0."""
     bounded_batches(documents.sparkSession)

@@ -6,6 +6,8 @@ it.  A document is dealt out in blocks of equal length, each with the text it lo
 ahead to.  Every block works out for all places where a chunk may enter it where that
 chain of chunks leaves it; only these short tables are chained, first within groups of
 blocks, then over the groups; with its true entry each block then cuts its own chunks.
+Documents that fit into one block have no such choice: each is cut in one go, as
+``chunk_pages`` does, which spares most documents the tables and their groups.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 
 from ..config import CUT_LOOKBACK, Profile
 from ..functions.text import normalize_text
-from ..shared import written
-from .chunking import CUT_MARKS, cut, next_start
+from ..shared import bounded_batches, written
+from .chunking import CUT_MARKS, chunks_of_texts, cut, next_start
 
 #: Characters of a block, and blocks whose tables one task chains.
 BLOCK, GROUP = 1 << 16, 1 << 10
 _MARKS = np.array([ord(c) for c in CUT_MARKS], np.uint32)
+#: Characters of pieces in an Arrow batch, at least one piece.
+_BATCH_CHARS = 1 << 21
 #: In a table: the document's last chunk begins in this block.
 _LAST = -1
 
@@ -51,20 +55,41 @@ def exits(text: str, own: int, size: int, overlap: int) -> np.ndarray:
     return np.where(at < 0, _LAST, at - own).astype(np.int32)
 
 
-def _blocks(pages: DataFrame, size: int, block: int) -> DataFrame:
-    """(doc_id, block, own, text): blocks of the joined texts of normalised non-empty pages, each with ``size`` characters that follow."""
+def _pieces(pages: DataFrame, block: int) -> DataFrame:
+    """(doc_id, page_no, piece, chars, text), written: normalised non-empty pages in pieces of at most ``block`` characters."""
     schema = pages.select("doc_id", "page_no").withColumns({"piece": F.lit(0), "chars": F.lit(0).cast("long"), "text": F.lit("")}).schema
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own, number, parts, chars = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                key = batch.select(["doc_id", "page_no"]).take(pa.array(own, pa.int64()))  # noqa: B023  called at once
+                return pa.RecordBatch.from_arrays([*key.columns, pa.array(number, pa.int32()), pa.array([len(p) for p in parts], pa.int64()), pa.array(parts, pa.string())], names=["doc_id", "page_no", "piece", "chars", "text"])  # noqa: B023
+
             for r in range(batch.num_rows):
-                text, key = batch.column("text")[r].as_py(), batch.slice(r, 1)
+                text = batch.column("text")[r].as_py()
                 for k, i in enumerate(range(0, len(text), block)):
-                    part = text[i : i + block]
-                    yield pa.RecordBatch.from_arrays([key.column("doc_id"), key.column("page_no"), pa.array([k], pa.int32()), pa.array([len(part)], pa.int64()), pa.array([part])], names=["doc_id", "page_no", "piece", "chars", "text"])
+                    own.append(r)
+                    number.append(k)
+                    parts.append(text[i : i + block])
+                    chars += len(parts[-1])
+                    if chars >= _BATCH_CHARS:
+                        yield made()
+                        own, number, parts, chars = [], [], [], 0
+            if own:
+                yield made()
 
     clean = pages.where("doc_id is not null").select("doc_id", "page_no", normalize_text(F.col("text")).alias("text")).where("text <> ''")
-    pieces = written(clean.mapInArrow(cut_up, schema), "pieces")
+    return written(clean.mapInArrow(cut_up, schema), "pieces")
+
+
+def _blocks(pages: DataFrame, size: int, block: int) -> DataFrame:
+    """(doc_id, block, own, text): blocks of the joined texts of normalised non-empty pages, each with ``size`` characters that follow."""
+    return _blocks_of(_pieces(pages, block), size, block)
+
+
+def _blocks_of(pieces: DataFrame, size: int, block: int) -> DataFrame:
     # places come from the pieces' lengths alone: a line feed stands between pages
     order = Window.partitionBy("doc_id").orderBy("page_no", "piece")
     lengths = pieces.select("doc_id", "page_no", "piece", "chars").withColumn("more", F.when((F.col("piece") == 0) & (F.row_number().over(order) > 1), 1).otherwise(0))
@@ -151,8 +176,27 @@ def chunk_long_pages(pages: DataFrame, profile: Profile, block: int = BLOCK, gro
     """
     if block < profile.chunk_size:
         raise ValueError("a block must hold a whole chunk")
+    bounded_batches(pages.sparkSession)
+    pieces = _pieces(pages, block)
+    # a line feed stands between pages
+    chars = F.sum(F.col("chars") + F.when(F.col("piece") == 0, 1).otherwise(0)) - 1
+    several = written(pieces.groupBy("doc_id").agg(chars.alias("chars")).where(F.col("chars") > block).select("doc_id"), "long-documents")
+    long = _chunk_blocks(_blocks_of(pieces.join(several, "doc_id", "left_semi"), profile.chunk_size, block), profile, block, group)
+    return long.unionAll(_chunk_short(pieces.join(several, "doc_id", "left_anti"), profile))
+
+
+def _chunk_short(pieces: DataFrame, profile: Profile) -> DataFrame:
+    """Chunks of documents whose text fits into one block."""
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "piece", "text")))["text"], "\n")
+    d = pieces.groupBy("doc_id").agg(text.alias("text"))
+    out = d.select("doc_id", F.posexplode_outer(chunks_of_texts(profile)("text")).alias("chunk_id", "c")).where("c is not null")
+    return out.select("doc_id", F.col("chunk_id").cast("int").alias("chunk_id"), "c.chunk_text", F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("end"))
+
+
+def _chunk_blocks(blocks: DataFrame, profile: Profile, block: int, group: int) -> DataFrame:
+    """Chunks of the documents of ``_blocks``, chained over their blocks."""
     size, overlap = profile.chunk_size, profile.overlap
-    blocks = _blocks(pages, size, block)
+    blocks = written(blocks, "blocks")
     table = F.arrow_udf(_tables(size, overlap), "binary")("text", "own")
     tables = blocks.select("doc_id", "block", F.floor(F.col("block") / group).alias("part"), table.alias("table"))
     groups = _entries(_group_exits(tables).withColumn("enter", F.lit(0)), ["doc_id"], "part")

@@ -77,3 +77,15 @@ def test_chunks_shorter_than_the_look_back_end(spark):
     want = sorted(map(tuple, chunking.chunk_pages(d, profile).select(*columns).collect()))
     assert sorted(map(tuple, long_texts.chunk_long_pages(d, profile, 100, 2).select(*columns).collect())) == want
     assert {x[0] for x in want} == set(range(1, len(texts)))
+
+
+def test_documents_of_one_block_need_no_tables(spark, monkeypatch):
+    """Only documents longer than a block are chained over blocks; at the border a line feed between pages counts."""
+    rows = [(1, 0, "a" * 1000), (2, 0, "b" * 1001), (3, 0, "c" * 500), (3, 1, "d" * 499), (4, 0, "e" * 500), (4, 1, "f" * 500), (5, 0, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    seen, chain = [], long_texts._chunk_blocks
+    monkeypatch.setattr(long_texts, "_chunk_blocks", lambda blocks, *x: seen.extend(r.doc_id for r in blocks.select("doc_id").distinct().collect()) or chain(blocks, *x))
+    columns = ("doc_id", "chunk_id", "chunk_text", "start", "end")
+    want = sorted(map(tuple, chunking.chunk_pages(d, LOCAL).select(*columns).collect()))
+    assert sorted(map(tuple, long_texts.chunk_long_pages(d, LOCAL, 1000).select(*columns).collect())) == want
+    assert sorted(seen) == [2, 4]
