@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bounded_batches, materialise, release
+from .storage import bounded_batches, materialise, release, tidy
 from .wordhash import slices, text_buffer
 
 UNDETERMINED = "und"
@@ -87,7 +87,7 @@ def count_triples(documents: DataFrame) -> DataFrame:
         yield from flush()
 
     known = documents.where(F.col("lang").isNotNull()).select("text", "lang")
-    return known.mapInArrow(run, "lang string, triple int, n long").groupBy("lang", "triple").agg(F.sum("n").alias("n"))
+    return known.mapInArrow(tidy(run), "lang string, triple int, n long").groupBy("lang", "triple").agg(F.sum("n").alias("n"))
 
 
 def _order0(n: np.ndarray) -> np.ndarray:
@@ -242,7 +242,7 @@ def _told(documents: DataFrame, model: PpmModel | GroupedModel, finish, schema:
                     kept = [pa.array(best), pa.array(lang, pa.string()), pa.array(weight)]
                     yield pa.RecordBatch.from_arrays([*rows.columns, *kept], names=wider.names)
 
-        return run
+        return tidy(run)
 
     parts, first, held = model.parts(), True, None
     part = next(parts)

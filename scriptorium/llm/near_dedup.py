@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, materialise, release
+from .storage import bounded_batches, materialise, release, tidy
 from .wordhash import hash_words, mix64, slices, windows
 
 COORDINATES = 64
@@ -99,7 +99,7 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "n", "d1", "d2", "signature"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, signature array<long>")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, signature array<long>")
 
 
 def shingle_sets(documents: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def shingle_sets(documents: DataFrame, size: int, wanted: DataFrame) -> DataFram
                     names=["rep", "n", "d1", "d2", "shingles"],
                 )
 
-    found = documents.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "rep long, n long, d1 long, d2 long, shingles binary")
+    found = documents.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(tidy(run), "rep long, n long, d1 long, d2 long, shingles binary")
     return found.join(wanted, ["rep", "n", "d1", "d2"]).select("cls", "shingles")
 
 
@@ -178,7 +178,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     """``components`` as written: (a, b), b the root of a.  Up to ``FEW_EDGES`` edges are one task's work, more go through alternating stars."""
     e, before, last = edges.where("a <> b"), None, []
     if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
-        return materialise(e.select("a", "b").coalesce(1).mapInArrow(_roots, "a long, b long"), "stars")
+        return materialise(e.select("a", "b").coalesce(1).mapInArrow(tidy(_roots), "a long, b long"), "stars")
     while True:
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -228,7 +228,7 @@ class _Linker:
         close = pairs.join(sig.withColumnsRenamed({"cls": "a", "node": "na", "signature": "x"}), "a").join(sig.withColumnsRenamed({"cls": "b", "node": "nb", "signature": "y"}), "b")
         close = close.where(F.size(F.array_intersect("x", "y")) >= self.matches).select("a", "b", "na", "nb")
         full = close.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
-        links = materialise(full.select("na", "nb", "sa", "sb").mapInArrow(_compare(self.percent), "a long, b long"), "links")
+        links = materialise(full.select("na", "nb", "sa", "sb").mapInArrow(tidy(_compare(self.percent)), "a long, b long"), "links")
         self.tried.append(pairs)
         before = [] if self.stars is None else [self.stars]
         self.stars = _stars(reduce(DataFrame.unionAll, before, links))
@@ -250,7 +250,7 @@ class _Linker:
         if left.isEmpty():
             release(left, self.post, self.wanted, self.sets, *self.tried)
             return
-        each = materialise(self.sets.join(left, "cls").select("cls", "comp", "shingles").mapInArrow(_shingles, "cls long, comp long, n int, shingle long"), "left-shingles")
+        each = materialise(self.sets.join(left, "cls").select("cls", "comp", "shingles").mapInArrow(tidy(_shingles), "cls long, comp long, n int, shingle long"), "left-shingles")
         frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         own = each.join(frequent, "shingle").groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
         # shingles that no other set has come first in the order and need no posting
@@ -293,13 +293,17 @@ def _linked(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, l
     table = materialise(signatures(documents, size), "sets")
     key = ["n", "d1", "d2"]
     reps = table.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "signature")).alias("x")).select(*key, F.col("x.doc_id").alias("rep"), F.col("x.signature").alias("signature"))
-    reps = materialise(reps.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    reps = materialise(reps.withColumn("cls", F.monotonically_increasing_id()), "signed-classes")
+    # signatures are most of both tables, and no later step needs them beyond the linker's own
+    keys, classes = materialise(table.select("doc_id", *key), "keys"), materialise(reps.select(*key, "rep"), "classes")
+    release(table)
     linker = _Linker(documents, reps, size, percent)
+    release(reps)
     for k in range(ROUNDS):
         linker.round(k)
     linker.rest()
     # a document that has rows in several classes links them
-    rows = table.select("doc_id", *key).join(reps.select(*key, "rep"), key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    rows = keys.join(classes, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     several = rows.join(several, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
     roots = _stars(linker.stars.unionAll(several))
@@ -307,7 +311,7 @@ def _linked(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, l
     out = rows.join(roots.withColumnsRenamed({"a": "rep", "b": "root"}), "rep", "left")
     component = F.coalesce("root", "rep")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-    return out, [table, reps, roots]
+    return out, [keys, classes, roots]
 
 
 def keep_first(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

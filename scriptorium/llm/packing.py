@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .storage import bounded_batches
+from .storage import bounded_batches, tidy
 from .wordhash import slices
 
 SEQUENCE_TOKENS = 1024
@@ -42,7 +42,7 @@ STRIDE = 64
 BLOCK_TOKENS = 1 << 18
 #: Fixed value: how the byte-level pre-tokeniser splits.
 PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the unit cache of a worker; it is emptied when full.
+#: Entries of the unit cache of a worker; it is emptied when full and when a task ends.
 CACHE_UNITS = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -99,9 +99,9 @@ class UnitTokenizer:
         self.sentence_end[[i for token, i in ranks.items() if token[-1:] in (b".", b"!", b"?", b"\n")]] = True
         self.id_bytes = np.zeros(len(self.sentence_end), np.int64)
         self.id_bytes[list(ranks.values())] = [len(token) for token in ranks]
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.led: dict[str, int] = {}  # units after a blank, without it
         self.first: dict[str, int] = {}  # units that start a text
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -140,7 +140,7 @@ class UnitTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.led) + len(self.first) > CACHE_UNITS:
-            self._clear()
+            self.clear()
         unsafe = [k for k, t in enumerate(texts) if self._unsafe.search(t) or any(a in t for a in self.added)]
         skip = set(unsafe)
         lists = pc.split_pattern(pa.array(["" if k in skip else t for k, t in enumerate(texts)], pa.large_string()), " ")
@@ -284,5 +284,6 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
                     yield batch_of(rows)
         for rows in packer.finish():
             yield batch_of(rows)
+        coder.clear()
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)

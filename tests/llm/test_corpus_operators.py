@@ -253,3 +253,33 @@ def test_pipeline_stages_hold_odd_tables(spark, tmp_path):
         assert all("555-3824" not in (r.text or "") for r in d.collect())
         packed = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path))
         assert {r.doc_id for r in packed.collect()} == kept
+
+
+def test_workers_stay_small(spark):
+    """A worker is kept for later stages, so a task leaves no units of its texts in it."""
+    import pyarrow as pa
+
+    docs = spark.range(400).repartition(8).selectExpr("id AS doc_id", "concat('kept unit', id, ' and more') AS text")
+    assert packing.pack(docs, TOKENS).agg({"length": "sum"}).first()[0] > 400
+
+    def held(batches):
+        for batch in batches:
+            units = sum(len(c.led) + len(c.first) for c in packing._coders.values())
+            yield pa.RecordBatch.from_pydict({"coders": [len(packing._coders)], "units": [units]})
+
+    got = spark.range(8).repartition(8).mapInArrow(held, "coders long, units long").collect()
+    assert max(r["coders"] for r in got) == 1 and max(r["units"] for r in got) == 0
+
+
+def test_tidy_gives_memory_back(monkeypatch):
+    from scriptorium.llm import storage
+
+    calls = []
+    monkeypatch.setattr(storage, "give_back", lambda: calls.append(1))
+    assert list(storage.tidy(iter)([1, 2])) == [1, 2] and calls == [1]
+    stopped = storage.tidy(iter)([1, 2])
+    next(stopped)
+    stopped.close()
+    assert calls == [1, 1]
+    monkeypatch.undo()
+    storage.give_back()
