@@ -619,12 +619,12 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT * FROM (SELECT (doc_id % 8)::INT AS bucket, (row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1)::INT AS page_no, translate(text, chr(12), ' ') AS text FROM documents)
     WHERE page_no >= 2 AND text <> ''""")
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as the pages of eight files, read back by the page source from the third page on; the bound is pushed down into it."""
+    """Whole texts as the pages of eight files, read back by the page source from the third page on; the bound is pushed down into it.  A page that can't be read back ends the job."""
     path = shared_path(spark, "page-files")
     d = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 8).cast("int").alias("bucket"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\f", " ").alias("value"))
     d.repartition(8, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.option("lineSep", "\f").partitionBy("bucket").text(path)
-    found = readers.page_range(pages.load(spark, path, slice_bytes=1 << 20), 2)
-    return found.select(F.regexp_extract("doc_id", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "page_no", "text")
+    found = readers.page_range(pages.load(spark, path, slice_bytes=1 << 20, mode="FAILFAST"), 2)
+    return found.select(F.nullif(F.regexp_extract("doc_id", r"/bucket=(-?\d*)[^/]*/[^/]*$", 1), F.lit("")).cast("int").alias("bucket"), "page_no", "text")
 
 
 @_query(_chunk_query(_DOCS, LOCAL))

@@ -53,7 +53,10 @@ def pdf_pages(spark: SparkSession, path: str, decode: Callable[[bytes, int, int
 
 
 def page_range(pages: DataFrame, start: int = 0, max_pages: int | None = None) -> DataFrame:
-    """Non-empty pages of [start, start + max_pages); pages are counted before empty ones go."""
+    """Non-empty pages of [start, start + max_pages); pages are counted before empty ones go.
+
+    Rows with an error in place of a text go as well: look for them first, or read with mode ``FAILFAST``.
+    """
     start = max(0, start)
     inside = F.col("page_no") >= start
     if max_pages is not None:

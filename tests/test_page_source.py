@@ -1,6 +1,10 @@
+import os
+from urllib.parse import urlparse
+
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.plans import queries
 from scriptorium.sources import pages, readers
 
 
@@ -104,3 +108,81 @@ def test_a_slice_reads_its_own_bytes(spark, tmp_path, monkeypatch):
     assert len(slices) == 2
     assert [r[2] for s in slices for r in reader.read(s)] == ["a page of it"] * 10_000
     assert max(f.read_bytes for f in opened) <= 100_001 + (1 << 20)
+
+
+def test_failfast_ends_the_job(spark, source, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"good\fgood\f\xff\fgood")
+    (tmp_path / "x.pages").write_text(f"{tmp_path}\ngood\nbad\nlast")
+    for size in (2, 1000):
+        for how in (pages.load(spark, str(tmp_path / "bad.txt"), slice_bytes=size, mode="failfast"), source.options(mode="FAILFAST", slice_bytes=size).load(str(tmp_path / "bad.txt"))):
+            with pytest.raises(Exception, match="bad.txt: UnicodeDecodeError"):
+                readers.page_range(how, 1).collect()
+    told = spark.read.format("page_files").options(mode="FAILFAST", decoder="page_decoders:Told").load(str(tmp_path / "x.pages"))
+    with pytest.raises(Exception, match="page 1: ValueError: a bad page"):
+        told.collect()
+    assert [r.text for r in told.where("page_no = 2").collect()] == ["last"]
+    with pytest.raises(Exception, match="mode of page_files: NONE"):
+        spark.read.format("page_files").option("mode", "none").load(str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("decoder", ["scriptorium.sources.pages:form_feed_pages", "page_decoders:Told"])
+def test_a_slice_that_cannot_be_read_is_not_left_out(tmp_path, monkeypatch, decoder):
+    """Whichever slice it is, by an index or without: no rows of the others alone, no row that says the file is bad."""
+    path = str(tmp_path / "x")
+    (tmp_path / "x").write_text("ten bytes\f" * 10 + "and a long last page")
+    for index in (None, {path: {"size": 120, "counts": [3, 3, 3, 2], "error": None}}):
+        for kind in (pages.PageReader, pages.CountReader):
+            reader = kind({"path": path, "slice_bytes": "30", "decoder": decoder})
+            reader.index = index
+            slices = reader.partitions()
+            assert len(slices) == 4
+            for s in slices:
+                with monkeypatch.context() as m, pytest.raises(OSError, match="no such block"):
+                    m.setattr(kind, "_opened", lambda self, name: (_ for _ in ()).throw(OSError("no such block")))
+                    list(reader.read(s))
+            os.truncate(path, 25)
+            for s in slices if kind is pages.PageReader or decoder.endswith("form_feed_pages") else ():
+                if s.share:
+                    with pytest.raises(OSError, match="has changed"):
+                        list(reader.read(s))
+            (tmp_path / "x").write_text("ten bytes\f" * 10 + "and a long last page")
+    reader = pages.PageReader({"path": str(tmp_path)})
+    reader.index = {path: {"size": 120, "counts": [11], "error": None}, f"{path}-gone": {"size": 1, "counts": [1], "error": None}}
+    with pytest.raises(FileNotFoundError, match="x-gone"):
+        reader.partitions()
+
+
+def _documents(spark, folder, ids):
+    rows = [(i, f"text {i} {k}") for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_the_query_loses_no_file(spark, tmp_path, monkeypatch):
+    """A page that can't be read back ends the query; its file's rows were missing from the result before."""
+    d = _documents(spark, tmp_path, range(80))
+    assert queries.queries()["page_files"](spark, d).count() == 64
+    load = pages.load
+
+    def damaged(session, path, **options):
+        folder = os.path.join(urlparse(path).path, "bucket=3")
+        with open(os.path.join(folder, min(x for x in os.listdir(folder) if x.startswith("part-"))), "ab") as f:
+            f.write(b"\xff")
+        return load(session, path, **options)
+
+    monkeypatch.setattr(pages, "load", damaged)
+    with pytest.raises(Exception, match="UnicodeDecodeError"):
+        queries.queries()["page_files"](spark, d).count()
+
+
+def test_the_query_names_every_bucket(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    d = _documents(spark, tmp_path, [*range(-40, 40), None, None, None])
+    found = queries.queries()["page_files"](spark, d).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS FROM '{d}/documents.parquet/*.parquet'")
+    want = c.execute(queries.oracle_sql()["page_files"]).fetchall()
+    # rows without an id have no order of their own, and so no page of their own
+    told = lambda rows: sorted((r[0], r[1], r[2]) for r in rows if r[0] is not None)
+    assert told(found) == told(want) and len(told(want)) == 50
+    assert [r.page_no for r in found if r.bucket is None] == [2]
